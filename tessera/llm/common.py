@@ -92,7 +92,7 @@ def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str, limit: int = 2_000_000):
+def chunks(batch: pa.RecordBatch, text: str, limit: int = 1_000_000):
     """Yields (first row, end row, bytes, offsets) over runs of rows of about ``limit`` bytes; a longer text comes alone and whole."""
     data, offs = utf8(batch.column(batch.schema.get_field_index(text)))
     i, n = 0, len(offs) - 1

@@ -5,10 +5,13 @@ a unit. Two units can only reach the threshold if their prefixes (the first n -
 under one global order) share a token, whatever the order. Tokens that many prefixes hold come last in every
 order; which ones do is a bitmap of fixed size, so a bit set by chance only shifts a token's place.
 
-* Groups of a token that is not frequent give pairs, cut by the length and positional filters; a pair must come
-  out of every order (the filters are intersected) before its sets are compared.
-* Units whose prefix reaches frequent tokens meet in tiles of at most 2 * TILE units, where all overlaps are
-  counted at once and only a spanning forest of the links, or the earliest match, leaves the task.
+* A first count keeps the tokens that at least two prefixes hold (again a bitmap: chance bits only add rows).
+  Groups of a token that is not frequent give pairs, cut by the length and positional filters, and named only where
+  a run of shared prefix tokens begins; a pair must come out of every order (the filters are intersected) before
+  its sets are compared.
+* Units whose prefix reaches frequent tokens are clustered by those tokens and meet in tiles of at most 2 * TILE
+  units of a cluster, where all overlaps are counted at once and only a spanning forest of the links, or the
+  earliest match, leaves the task.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, kernel
+from . import common, graph, kernel
 from .kernel import U, mix
 
-HEAVY = 64
+#: Prefixes that make a token frequent; 2 ** BITS and 2 ** SHARED_BITS bits of the two bitmaps; units in a tile's side.
+HEAVY = 12
 BITS = 24
+SHARED_BITS = 26
 TILE = 1000
 
 
@@ -80,7 +85,7 @@ def _key(g: np.ndarray, order: int) -> np.ndarray:
 
 
 def _prefixes(g, size, spec: Spec, order: int, heavy):
-    """Prefix tokens under an order: token (negative as int64 if frequent), its set's segment, its rank there."""
+    """Prefix tokens under an order: token (negative as int64 if frequent), its set's segment, its rank there, the token before."""
     key = _key(g, order)
     if heavy is not None:
         key |= common.in_bitmap(heavy, key if order == 0 else _key(g, 0), BITS).astype(U) << U(63)
@@ -93,7 +98,10 @@ def _prefixes(g, size, spec: Spec, order: int, heavy):
     seg = np.repeat(np.arange(len(size)), size)
     rank = np.arange(len(key)) - begin[seg]
     ok = rank < plen[seg]
-    return key[ok], seg[ok], rank[ok]
+    before = np.zeros(len(key), U)
+    before[1:] = key[:-1]
+    before[rank == 0] = 0
+    return key[ok], seg[ok], rank[ok], before[ok]
 
 
 def _first_of_units(k1, k2, size, seen: set):
@@ -115,9 +123,13 @@ def _kept(g, s, size, ok):
     return g[m], np.where(ok, size, 0)
 
 
-def prefix_rows(docs: DataFrame, spec: Spec, order: int, heavy=None, sets: bool = False) -> DataFrame:
-    """(token, k1, k2, n, pos, hot) of every unit's prefix; sets: for the frequent tokens also the whole set."""
-    shared = None if heavy is None else docs.sparkSession.sparkContext.broadcast(heavy)
+def _broadcast(docs: DataFrame, value):
+    return None if value is None else docs.sparkSession.sparkContext.broadcast(value)
+
+
+def prefix_tokens(docs: DataFrame, spec: Spec, orders: range, heavy=None) -> DataFrame:
+    """(token, o): the prefix tokens of every unit under the given orders; frequent ones left out."""
+    shared = _broadcast(docs, heavy)
 
     def run(batches):
         bm = None if shared is None else shared.value
@@ -125,38 +137,52 @@ def prefix_rows(docs: DataFrame, spec: Spec, order: int, heavy=None, sets: bool
         for b in batches:
             for _, _, _, g, s, size, k1, k2 in _sets(b, spec, "text"):
                 g, size = _kept(g, s, size, _first_of_units(k1, k2, size, seen))
-                token, seg, rank = _prefixes(g, size, spec, order, bm)
-                hot = token >> U(63) == 1
-                if sets:
-                    token, seg, rank, hot = token[hot], seg[hot], rank[hot], hot[hot]
-                begin = np.cumsum(size) - size
-                cols = [_i64(token), _i64(k1[seg]), _i64(k2[seg]), size[seg].astype(np.int32), rank.astype(np.int32), hot]
-                arrays = [pa.array(x) for x in cols]
-                names = ["token", "k1", "k2", "n", "pos", "hot"]
-                if sets:
-                    for c in range(0, len(seg), 2000):
-                        part = [a.slice(c, 2000) for a in arrays]
-                        part.append(pa.array([g[begin[x] : begin[x] + size[x]].tobytes() for x in seg[c : c + 2000]], pa.binary()))
-                        yield pa.RecordBatch.from_arrays(part, [*names, "tokens"])
-                else:
-                    yield pa.RecordBatch.from_arrays(arrays, names)
+                for o in orders:
+                    token, _, _, _ = _prefixes(g, size, spec, o, bm)
+                    token = token[token >> U(63) == 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(_i64(token)), pa.array(np.full(len(token), o, np.int32))], ["token", "o"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, o int")
+
+
+def prefix_rows(docs: DataFrame, spec: Spec, heavy, several) -> DataFrame:
+    """(token, o, k1, k2, n, pos, before) of the prefix tokens in the bitmaps of shared or, with o = -1, frequent ones.
+
+    before is the token one place earlier in the set's order, 0 if there is none.
+    """
+    shared = _broadcast(docs, (heavy, several))
+
+    def run(batches):
+        bm, two = shared.value
+        seen: set = set()
+        for b in batches:
+            for _, _, _, g, s, size, k1, k2 in _sets(b, spec, "text"):
+                g, size = _kept(g, s, size, _first_of_units(k1, k2, size, seen))
+                for o in range(spec.orders):
+                    token, seg, rank, before = _prefixes(g, size, spec, o, bm)
+                    hot = token >> U(63) == 1
+                    ok = ~hot & common.in_bitmap(two[o], token, SHARED_BITS)
+                    if o == 0:
+                        ok |= hot
+                    token, seg, rank, before, hot = token[ok], seg[ok], rank[ok], before[ok], hot[ok]
+                    cols = [_i64(token), np.where(hot, -1, o).astype(np.int32), _i64(k1[seg]), _i64(k2[seg]), size[seg].astype(np.int32), rank.astype(np.int32), _i64(before)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["token", "o", "k1", "k2", "n", "pos", "before"])
 
-    schema = "token long, k1 long, k2 long, n int, pos int, hot boolean" + ", tokens binary" * sets
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, o int, k1 long, k2 long, n int, pos int, before long")
 
 
 def _group_pairs(batches, spec: Spec):
     """Pairs of units in runs of one token; the rows come sorted by token and unit."""
-    names = ["token", "k1", "k2", "n", "pos"]
+    names = ["token", "k1", "k2", "n", "pos", "o", "before"]
     rest: list[np.ndarray] | None = None
 
     def pairs(cols):
-        tok, k1, k2, n, pos = cols
+        tok, k1, k2, n, pos, o, before = cols
         if len(tok) < 2:
             return None
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        tok, k1, k2, n, pos = (c[new] for c in cols)
+        tok, k1, k2, n, pos, o, before = (c[new] for c in cols)
         start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
         size = np.diff(np.r_[start, len(tok)])
         two = start[size == 2]
@@ -171,11 +197,13 @@ def _group_pairs(batches, spec: Spec):
         ok = spec.den * small >= spec.num * large
         most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
         ok &= (spec.num + spec.den) * most >= spec.num * (n[i] + n[j])
+        # where the tokens before are one and the same, the pair has come up with that one
+        ok &= (before[i] != before[j]) | (before[i] == 0)
         i, j = i[ok], j[ok]
         if not len(i):
             return None
-        rows = np.unique(np.stack([k1[i], k2[i], k1[j], k2[j], n[i], n[j]], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["a1", "a2", "b1", "b2", "na", "nb"])
+        rows = np.unique(np.stack([k1[i], k2[i], k1[j], k2[j], n[i], n[j], np.left_shift(1, o[i])], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["a1", "a2", "b1", "b2", "na", "nb", "o"])
 
     for b in batches:
         cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
@@ -193,17 +221,21 @@ def _group_pairs(batches, spec: Spec):
         yield out
 
 
-def _candidates(docs: DataFrame, spec: Spec, heavy, order: int) -> DataFrame:
-    rows = prefix_rows(docs, spec, order, heavy).where("not hot").drop("hot")
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartition(parts, "token").sortWithinPartitions("token", "k1", "k2")
+def _candidates(rows: DataFrame, spec: Spec) -> DataFrame:
+    """Pairs that share prefix tokens under every order; the unit with the smaller keys stands first."""
+    parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # tokens of different orders differ but by chance, and then only add a pair
+    dealt = rows.where("o >= 0").repartition(parts, "token").sortWithinPartitions("token", "o", "k1", "k2")
 
     def run(batches):
         yield from _group_pairs(batches, spec)
 
-    pairs = dealt.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, na long, nb long")
-    # the unit with the smaller keys stands first, whatever the token
-    return pairs.withColumn("o", F.lit(1 << order))
+    found = dealt.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, na long, nb long, o long")
+    return (
+        found.groupBy("a1", "a2", "b1", "b2")
+        .agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.bit_or("o").alias("o"))
+        .where(F.col("o") == (1 << spec.orders) - 1).drop("o")
+    )
 
 
 def unit_tokens(docs: DataFrame, spec: Spec, wanted: DataFrame) -> DataFrame:
@@ -277,24 +309,31 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _tile_links(docs: DataFrame, spec: Spec, heavy, rank: DataFrame | None) -> DataFrame:
+def _clusters(hot: DataFrame) -> DataFrame:
+    """(cluster, k1, k2): units joined by frequent prefix tokens, directly or over others."""
+    unit, token = F.xxhash64("k1", "k2"), F.xxhash64("token")
+    parts = graph.connected_components(hot.select(unit.alias("u"), token.alias("v")))
+    units = hot.select("k1", "k2").distinct().withColumn("node", unit)
+    return units.join(parts, "node").select(F.col("component").alias("cluster"), "k1", "k2")
+
+
+def _tile_links(docs: DataFrame, spec: Spec, hot: DataFrame, rank: DataFrame | None) -> DataFrame:
     """Links among the units that hold a frequent token in their prefix; rank (k1, k2, r1, r2): earliest matches instead of a forest."""
-    rows = prefix_rows(docs, spec, 0, heavy, sets=True).drop("hot", "pos")
-    rows = common.table(rows.dropDuplicates(["token", "k1", "k2"]), "hot")
+    rows = common.table(_clusters(hot), "clusters")
     if rank is not None:
         rows = rows.join(rank, ["k1", "k2"])
     else:
         rows = rows.withColumns({"r1": F.lit(0).cast("long"), "r2": F.lit(0).cast("long")})
-    many = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    many = many.select("token", F.ceil(F.col("c") / TILE).cast("int").alias("nb"))
+    many = rows.groupBy("cluster").agg(F.count("*").alias("c")).where("c > 1")
+    many = many.select("cluster", F.ceil(F.col("c") / TILE).cast("int").alias("nb"))
+    rows = rows.join(many, "cluster").join(common.table(unit_tokens(docs, spec, rows), "hot-sets"), ["k1", "k2"])
     block = F.pmod(F.xxhash64("k1", "k2"), F.col("nb")).cast("int")
     tiles = F.transform(
         F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j"))
     )
     dealt = (
-        rows.join(many, "token")
-        .withColumn("mine", block).withColumn("tile", F.explode(tiles))
-        .select("token", "k1", "k2", "n", "r1", "r2", "tokens", "mine", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
+        rows.withColumn("mine", block).withColumn("tile", F.explode(tiles))
+        .select("cluster", "k1", "k2", "r1", "r2", "tokens", "mine", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
     )
     by_rank = rank is not None
 
@@ -302,8 +341,9 @@ def _tile_links(docs: DataFrame, spec: Spec, heavy, rank: DataFrame | None) -> D
         m = len(pdf)
         if m < 2:
             return pd.DataFrame({"a1": [], "a2": [], "b1": [], "b2": []}).astype("int64")
-        n = pdf["n"].to_numpy(np.int64)
-        inter = _overlaps([np.frombuffer(x, np.uint64) for x in pdf["tokens"]])
+        sets = [np.asarray(x, np.int64) for x in pdf["tokens"]]
+        n = np.array([len(x) for x in sets], np.int64)
+        inter = _overlaps(sets)
         linked = (spec.num + spec.den) * inter >= spec.num * (n[:, None] + n[None, :])
         np.fill_diagonal(linked, False)
         if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
@@ -322,7 +362,7 @@ def _tile_links(docs: DataFrame, spec: Spec, heavy, rank: DataFrame | None) -> D
         k1, k2 = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
         return pd.DataFrame({"a1": k1[e[:, 0]], "a2": k2[e[:, 0]], "b1": k1[e[:, 1]], "b2": k2[e[:, 1]]})
 
-    return dealt.groupBy("token", "i", "j").applyInPandas(run, "a1 long, a2 long, b1 long, b2 long")
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(run, "a1 long, a2 long, b1 long, b2 long")
 
 
 def links(docs: DataFrame, spec: Spec, rank: DataFrame | None = None) -> DataFrame:
@@ -331,20 +371,13 @@ def links(docs: DataFrame, spec: Spec, rank: DataFrame | None = None) -> DataFra
     Without rank they connect exactly the units that the threshold connects. With rank (k1, k2, r1, r2) every unit
     that has a match before it in the order of (r1, r2, k1, k2) has a link with one; further links may come too.
     """
-    counts = (
-        prefix_rows(docs, spec, 0).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= HEAVY)
-    )
-    heavy = common.bitmap(counts, "token", BITS)
-    found = _candidates(docs, spec, heavy, 0)
-    for o in range(1, spec.orders):
-        found = found.union(_candidates(docs, spec, heavy, o))
-    pairs = (
-        found.groupBy("a1", "a2", "b1", "b2")
-        .agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.bit_or("o").alias("o"))
-        .where(F.col("o") == (1 << spec.orders) - 1)
-    )
-    pairs = common.table(pairs, "pairs")
+    counts = prefix_tokens(docs, spec, range(1)).groupBy("token").agg(F.count("*").alias("c"))
+    heavy = common.bitmap(counts.where(F.col("c") >= HEAVY), "token", BITS)
+    shared = prefix_tokens(docs, spec, range(spec.orders), heavy).groupBy("token", "o").agg(F.count("*").alias("c")).where("c > 1")
+    shared = common.table(shared.select("token", "o"), "shared")
+    several = [common.bitmap(shared.where(F.col("o") == o), "token", SHARED_BITS) for o in range(spec.orders)]
+    rows = common.table(prefix_rows(docs, spec, heavy, several), "prefixes")
+    pairs = common.table(_candidates(rows, spec), "pairs")
     out = _verified(docs, spec, pairs)
-    if heavy.any():
-        out = out.union(_tile_links(docs, spec, heavy, rank))
-    return out
+    hot = rows.where("o = -1")
+    return out if hot.isEmpty() else out.union(_tile_links(docs, spec, hot, rank))
