@@ -30,7 +30,10 @@ def shingles(w: Column, n: int = N) -> Column:
 
 
 def shingled(df: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, hs). The words are a column of their own, so that they are split once and not for every shingle."""
+    """(key, hs). The words are a column of their own, so that they are split once and not for every shingle.
+
+    Users explode hs by explode_outer: explode() would have a filter on the size of hs pushed below, words and all.
+    """
     return df.select(key, words(F.col("text")).alias("w")).select(key, shingles(F.col("w"), n).alias("hs"))
 
 
@@ -46,7 +49,7 @@ def leaks(docs: DataFrame, items: DataFrame, t_num: int = 80, t_den: int = 100,
     a null doc_id or item_id keep it as one more id; rows that share an id count as one text each way: the document
     side takes the union of their shingles, the item side too. Only doc_id, item_id and text are read.
     """
-    item = shingled(items, "item_id", n).select("item_id", F.explode("hs").alias("h")).distinct()
+    item = shingled(items, "item_id", n).select("item_id", F.explode_outer("hs").alias("h")).where("h is not null").distinct()
     sized = item.groupBy("item_id").agg(F.count("*").alias("n_item")).withColumnRenamed("item_id", "i")
     item = common.table(item.join(sized, F.col("item_id").eqNullSafe(F.col("i"))).drop("i"), "items")
     need = F.floor((F.lit(t_num) * F.col("n_item") + (t_den - 1)) / t_den)
@@ -55,14 +58,14 @@ def leaks(docs: DataFrame, items: DataFrame, t_num: int = 80, t_den: int = 100,
         ranked.select("item_id", _class(need).alias("least"), F.explode(F.slice("hs", F.lit(1), (F.col("n_item") - need + 1).cast("int"))).alias("h")),
         "sketch",
     )
-    probe = shingled(docs, "doc_id", n).select("doc_id", _class(F.size("hs")).alias("size_class"), F.explode("hs").alias("h"))
+    probe = shingled(docs, "doc_id", n).select("doc_id", _class(F.size("hs")).alias("size_class"), F.explode_outer("hs").alias("h"))
     found = common.table(
         probe.join(sketch, "h").where("size_class >= least").select("doc_id", "item_id").distinct(), "leaks"
     )
     suspects = found.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(suspects.withColumnRenamed("doc_id", "s"), F.col("doc_id").eqNullSafe(F.col("s")), "left_semi")
     held = (
-        shingled(texts, "doc_id", n).select("doc_id", F.explode(F.array_distinct("hs")).alias("h")).join(item, "h")
+        shingled(texts, "doc_id", n).select("doc_id", F.explode_outer(F.array_distinct("hs")).alias("h")).join(item, "h")
         .groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("h").alias("n_shared"))
     )
     pairs = found.withColumnsRenamed({"doc_id": "d", "item_id": "i"})
