@@ -59,8 +59,10 @@ def leaks(docs: DataFrame, items: DataFrame, t_num: int = 80, t_den: int = 100,
         "sketch",
     )
     probe = shingled(docs, "doc_id", n).select("doc_id", _class(F.size("hs")).alias("size_class"), F.explode_outer("hs").alias("h"))
+    # coalesced: a filter on size_class alone would be pushed below the split into words
+    big = F.coalesce(F.col("size_class"), F.lit(0)) >= F.coalesce(F.col("least"), F.lit(0))
     found = common.table(
-        probe.join(sketch, "h").where("size_class >= least").select("doc_id", "item_id").distinct(), "leaks"
+        probe.join(sketch, "h").where(big).select("doc_id", "item_id").distinct(), "leaks"
     )
     suspects = found.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(suspects.withColumnRenamed("doc_id", "s"), F.col("doc_id").eqNullSafe(F.col("s")), "left_semi")
@@ -83,9 +85,9 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 #: leaks() over documents and benchmark, for DuckDB.
 LEAKS_SQL = """
 with d as (
-    select doc_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), x -> x <> '') as w from documents
+    select doc_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') as w from documents
 ), i as (
-    select item_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), x -> x <> '') as w from benchmark
+    select item_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') as w from benchmark
 ), ds as (
     select distinct doc_id, array_to_string(w[k:k + 4], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 3)) as k from d)
 ), its as (
