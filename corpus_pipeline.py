@@ -2,18 +2,60 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import common
+from tessera.llm import common, decontaminate, exact_dedup, ngram_join, quality_crf, sentencepiece_wfst
 
-STAGES: list = []
+#: Score under which the quality stage rejects a text.
+REJECT = 0.55
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject, all columns."""
+    return quality_crf.keep_good(docs, quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), REJECT)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, all columns."""
+    return exact_dedup.dedup(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each class linked by five-word shingles at 0.8; all columns."""
+    gone = ngram_join.classes(docs, n=5, num=80, den=100).where(F.col("doc_id") != F.col("component_id"))
+    gone = common.table(gone.select(F.col("doc_id").alias("_gone")).distinct(), "near")
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, all columns."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the text decoded from them."""
+    return sentencepiece_wfst.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("ids_crc32")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("n-gram Jaccard join", near),
+    ("benchmark decontamination", clean),
+    ("SentencePiece encoding and decoding", encode),
+]
 
 #: Trained scores and token ids have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; every stage's result but the last is written to the shared folder and read back."""
     docs = common.documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = common.table(stage(spark, docs, sf_dir), name)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.table(docs, f"stage{k}")
     return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, exact_dedup, html_extract, lbl_model, line_dedup, ngram_join, quality_crf, sentencepiece_wfst, token_output
+from . import common, decontaminate, exact_dedup, html_extract, lbl_model, line_dedup, ngram_join, quality_crf, sentencepiece_wfst, suffix_dedup, token_output
 from .common import documents
 
 #: Score from which op2 predicts label 1.
@@ -40,6 +40,10 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.pages_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl_model.lm_scores(documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_output": op4_token_output,
     "op5_html_extract": op5_html_extract,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_lm_score": op7_lm_score,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
