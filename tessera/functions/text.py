@@ -104,13 +104,13 @@ def source_slice(text: Column, begin: Column, end: Column) -> Column:
 
 def popcount_subsets(mask: Column) -> Column:
     """All sub-masks of a mask with at most 12 bits, ascending; null for more."""
-    bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.shiftright(mask, k).bitwiseAND(F.lit(1)) == 1)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.call_function("shiftright", mask, k).bitwiseAND(F.lit(1)) == 1)
     return F.when(
         F.bit_count(mask) <= 12,
         F.transform(
-            F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.size(bits)) - 1),
+            F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size(bits)) - 1),
             lambda s: F.aggregate(
-                F.transform(bits, lambda b, i: F.when(F.getbit(s, i) == 1, F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))),
+                F.transform(bits, lambda b, i: F.when(F.getbit(s, i) == 1, F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))),
                 F.lit(0).cast("bigint"), lambda a, b: a + b,
             ),
         ),
