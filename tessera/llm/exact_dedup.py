@@ -41,9 +41,11 @@ def _located(docs: DataFrame) -> DataFrame:
 
 def _state(spark, arrivals: str, schema, files_per_batch: int) -> DataFrame:
     """(digest, first struct<none, doc_id, file, row>, n) of all arrivals, from the stream's state store."""
-    key, old = "spark.sql.streaming.stateStore.providerClass", None
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    # without fallocate, or each store sets 4 MB aside for its manifest
+    ours = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    old = {key: spark.conf.get(key, None) for key in ours}
+    for key, value in ours.items():
+        spark.conf.set(key, value)
     ckpt = common.new_path(spark, "dedup-state")
     try:
         seen = (
@@ -54,7 +56,8 @@ def _state(spark, arrivals: str, schema, files_per_batch: int) -> DataFrame:
         query = seen.writeStream.outputMode("update").format("noop").option("checkpointLocation", ckpt).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(key, old) if old else spark.conf.unset(key)
+        for key, value in old.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
     state = spark.read.format("statestore").load(ckpt)
     value = state.schema["value"].dataType.names
     return state.select(
@@ -84,7 +87,7 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] | None = None, fi
     # the full bytes of all rows that share a digest, each beside its keeper's
     hits = common.table(
         located.select("file", "row", normalised(F.col("text")).alias("text"))
-        .join(several.select("file", "row", "doc_id", "sha", "digest", "first", "n"), ["file", "row"]),
+        .join(several.select("file", "row", "doc_id", "sha", "digest", "first", "n").hint("merge"), ["file", "row"]),
         "hits",
     )
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
