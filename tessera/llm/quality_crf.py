@@ -2,7 +2,8 @@
 
 Features are figures of a line and of its two neighbours, counted in numpy from bytes. Every line of a labelled text
 takes the text's label in training (L2-regularised likelihood, forward-backward, Adam). A text's score is the mean
-marginal of 'good' over its lines, weighted by their length.
+marginal of 'good' over its lines, weighted by their length, stretched so that the value which best parts the training
+texts comes to CUT.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from . import common, kernel
 #: Bounds of the training sample: labelled texts, and lines of a text that takes part.
 SAMPLE = 3000
 SAMPLE_LINES = 2000
+#: Score from which a text counts as good.
+CUT = 0.7
 _CLASS = np.zeros((5, 256), bool)
 _CLASS[0, 65:91] = True  # upper case
 _CLASS[1, 97:123] = True  # lower case
@@ -61,10 +64,11 @@ def line_features(data: np.ndarray, offs: np.ndarray):
 
 @dataclass
 class Model:
-    """w: weights of the features for label good; a: 2 x 2 transition scores (from, to)."""
+    """w: weights of the features for label good; a: 2 x 2 transition scores (from, to); part: mean marginal that comes to CUT."""
 
     w: np.ndarray
     a: np.ndarray
+    part: float = CUT
 
 
 def marginals(e: np.ndarray, per: np.ndarray, a: np.ndarray, pairs: bool = False):
@@ -102,7 +106,7 @@ def marginals(e: np.ndarray, per: np.ndarray, a: np.ndarray, pairs: bool = False
 
 
 def fit(x: np.ndarray, per: np.ndarray, label: np.ndarray, rounds: int = 80, l2: float = 1e-3) -> Model:
-    """CRF fitted to texts whose lines all have the text's label; without both labels, weights of zero (score 0.5)."""
+    """CRF fitted to texts whose lines all have the text's label; without both labels, weights of zero (mean marginal 0.5)."""
     w, a = np.zeros(x.shape[1]), np.zeros((2, 2))
     if len(set(label.tolist())) < 2:
         return Model(w, a)
@@ -120,10 +124,25 @@ def fit(x: np.ndarray, per: np.ndarray, label: np.ndarray, rounds: int = 80, l2:
     return Model(theta[:-4], theta[-4:].reshape(2, 2))
 
 
+def best_part(score: np.ndarray, label: np.ndarray) -> float:
+    """The value with the fewest texts on its wrong side, in the middle of its gap."""
+    order = np.argsort(score)
+    s, y = np.r_[0, score[order], 1], label[order]
+    wrong = np.r_[0, np.cumsum(y == 1)] + np.r_[np.cumsum((y == 0)[::-1])[::-1], 0]
+    wide = np.where(wrong == wrong.min(), np.diff(s), -1)
+    k = int(wide.argmax())
+    return float(np.clip((s[k] + s[k + 1]) / 2, 0.05, 0.95))
+
+
+def stretched(score: np.ndarray, part: float) -> np.ndarray:
+    return np.where(score < part, score / part * CUT, CUT + (score - part) / (1 - part) * (1 - CUT))
+
+
 def score_texts(data: np.ndarray, offs: np.ndarray, model: Model) -> np.ndarray:
     x, doc, per, size = line_features(data, offs)
     p = marginals(x @ model.w, per, model.a)
-    return np.clip(np.bincount(doc, p * size, len(per)) / np.bincount(doc, size, len(per)), 0.0, 1.0)
+    mean = np.bincount(doc, p * size, len(per)) / np.bincount(doc, size, len(per))
+    return np.clip(stretched(mean, model.part), 0.0, 1.0)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -146,19 +165,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines
         for b in batches:
             y = b.column(1).to_numpy(zero_copy_only=False)
             for i, _, data, offs in common.chunks(b, "text"):
-                x, doc, per, _ = line_features(data, offs)
+                x, _, per, size = line_features(data, offs)
                 begin = np.r_[0, np.cumsum(per)]
                 for k in range(len(per)):
                     if per[k] <= sample_lines:
-                        yield pa.RecordBatch.from_arrays([pa.array([int(y[i + k])]), pa.array([int(per[k])]), pa.array([x[begin[k] : begin[k + 1]].astype("<f4").tobytes()], pa.binary())], ["y", "per", "x"])
+                        mine = slice(begin[k], begin[k + 1])
+                        row = [[int(y[i + k])], [int(per[k])], [x[mine].astype("<f4").tobytes()], [size[mine].astype("<f8").tobytes()]]
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in row], ["y", "per", "x", "size"])
 
-    rows = texts.mapInArrow(run, "y long, per long, x binary").collect()
+    rows = texts.mapInArrow(run, "y long, per long, x binary, size binary").collect()
     rows.sort(key=lambda r: (r["per"], bytes(r["x"])))
     width = 3 * N_BASE + 1
     if not rows:
         return Model(np.zeros(width), np.zeros((2, 2)))
     x = np.concatenate([np.frombuffer(bytes(r["x"]), "<f4").reshape(-1, width) for r in rows]).astype(np.float64)
-    return fit(x, np.array([r["per"] for r in rows]), np.array([r["y"] for r in rows]))
+    per, label = np.array([r["per"] for r in rows]), np.array([r["y"] for r in rows])
+    model = fit(x, per, label)
+    if model.w.any():
+        size = np.concatenate([np.frombuffer(bytes(r["size"]), "<f8") for r in rows])
+        doc = np.repeat(np.arange(len(rows)), per)
+        mean = np.bincount(doc, marginals(x @ model.w, per, model.a) * size) / np.bincount(doc, size)
+        model.part = best_part(mean, label)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
