@@ -24,7 +24,7 @@ from .kernel import U
 
 OUTPUTS = 1000
 KNOWN = 1 << 19
-DIM = 24
+DIM = 16
 END = U(0)  # no word hashes to the end but by chance
 
 
@@ -124,7 +124,7 @@ def contexts(out: np.ndarray, size: np.ndarray, end: int):
     return u, v
 
 
-def nce_steps(par: dict, acc: dict, out, u, v, p: np.ndarray, rng, rate: float, batch: int = 4096, noise: int = 100) -> None:
+def nce_steps(par: dict, acc: dict, out, u, v, p: np.ndarray, rng, rate: float, batch: int = 2048, noise: int = 100) -> None:
     """One pass of noise-contrastive estimation over tokens, in place (Adagrad; acc: its sums of squares); a batch shares its noise."""
     n, cum = len(p), np.cumsum(p)
     for i in range(0, len(out), batch):
@@ -153,7 +153,7 @@ def nce_steps(par: dict, acc: dict, out, u, v, p: np.ndarray, rng, rate: float,
             par[name] += rate * g / np.sqrt(acc[name])
 
 
-def train(docs: DataFrame, v: Vocabulary, passes: int = 1, rate: float = 0.1) -> dict:
+def train(docs: DataFrame, v: Vocabulary, passes: int = 1, rate: float = 0.05) -> dict:
     """Parameters averaged over all tasks, each weighted by its tokens. Every training text takes part."""
     p = _unigram(v)
     end = int(v.outputs(v.look(np.array([END], U)))[0])
