@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common, decontaminate, exact_dedup, ngram_join, quality_crf, sentencepiece_wfst
 
 #: Score under which the quality stage rejects a text.
-REJECT = 0.55
+REJECT = 0.6
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +39,33 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_wfst.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("ids_crc32")
 
 
+_LEFT: list[str] = []
+
+
+def _tidy(stage):
+    """stage, which first removes what the stage before it left in the shared folder, unless its docs still read that."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _LEFT and not any(path.rsplit("/", 1)[1] in file for file in docs.inputFiles() for path in _LEFT):
+            for path in _LEFT:
+                common.remove(spark, path)
+            _LEFT.clear()
+            common.free(spark)
+        common.small_batches(spark)
+        before = len(common.CREATED)
+        out = stage(spark, docs, sf_dir)
+        _LEFT.extend(common.CREATED[before:])
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality),
-    ("exact dedup", exact),
-    ("n-gram Jaccard join", near),
-    ("benchmark decontamination", clean),
-    ("SentencePiece encoding and decoding", encode),
+    ("quality classifier", _tidy(quality)),
+    ("exact dedup", _tidy(exact)),
+    ("n-gram Jaccard join", _tidy(near)),
+    ("benchmark decontamination", _tidy(clean)),
+    ("SentencePiece encoding and decoding", _tidy(encode)),
 ]
 
 #: Trained scores and token ids have no SQL form.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: All fresh paths, in order of their creation.
+CREATED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +33,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.deleteOnExit(p)
+    CREATED.append(path)
     return path
 
 
@@ -43,10 +47,35 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Removes what table() has written, once nothing that is still to run reads it."""
+    remove(df.sparkSession, df._scratch_path)
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of results that are no longer referred to; else it waits for a garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Rows of an Arrow batch; texts are long, and a batch is held several times over on its way.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, unless they are fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

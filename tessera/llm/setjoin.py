@@ -6,11 +6,12 @@ under one global order) share a token, whatever the order. Tokens that many pref
 order; which ones do is a bitmap of fixed size, so a bit set by chance only shifts a token's place.
 
 * A first count keeps the tokens that at least two prefixes hold (again a bitmap: chance bits only add rows).
-  Groups of a token that is not frequent give pairs, cut by the length and positional filters, and named only where
-  a run of shared prefix tokens begins; a pair must come out of every order (the filters are intersected) before
+  Groups of other tokens than those of the next point give pairs, cut by the length and positional filters and by parity sketches
+  (tokens of odd number by bucket: buckets that differ are at most the tokens that do), and named only where a run
+  of shared prefix tokens begins; a pair must come out of every order (the filters are intersected) before
   its sets are compared.
-* Units whose prefix reaches frequent tokens are clustered by those tokens and meet in tiles of at most 2 * TILE
-  units of a cluster, where all overlaps are counted at once and only a spanning forest of the links, or the
+* Units whose prefix reaches frequent tokens, or tokens that LARGE prefixes hold even so, are clustered by those tokens and by size, and meet in tiles of about
+  2 * TILE units of a cluster, where all overlaps are counted at once and only a spanning forest of the links, or the
   earliest match, leaves the task.
 """
 
@@ -27,11 +28,14 @@ from pyspark.sql import functions as F
 from . import common, graph, kernel
 from .kernel import U, mix
 
-#: Prefixes that make a token frequent; 2 ** BITS and 2 ** SHARED_BITS bits of the two bitmaps; units in a tile's side.
-HEAVY = 12
+#: Prefixes that make a token frequent; prefixes under the final orders that send a token's units to tiles; 2 ** BITS and 2 ** SHARED_BITS bits of the two bitmaps; units in a tile's side.
+HEAVY = 16
+LARGE = 48
 BITS = 24
 SHARED_BITS = 26
 TILE = 1000
+#: Pairs that are compared at once.
+PAIRS = 150_000
 
 
 @dataclass(frozen=True)
@@ -84,6 +88,27 @@ def _key(g: np.ndarray, order: int) -> np.ndarray:
     return mix(g ^ U((order + 1) * 0x9FB21C651E98DF25 & (1 << 64) - 1)) >> U(1)
 
 
+def _sketches(g: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two 64-bit words per set: for each of 128 buckets whether an odd number of its tokens lies there."""
+    seg = np.repeat(np.arange(len(size)), size)
+    odd = np.bincount(seg * 128 + (g & U(127)).astype(np.int64), minlength=len(size) * 128) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 128), axis=1).view(np.int64).reshape(-1, 2)
+
+
+def _plain_prefixes(g, size, spec: Spec, order: int):
+    """Prefix tokens under an order without regard to frequency, named as order 0 names them."""
+    key, name = _key(g, order), _key(g, 0)
+    end = np.cumsum(size)
+    begin = end - size
+    plen = size - (spec.num * size + spec.den - 1) // spec.den + 1
+    ok = np.zeros(len(g), bool)
+    for a, b, p in zip(begin.tolist(), end.tolist(), plen.tolist()):
+        if b > a:
+            x = key[a:b]
+            ok[a:b] = x <= np.partition(x, p - 1)[p - 1]
+    return name[ok]
+
+
 def _prefixes(g, size, spec: Spec, order: int, heavy):
     """Prefix tokens under an order: token (negative as int64 if frequent), its set's segment, its rank there, the token before."""
     key = _key(g, order)
@@ -128,7 +153,10 @@ def _broadcast(docs: DataFrame, value):
 
 
 def prefix_tokens(docs: DataFrame, spec: Spec, orders: range, heavy=None) -> DataFrame:
-    """(token, o): the prefix tokens of every unit under the given orders; frequent ones left out."""
+    """(token, o): the prefix tokens of every unit under the given orders, frequent ones left out.
+
+    Without heavy, frequency plays no part yet, and a token has the same name in all orders.
+    """
     shared = _broadcast(docs, heavy)
 
     def run(batches):
@@ -138,87 +166,106 @@ def prefix_tokens(docs: DataFrame, spec: Spec, orders: range, heavy=None) -> Dat
             for _, _, _, g, s, size, k1, k2 in _sets(b, spec, "text"):
                 g, size = _kept(g, s, size, _first_of_units(k1, k2, size, seen))
                 for o in orders:
-                    token, _, _, _ = _prefixes(g, size, spec, o, bm)
-                    token = token[token >> U(63) == 0]
+                    if bm is None:
+                        token = _plain_prefixes(g, size, spec, o)
+                    else:
+                        token, _, _, _ = _prefixes(g, size, spec, o, bm)
+                        token = token[token >> U(63) == 0]
                     yield pa.RecordBatch.from_arrays([pa.array(_i64(token)), pa.array(np.full(len(token), o, np.int32))], ["token", "o"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "token long, o int")
 
 
-def prefix_rows(docs: DataFrame, spec: Spec, heavy, several) -> DataFrame:
-    """(token, o, k1, k2, n, pos, before) of the prefix tokens in the bitmaps of shared or, with o = -1, frequent ones.
+def prefix_rows(docs: DataFrame, spec: Spec, heavy, several, large) -> DataFrame:
+    """(token, o, k1, k2, n, pos, before, x1, x2) of the prefix tokens that several prefixes
+    hold (bitmaps by order); with o = -1 those that are frequent or in the bitmaps of large.
 
-    before is the token one place earlier in the set's order, 0 if there is none.
+    before is the token one place earlier in the set's order, 0 if there is none; x1 and x2 are the set's sketch.
     """
-    shared = _broadcast(docs, (heavy, several))
+    shared = _broadcast(docs, (heavy, several, large))
 
     def run(batches):
-        bm, two = shared.value
+        bm, two, many = shared.value
         seen: set = set()
         for b in batches:
             for _, _, _, g, s, size, k1, k2 in _sets(b, spec, "text"):
                 g, size = _kept(g, s, size, _first_of_units(k1, k2, size, seen))
+                sketch = _sketches(g, size)
                 for o in range(spec.orders):
                     token, seg, rank, before = _prefixes(g, size, spec, o, bm)
                     hot = token >> U(63) == 1
                     ok = ~hot & common.in_bitmap(two[o], token, SHARED_BITS)
-                    if o == 0:
-                        ok |= hot
+                    hot &= o == 0
+                    hot |= ok & common.in_bitmap(many[o], token, BITS)
+                    ok |= hot
                     token, seg, rank, before, hot = token[ok], seg[ok], rank[ok], before[ok], hot[ok]
-                    cols = [_i64(token), np.where(hot, -1, o).astype(np.int32), _i64(k1[seg]), _i64(k2[seg]), size[seg].astype(np.int32), rank.astype(np.int32), _i64(before)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["token", "o", "k1", "k2", "n", "pos", "before"])
+                    cols = [_i64(token), np.where(hot, -1, o).astype(np.int32), _i64(k1[seg]), _i64(k2[seg]), size[seg].astype(np.int32), rank.astype(np.int32), _i64(before), sketch[seg, 0], sketch[seg, 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ROW)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, o int, k1 long, k2 long, n int, pos int, before long, x1 long, x2 long")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, o int, k1 long, k2 long, n int, pos int, before long")
+ROW = ["token", "o", "k1", "k2", "n", "pos", "before", "x1", "x2"]
 
 
 def _group_pairs(batches, spec: Spec):
     """Pairs of units in runs of one token; the rows come sorted by token and unit."""
-    names = ["token", "k1", "k2", "n", "pos", "o", "before"]
     rest: list[np.ndarray] | None = None
 
     def pairs(cols):
-        tok, k1, k2, n, pos, o, before = cols
+        tok, k1, k2 = cols[0], cols[2], cols[3]
         if len(tok) < 2:
-            return None
+            return
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        tok, k1, k2, n, pos, o, before = (c[new] for c in cols)
+        rows = [c[new] for c in cols]
+        tok = rows[0]
         start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
         size = np.diff(np.r_[start, len(tok)])
         two = start[size == 2]
-        left, right = [two], [two + 1]
+        yield from compared(two, two + 1, rows)
+        left, right, count = [], [], 0
         for a, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-            for r in range(m - 1) if m > 3000 else [None]:  # row by row, so that a run of any length has bounded memory
+            for r in range(m - 1) if m > 500 else [None]:  # row by row, so that a run of any length has bounded memory
                 i, j = np.triu_indices(m, 1) if r is None else (np.full(m - 1 - r, r), np.arange(r + 1, m))
                 left.append(i + a)
                 right.append(j + a)
-        i, j = np.concatenate(left), np.concatenate(right)
+                count += len(i)
+                if count > PAIRS:
+                    yield from compared(np.concatenate(left), np.concatenate(right), rows)
+                    left, right, count = [], [], 0
+        if count:
+            yield from compared(np.concatenate(left), np.concatenate(right), rows)
+
+    def compared(i, j, rows):
+        _, o, k1, k2, n, pos, before, x1, x2 = rows
+        # where the tokens before are one and the same, the pair has come up with that one
+        ok = (before[i] != before[j]) | (before[i] == 0)
+        i, j = i[ok], j[ok]
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         ok = spec.den * small >= spec.num * large
         most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
         ok &= (spec.num + spec.den) * most >= spec.num * (n[i] + n[j])
-        # where the tokens before are one and the same, the pair has come up with that one
-        ok &= (before[i] != before[j]) | (before[i] == 0)
         i, j = i[ok], j[ok]
-        if not len(i):
-            return None
-        rows = np.unique(np.stack([k1[i], k2[i], k1[j], k2[j], n[i], n[j], np.left_shift(1, o[i])], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["a1", "a2", "b1", "b2", "na", "nb", "o"])
+        differ = np.bitwise_count((x1[i] ^ x1[j]).view(U)).astype(np.int64) + np.bitwise_count((x2[i] ^ x2[j]).view(U))
+        ok = (spec.den + spec.num) * differ <= (spec.den - spec.num) * (n[i] + n[j])
+        i, j = i[ok], j[ok]
+        if len(i):
+            out = np.unique(np.stack([k1[i], k2[i], k1[j], k2[j], n[i], n[j], np.left_shift(1, o[i])], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], ["a1", "a2", "b1", "b2", "na", "nb", "o"])
 
     for b in batches:
-        cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+        cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ROW]
         if rest is not None:
             cols = [np.concatenate(x) for x in zip(rest, cols)]
         if not len(cols[0]):
             continue
         cut = int(np.flatnonzero(cols[0] == cols[0][-1])[0]) if cols[0][0] != cols[0][-1] else 0
         if cut:
-            out = pairs([c[:cut] for c in cols])
-            if out is not None:
-                yield out
+            yield from pairs([c[:cut] for c in cols])
         rest = [c[cut:] for c in cols]
-    if rest is not None and (out := pairs(rest)) is not None:
-        yield out
+    if rest is not None:
+        yield from pairs(rest)
 
 
 def _candidates(rows: DataFrame, spec: Spec) -> DataFrame:
@@ -263,9 +310,7 @@ def unit_tokens(docs: DataFrame, spec: Spec, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "k1 long, k2 long, tokens array<long>").dropDuplicates(["k1", "k2"])
 
 
-def _verified(docs: DataFrame, spec: Spec, pairs: DataFrame) -> DataFrame:
-    wanted = pairs.select(F.col("a1").alias("k1")).union(pairs.select("b1"))
-    sets = common.table(unit_tokens(docs, spec, wanted), "sets")
+def _verified(spec: Spec, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("tokens").alias("tb"))
     both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
@@ -311,29 +356,35 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 def _clusters(hot: DataFrame) -> DataFrame:
     """(cluster, k1, k2): units joined by frequent prefix tokens, directly or over others."""
-    unit, token = F.xxhash64("k1", "k2"), F.xxhash64("token")
-    parts = graph.connected_components(hot.select(unit.alias("u"), token.alias("v")))
+    unit = F.xxhash64("k1", "k2")
+    rows = hot.select("token", unit.alias("u"))
+    # every unit beside the least of each of its tokens: copies of one text have few of these between them
+    low = rows.groupBy("token").agg(F.min("u").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c")
+    parts = graph.connected_components(rows.join(low, "token").select("u", "v").distinct())
     units = hot.select("k1", "k2").distinct().withColumn("node", unit)
     return units.join(parts, "node").select(F.col("component").alias("cluster"), "k1", "k2")
 
 
-def _tile_links(docs: DataFrame, spec: Spec, hot: DataFrame, rank: DataFrame | None) -> DataFrame:
-    """Links among the units that hold a frequent token in their prefix; rank (k1, k2, r1, r2): earliest matches instead of a forest."""
-    rows = common.table(_clusters(hot), "clusters")
+def _tile_links(spec: Spec, rows: DataFrame, sets: DataFrame, rank: DataFrame | None) -> DataFrame:
+    """Links among the units (cluster, k1, k2) that hold a frequent token in their prefix; rank (k1, k2, r1, r2): earliest matches instead of a forest."""
     if rank is not None:
         rows = rows.join(rank, ["k1", "k2"])
     else:
         rows = rows.withColumns({"r1": F.lit(0).cast("long"), "r2": F.lit(0).cast("long")})
-    many = rows.groupBy("cluster").agg(F.count("*").alias("c")).where("c > 1")
-    many = many.select("cluster", F.ceil(F.col("c") / TILE).cast("int").alias("nb"))
-    rows = rows.join(many, "cluster").join(common.table(unit_tokens(docs, spec, rows), "hot-sets"), ["k1", "k2"])
+    rows = rows.join(sets, ["k1", "k2"])
+    # sizes that can link lie in one band or two next to each other; group g holds the bands g - 1 and g
+    band = F.floor(F.log(F.size("tokens")) / float(np.log(spec.den / spec.num) * (1 + 1e-9))).cast("int")
+    rows = common.table(rows.withColumn("g", F.explode(F.array(band, band + 1))), "hot-units")
+    many = rows.groupBy("cluster", "g").agg(F.count("*").alias("c")).where("c > 1")
+    many = many.select("cluster", "g", F.ceil(F.col("c") / TILE).cast("int").alias("nb"))
+    rows = rows.join(many, ["cluster", "g"])
     block = F.pmod(F.xxhash64("k1", "k2"), F.col("nb")).cast("int")
     tiles = F.transform(
         F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j"))
     )
     dealt = (
         rows.withColumn("mine", block).withColumn("tile", F.explode(tiles))
-        .select("cluster", "k1", "k2", "r1", "r2", "tokens", "mine", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
+        .select("cluster", "g", "k1", "k2", "r1", "r2", "tokens", "mine", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
     )
     by_rank = rank is not None
 
@@ -362,7 +413,7 @@ def _tile_links(docs: DataFrame, spec: Spec, hot: DataFrame, rank: DataFrame | N
         k1, k2 = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
         return pd.DataFrame({"a1": k1[e[:, 0]], "a2": k2[e[:, 0]], "b1": k1[e[:, 1]], "b2": k2[e[:, 1]]})
 
-    return dealt.groupBy("cluster", "i", "j").applyInPandas(run, "a1 long, a2 long, b1 long, b2 long")
+    return dealt.groupBy("cluster", "g", "i", "j").applyInPandas(run, "a1 long, a2 long, b1 long, b2 long")
 
 
 def links(docs: DataFrame, spec: Spec, rank: DataFrame | None = None) -> DataFrame:
@@ -371,13 +422,22 @@ def links(docs: DataFrame, spec: Spec, rank: DataFrame | None = None) -> DataFra
     Without rank they connect exactly the units that the threshold connects. With rank (k1, k2, r1, r2) every unit
     that has a match before it in the order of (r1, r2, k1, k2) has a link with one; further links may come too.
     """
-    counts = prefix_tokens(docs, spec, range(1)).groupBy("token").agg(F.count("*").alias("c"))
+    counts = prefix_tokens(docs, spec, range(spec.orders)).groupBy("token", "o").agg(F.count("*").alias("c"))
     heavy = common.bitmap(counts.where(F.col("c") >= HEAVY), "token", BITS)
     shared = prefix_tokens(docs, spec, range(spec.orders), heavy).groupBy("token", "o").agg(F.count("*").alias("c")).where("c > 1")
-    shared = common.table(shared.select("token", "o"), "shared")
-    several = [common.bitmap(shared.where(F.col("o") == o), "token", SHARED_BITS) for o in range(spec.orders)]
-    rows = common.table(prefix_rows(docs, spec, heavy, several), "prefixes")
+    shared = common.table(shared, "shared")
+    common.free(docs.sparkSession)
+    of = lambda o, least: shared.where((F.col("o") == o) & (F.col("c") >= least))
+    several = [common.bitmap(of(o, 2), "token", SHARED_BITS) for o in range(spec.orders)]
+    large = [common.bitmap(of(o, LARGE), "token", BITS) for o in range(spec.orders)]
+    common.drop(shared)
+    rows = common.table(prefix_rows(docs, spec, heavy, several, large), "prefixes")
     pairs = common.table(_candidates(rows, spec), "pairs")
-    out = _verified(docs, spec, pairs)
     hot = rows.where("o = -1")
-    return out if hot.isEmpty() else out.union(_tile_links(docs, spec, hot, rank))
+    clusters = None if hot.isEmpty() else common.table(_clusters(hot), "clusters")
+    common.drop(rows)
+    common.free(docs.sparkSession)
+    wanted = pairs.select(F.col("a1").alias("k1")).union(pairs.select("b1"))
+    sets = common.table(unit_tokens(docs, spec, wanted if clusters is None else wanted.union(clusters.select("k1"))), "sets")
+    out = _verified(spec, pairs, sets)
+    return out if clusters is None else out.union(_tile_links(spec, clusters, sets, rank))
