@@ -19,12 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import common
+from . import common, kernel
+from .memo import SpanMemo, spread
 
 MARK = "▁"
 INF = float("inf")
-#: Words whose path, and pairs whose weight, a worker remembers.
-MEMO = 300_000
+#: Pairs whose weight a worker remembers.
+PAIRS = 400_000
 _MACHINES: dict[str, "Machine"] = {}
 
 
@@ -50,7 +51,7 @@ class Machine:
         self.name = list(self.pieces)  # by symbol: pieces, then characters without a piece
         self.other: dict[str, int] = {}
         self.pair: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = SpanMemo(self._new)
         self.low = min(self.score.values(), default=0.0) - 10.0
         # no piece crosses from another character to the mark, so paths never do
         self.by_word = all(MARK not in p.lstrip(MARK) for p in self.score)
@@ -80,7 +81,7 @@ class Machine:
         key = a << 32 | b
         ok = self.pair.get(key)
         if ok is None:
-            if len(self.pair) > 4 * MEMO:
+            if len(self.pair) > PAIRS:
                 self.pair.clear()
             x, y = self.name[a], self.name[b]
             ok = self.pair[key] = self._merged([*x, *y]) == [x, y]
@@ -155,18 +156,47 @@ class Machine:
         return (MARK if self.dummy else "") + text.replace(" ", MARK)
 
     def encode(self, text: str) -> list[int]:
+        """Ids of one text."""
         text = self.normalise(text)
-        if not self.by_word:
-            return list(self._path(text)) if text else []
-        memo, out = self.memo, []
-        for w in _WORDS.findall(text):
-            ids = memo.get(w)
-            if ids is None:
-                if len(memo) > MEMO:
-                    memo.clear()
-                ids = memo[w] = self._path(w)
-            out += ids
-        return out
+        units = _WORDS.findall(text) if self.by_word else [text] * bool(text)
+        return [i for u in units for i in self._path(u)]
+
+    def _unit(self, raw: str) -> str:
+        """A unit of encode_many() as normalised text: \\x00 in front stands for the start of a text."""
+        return (MARK if self.dummy else "") + raw[1:].replace(" ", MARK) if raw[0] == "\x00" else raw.replace(" ", MARK)
+
+    def _new(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        raw = data.tobytes()
+        return spread([self._path(self._unit(raw[i:j].decode())) for i, j in zip(start.tolist(), end.tolist())])
+
+    def encode_many(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts data[offs[i]:offs[i + 1]] one after another, and how many each has.
+
+        Units are runs of spaces with what follows up to the next space; each distinct one is encoded once a worker.
+        """
+        size = np.diff(offs)
+        raw = data.tobytes()
+        plain = self.by_word and not self.squeeze and b"\xe2\x96\x81" not in raw and b"\x00" not in raw
+        if not plain:
+            ids = [self.encode(raw[i:j].decode()) for i, j in zip(offs[:-1].tolist(), offs[1:].tolist())]
+            return np.fromiter((y for x in ids for y in x), np.int32, sum(map(len, ids))), np.array([len(x) for x in ids], np.int64)
+        # a \x00 before each text that isn't empty
+        full = np.flatnonzero(size)
+        wide = np.zeros(len(data) + len(full), np.uint8)
+        doc = np.repeat(np.arange(len(full)), size[full])
+        wide[np.arange(len(data)) + doc + 1] = data
+        head = offs[:-1][full] + np.arange(len(full))
+        space = wide == 32
+        new = space.copy()
+        new[1:] &= ~space[:-1]
+        new[head] = True
+        new[head[head + 1 < len(wide)] + 1] = False  # spaces at a text's start join the prefix's unit
+        start = np.flatnonzero(new)
+        end = np.r_[start[1:], len(wide)]
+        h = kernel.span_hash(kernel.prefix_hash(wide), start, end)
+        ids, n = self.memo.encode(h, wide, start, end)
+        owner = full[np.searchsorted(head, start, "right") - 1]
+        return ids, np.bincount(owner, n, len(size)).astype(np.int64)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: the machine read from its output side, bytes joined, the dummy prefix dropped."""
@@ -212,16 +242,14 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         m = machine(model)
         for b in batches:
-            for i, j, _, _ in common.chunks(b, "text", 1_000_000):
-                ids = [m.encode(t or "") for t in b.column(1).slice(i, j - i).to_pylist()]
-                size = np.array([len(x) for x in ids], np.int64)
-                flat = np.fromiter((y for x in ids for y in x), np.int32, int(size.sum()))
+            for i, j, data, offs in common.chunks(b, "text"):
+                flat, size = m.encode_many(data, offs)
                 at = np.r_[0, np.cumsum(size)].astype(np.int32)
                 raw = flat.astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(i, j - i), pa.array(size), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
-                        pa.array([m.decode(x) for x in ids], pa.string()),
+                        pa.array([m.decode(flat[x:y].tolist()) for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.string()),
                         pa.array([zlib.crc32(memoryview(raw[x:y])) for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.int64()),
                     ],
                     ["doc_id", "n_tokens", "ids", "decoded", "ids_crc32"],

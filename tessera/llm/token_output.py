@@ -8,8 +8,8 @@ column and offset indexes let a reader fetch lengths, or the ids of a few docume
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from . import common
+from . import common, kernel
+from .memo import SpanMemo
 
 END = 1
-#: Words whose ids a task remembers.
-MEMO = 400_000
 WRITER = {
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary": "true",
@@ -31,11 +30,17 @@ WRITER = {
     "parquet.page.row.count.limit": "2000",
     "compression": "zstd",
 }
-_SPLIT = re.compile("[ \t\n\r\x0b\x0c]+")
+
+
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(c) for c in ".,;:!?"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Ids of texts by the tokenizers library, one call for each new word.
+    """Ids of texts by the tokenizers library, asked once for each distinct word.
 
     Exact for tokenizers whose pre-tokens never cross white space and whose normaliser drops it, as the word BPE
     file has it: ids of a text are those of its words, one after another.
@@ -46,39 +51,61 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.memo: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another (each text's followed by END), and the length of each text."""
-        memo = self.memo
-        split = [_SPLIT.split(t) for t in texts]
-        new = {w for ws in split for w in ws if w not in memo}
-        if new:
-            new.discard("")
-            order = list(new)
-            for w, e in zip(order, self.tok.encode_batch(order, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, np.int32)
-            memo[""] = np.zeros(0, np.int32)
-        end = np.array([END], np.int32)
-        parts: list[np.ndarray] = []
-        size = np.zeros(len(texts), np.int64)
-        for k, ws in enumerate(split):
-            at = len(parts)
-            parts += [memo[w] for w in ws]
-            parts.append(end)
-            size[k] = sum(map(len, parts[at:]))
-        if len(memo) > MEMO:
-            memo.clear()
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32), size
+        self.memo = SpanMemo(self._new)
+
+    def _new(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, a thousand at a time with spaces between; each token's offset tells its word."""
+        width = end - start + 1
+        to = np.cumsum(width)
+        joined = np.full(int(to[-1]), 32, np.uint8)
+        k = np.repeat(start - (to - width), width) + np.arange(len(joined))
+        last = np.zeros(len(joined), bool)
+        last[to - 1] = True
+        joined[~last] = data[k[~last]]
+        raw = joined.tobytes()
+        chars = np.r_[0, np.cumsum((joined & 0xC0) != 0x80)]
+        cuts = np.r_[0, to[999::1000][: (len(start) - 1) // 1000], to[-1]]
+        parts, sizes = [], []
+        done = self.tok.encode_batch([raw[i:j].decode() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())], add_special_tokens=False)
+        for g, e in enumerate(done):
+            mine = slice(1000 * g, 1000 * g + 1000)
+            edge = chars[np.r_[cuts[g], to[mine]]] - chars[cuts[g]]
+            where = np.fromiter(map(itemgetter(0), e.offsets), np.int64, len(e))
+            sizes.append(np.diff(np.searchsorted(where, edge)))
+            parts.append(np.array(e.ids, np.int32))
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts data[offs[i]:offs[i + 1]] one after another, each text's followed by END; ids per text."""
+        start, end, _, count = kernel.words(data, offs)
+        # pre-tokens never cross from a letter to one of these signs either
+        cut = np.flatnonzero(_SIGN[data[1:]] & _LETTER[data[:-1]]) + 1
+        cut = cut[np.searchsorted(offs, cut, "right") == np.searchsorted(offs, cut - 1, "right")]
+        start, end = np.sort(np.r_[start, cut]), np.sort(np.r_[end, cut])
+        doc = np.searchsorted(offs, start, "right") - 1
+        # the tokenizer lower-cases, but for its special tokens, which are case-sensitive
+        plain = b"<|" in data.tobytes()
+        h = kernel.span_hash(kernel.prefix_hash(data if plain else kernel.LOWER[data]), start, end)
+        ids, size = self.memo.encode(h, data, start, end)
+        per = np.bincount(doc, size, len(count)).astype(np.int64) + 1
+        out = np.full(int(per.sum()), END, np.int32)
+        out[np.arange(len(ids)) + np.repeat(doc, size)] = ids
+        return out, per
+
+
+def encoder(path: str) -> WordEncoder:
+    """One for each worker, with what it has seen."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
-        enc = WordEncoder(tokenizer)
+        enc = encoder(tokenizer)
         for b in batches:
-            for i, j, _, _ in common.chunks(b, "text"):
-                texts = [t or "" for t in b.column(1).slice(i, j - i).to_pylist()]
-                ids, size = enc.encode(texts)
+            for i, j, data, offs in common.chunks(b, "text"):
+                ids, size = enc.encode(data, offs)
                 offs = np.r_[0, np.cumsum(size)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offs), pa.array(ids))],
