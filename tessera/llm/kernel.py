@@ -47,6 +47,12 @@ def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((s[end] - s[start]) * inv[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def gram_hashes(s: np.ndarray, begin: int, end: int, n: int) -> np.ndarray:
+    """span_hash() of all spans of n bytes that start at begin..end."""
+    inv = _powers(P_INV, len(s))
+    return mix((s[begin + n : end + n] - s[begin:end]) * inv[begin:end] + U(n * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+
+
 def words(data: np.ndarray, offs: np.ndarray):
     """Start, end and segment of every word (run without [\\x20\\x09-\\x0D]) of the segments offs[i]..offs[i+1]."""
     inside = ~SPACE[data]

@@ -27,9 +27,10 @@ GRAM = 32
 BITS = 26
 PARTS = 4
 HOT = 1000
-#: Bytes that one suffix array takes, unless a group of one core has more.
-BLOCK = 100_000
-_STEP = 1 << 19
+#: Symbols that one suffix array takes, or a few more: groups of one core stay together.
+BLOCK = 60_000
+#: Window starts handled at once; arrays of so many stay in a core's cache.
+_STEP = 1 << 15
 _LOW = U((1 << 20) - 1)
 
 
@@ -111,30 +112,41 @@ def suffix_array(text) -> list[int]:
 
 
 def _anchors(data: np.ndarray, offs: np.ndarray, width: int):
-    """(prefix hashes, positions, their 32-gram hashes, texts) of all anchors of texts of at least width bytes."""
+    """All anchors of texts of at least width bytes: prefix hashes, positions, 32-gram hashes, texts, and the first
+    and last start of the windows that have chosen each."""
     s = kernel.prefix_hash(data)
     n, reach = len(data), width - GRAM + 1
     end = np.repeat(offs[1:], np.diff(offs))
-    found = []
+    found, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for b in range(0, max(0, n - width + 1), _STEP):
         e = min(n - GRAM + 1, b + _STEP + reach - 1)
-        p = np.arange(b, e)
-        h = kernel.span_hash(s, p, p + GRAM)
-        k = (h & ~_LOW) | (p - b).astype(U)
-        k[p + GRAM > end[b:e]] = ~U(0)
+        k = (kernel.gram_hashes(s, b, e, GRAM) & ~_LOW) | np.arange(e - b, dtype=U)
+        k[np.arange(b + GRAM, e + GRAM) > end[b:e]] = ~U(0)
         span = 1
         while span * 2 <= reach:
             k = np.minimum(k[: len(k) - span], k[span:])
             span *= 2
         if span < reach:
             k = np.minimum(k[: len(k) - (reach - span)], k[reach - span :])
-        starts = np.arange(b, b + len(k))[: min(len(k), _STEP)]
-        at = (k[: len(starts)][starts + width <= end[starts]] & _LOW).astype(np.int64) + b
-        found.append(at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at)
-    at = np.concatenate(found) if found else np.zeros(0, np.int64)
-    at = np.unique(at)
+        at = np.arange(b, b + len(k))
+        ok = at + width <= end[at]
+        found.append((k[ok] & _LOW).astype(np.int64) + b)
+        starts.append(at[ok])
+    at, start = np.concatenate(found), np.concatenate(starts)
+    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    first, last = start[new], start[np.r_[new[1:] - 1, len(at) - 1]] if len(at) else start
+    at = at[new]
     doc = np.searchsorted(offs, at, "right") - 1
-    return s, at, kernel.span_hash(s, at, at + GRAM), doc
+    return s, at, kernel.span_hash(s, at, at + GRAM), doc, first, last
+
+
+def _place_key(h: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Hash of something at a place, as _place_column() has it."""
+    return h ^ (ids.astype(np.int64).view(U) << U(20)) ^ pos.astype(np.int64).view(U)
+
+
+def _place_column(h: str, doc: str, pos: str):
+    return F.col(h).bitwiseXOR(F.shiftleft(F.coalesce(F.col(doc), F.lit(0).cast("long")), 20)).bitwiseXOR(F.col(pos))
 
 
 def _part(q: int, reach: int) -> tuple[int, int]:
@@ -171,179 +183,253 @@ def _anchor_hashes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _surroundings(docs: DataFrame, width: int, repeated: np.ndarray) -> DataFrame:
-    """(a, c, doc_id, pos, lo, hi) of the anchors in the bitmap: c hashes the bytes lo..hi around one."""
+    """(a, c, doc_id, pos) of the anchors in the bitmap: c hashes the bytes around one. c is null where the same task has
+    met the same surroundings at an earlier place; such a place needs no further look."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches):
-        for b, i, data, offs in _chunks(batches):
-            s, at, a, doc = _anchors(data, offs, width)
-            ok = common.in_bitmap(shared.value, a, BITS)
-            at, a, doc = at[ok], a[ok], doc[ok]
-            lo, hi = _spans(s, offs, at, doc, 0, width - GRAM, width)
-            c = mix(kernel.span_hash(s, lo, hi) + (at - lo).astype(U) * _salt(7))
-            ids, base = b.column(0).take(pa.array(doc + i)), offs[doc]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_i64(a)), pa.array(_i64(c)), ids, pa.array(at - base), pa.array(lo - base), pa.array(hi - base)], ["a", "c", "doc_id", "pos", "lo", "hi"]
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "a long, c long, doc_id long, pos long, lo long, hi long")
-
-
-def _parts(docs: DataFrame, width: int, wanted: np.ndarray, by: str, text: bool) -> DataFrame:
-    """(s, k, q, doc_id, pos, lo, hi[, bytes]) of parts: s hashes the bytes lo..hi, k the core.
+        for b in batches:
+            got = []
+            ids = b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            for i, _, data, offs in common.chunks(b, "text"):
+                s, at, a, doc, _, _ = _anchors(data, offs, width)
+                ok = common.in_bitmap(shared.value, a, BITS)
+                at, a, doc = at[ok], a[ok], doc[ok]
+                lo, hi = _spans(s, offs, at, doc, 0, width - GRAM, width)
+                c = mix(kernel.span_hash(s, lo, hi) + (at - lo).astype(U) * _salt(7))
+                got.append((_i64(a), _i64(c), ids[doc + i], at - offs[doc]))
+            if not got:
+                continue
+            a, c, doc, pos = (np.concatenate(x) for x in zip(*got))
+            order = np.lexsort((pos, doc, c, a))
+            a, c, doc, pos = a[order], c[order], doc[order], pos[order]
+            again = np.zeros(len(a), bool)
+            again[1:] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
+            # rows at the very place of the first (they share a doc_id) aren't later ones
+            head = np.maximum.accumulate(np.where(again, 0, np.arange(len(a)))) if len(a) else again
+            again &= (doc != doc[head]) | (pos != pos[head])
+            cols = [pa.array(a, mask=again), pa.array(c, mask=again), pa.array(doc, mask=doc == -(1 << 63)), pa.array(pos)]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "c", "doc_id", "pos"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "a long, c long, doc_id long, pos long")
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """(doc_id, pos, p) from (a, c, doc_id, pos): places whose surroundings stand earlier too (p null), and the first places of
+    surroundings whose anchor has several (p: hash of c and the place). Memory doesn't grow with a group."""
+    parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    wanted is a bitmap of surroundings (by = 'c') or of parts (by = 's'); each is given once a task at least.
+    def run(batches):
+        # of the run that goes on: anchor, surroundings, the place of their first row; the anchor's one first row not yet given out
+        last, waiting = None, None
+        for b in batches:
+            a, c, pos = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            doc = b.column(2).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            n = len(a)
+            if not n:
+                continue
+            new_c = np.ones(n, bool)
+            new_c[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+            new_a = np.ones(n, bool)
+            new_a[1:] = a[1:] != a[:-1]
+            if last is not None:
+                new_a[0] = a[0] != last[0]
+                new_c[0] = new_a[0] or c[0] != last[1]
+            head = np.maximum.accumulate(np.where(new_c, np.arange(n), -1))
+            hd = np.where(head >= 0, doc[head], last[2] if last else 0)
+            hp = np.where(head >= 0, pos[head], last[3] if last else 0)
+            later = ~new_c & ((doc != hd) | (pos != hp))
+            # firsts of anchors with several: those that follow another first of their anchor, and the one they follow
+            first = np.flatnonzero(new_c)
+            second = first[~new_a[first]]
+            before = first[np.searchsorted(first, second) - 1]
+            mine = np.searchsorted(first, second) > 0
+            give = np.zeros(n, bool)
+            give[second] = True
+            give[before[mine]] = True
+            out = [(doc[later], pos[later], None), (doc[give], pos[give], c[give])]
+            if len(second) and not mine[0] and waiting is not None:
+                out.append(tuple(np.array([x]) for x in waiting))
+            if len(first):
+                k = first[-1]
+                waiting = None if give[k] else (doc[k], pos[k], c[k])
+                last = (a[-1], c[-1], doc[k], pos[k])
+            elif last is not None and len(second):
+                waiting = None
+            for d, x, h in out:
+                if len(d):
+                    none = d == -(1 << 63)
+                    key = np.zeros(len(d), U) if h is None else _place_key(h.view(U), np.where(none, 0, d), x)
+                    yield pa.RecordBatch.from_arrays([pa.array(d, mask=none), pa.array(x), pa.array(_i64(key), mask=np.full(len(d), h is None))], ["doc_id", "pos", "p"])
+
+    dealt = rows.where("c is not null").repartition(parts, "a").sortWithinPartitions("a", "c", F.col("doc_id").asc_nulls_first(), "pos")
+    return dealt.mapInArrow(run, "doc_id long, pos long, p long")
+
+
+def _parts(docs: DataFrame, width: int, wanted: np.ndarray, by: str) -> DataFrame:
+    """(s, k, q, doc_id, pos, lo, hi, [left, right]) of parts that hold a window of their anchor's: s hashes the bytes lo..hi, k the core.
+
+    wanted is a bitmap of places: surroundings (by = 'c') or parts (by = 's'). For parts the bytes before and behind the
+    core come too.
     """
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
     reach = width - GRAM + 1
-    names = ["s", "k", "q", "doc_id", "pos", "lo", "hi"]
+    names = ["s", "k", "q", "doc_id", "pos", "lo", "hi"] + ["left", "right"] * (by == "s")
 
     def run(batches):
-        seen: set = set()
         for b, i, data, offs in _chunks(batches):
-            s, at, a, doc = _anchors(data, offs, width)
+            s, at, a, doc, first, last = _anchors(data, offs, width)
+            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             if by == "c":
                 lo, hi = _spans(s, offs, at, doc, 0, width - GRAM, width)
                 c = mix(kernel.span_hash(s, lo, hi) + (at - lo).astype(U) * _salt(7))
-                ok = common.in_bitmap(shared.value, c, BITS)
-                at, doc = at[ok], doc[ok]
+                ok = common.in_bitmap(shared.value, _place_key(c, ids[doc + i], at - offs[doc]), BITS)
+                at, doc, first, last = at[ok], doc[ok], first[ok], last[ok]
             for q in range(PARTS):
                 d0, d1 = _part(q, reach)
-                # the core lies in every window of the part
-                ok = (at - d0 >= offs[doc]) & (at - d1 + width <= offs[doc + 1])
+                # the core lies in every window of the part, and one window at least has chosen the anchor
+                ok = (at - d0 >= offs[doc]) & (at - d1 + width <= offs[doc + 1]) & (first <= at - d0) & (last >= at - d1)
                 x, dx = at[ok], doc[ok]
                 lo, hi = _spans(s, offs, x, dx, d0, d1, width)
                 h = mix(kernel.span_hash(s, lo, hi) + (x - lo).astype(U) * _salt(11 + q))
                 k = mix(kernel.span_hash(s, x - d0, x - d1 + width) + _salt(31 + q))
                 if by == "s":
-                    ok = common.in_bitmap(shared.value, h, BITS)
-                    new = []
-                    for y in np.flatnonzero(ok).tolist():
-                        z = int(h[y])
-                        if z not in seen:
-                            seen.add(z)
-                            new.append(y)
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    new = np.array(new, np.int64)
-                    x, dx, lo, hi, h, k = x[new], dx[new], lo[new], hi[new], h[new], k[new]
+                    ok = common.in_bitmap(shared.value, _place_key(h, ids[dx + i], x - offs[dx]), BITS)
+                    x, dx, lo, hi, h, k = x[ok], dx[ok], lo[ok], hi[ok], h[ok], k[ok]
                 base = offs[dx]
                 cols = [pa.array(_i64(h)), pa.array(_i64(k)), pa.array(np.full(len(x), q, np.int32)), b.column(0).take(pa.array(dx + i))]
                 cols += [pa.array(y - base) for y in (x, lo, hi)]
-                if not text:
-                    yield pa.RecordBatch.from_arrays(cols, names)
-                    continue
-                for z in range(0, len(x), 5000):
-                    raw = [data[u:v].tobytes() for u, v in zip(lo[z : z + 5000].tolist(), hi[z : z + 5000].tolist())]
-                    yield pa.RecordBatch.from_arrays([y.slice(z, 5000) for y in cols] + [pa.array(raw, pa.binary())], [*names, "bytes"])
-
-    schema = "s long, k long, q int, doc_id long, pos long, lo long, hi long" + ", bytes binary" * text
+                if by == "s":
+                    cols.append(pa.array([data[u:v].tobytes() for u, v in zip(lo.tolist(), (x - d0).tolist())], pa.binary()))
+                    cols.append(pa.array([data[u:v].tobytes() for u, v in zip((x - d1 + width).tolist(), hi.tolist())], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    schema = "s long, k long, q int, doc_id long, pos long, lo long, hi long" + ", left binary, right binary" * (by == "s")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _sorted_windows(rows: list[tuple[int, int, bytes]], width: int) -> list[tuple[int, int, int]]:
-    """(row, lo, hi) of the runs of rows' bytes that lie in windows which an earlier row has too; rows: doc_id, lo, bytes."""
-    text, owner, start = [], [], []
-    for r, (_, lo, raw) in enumerate(rows):
-        text += [c + 1 for c in raw]
+def _sorted_windows(rows: list[tuple], width: int) -> list[tuple[int, int, int]]:
+    """(row, lo, hi) of the runs of rows' bytes that lie in windows which an earlier place has too.
+
+    rows: core, part, doc_id, lo, bytes before and behind the core, in order of cores. A core stands in the text that is
+    sorted as one symbol of its own, so a window of part q always has as many symbols as its part has starts, and one.
+    """
+    reach = width - GRAM + 1
+    text, owner, start, core, skew, need = [], [], [], 256, [], []
+    for r, (k, q, _, _, left, right) in enumerate(rows):
+        d0, d1 = _part(q, reach)
+        core += r == 0 or k != rows[r - 1][0]
+        text += [c + 1 for c in left]
+        text.append(core + 1)
+        text += [c + 1 for c in right]
         text.append(0)
-        owner.append(np.full(len(raw) + 1, r))
-        start.append(np.arange(len(raw) + 1))
+        skew.append(d1 - d0 - len(left))
+        need.append(d1 - d0 + 1)
+        owner.append(np.full(len(left) + len(right) + 2, r))
+        start.append(np.arange(len(left) + len(right) + 2))
     x = np.array(text)
     owner, start = np.concatenate(owner), np.concatenate(start)
-    length = np.array([len(r[2]) for r in rows])
+    nl, nr, skew, need = np.array([len(r[4]) for r in rows]), np.array([len(r[5]) for r in rows]), np.array(skew), np.array(need)
     sa = np.array(suffix_array(text))
-    sa = sa[start[sa] + width <= length[owner[sa]]]
+    own = owner[sa]
+    # windows start before the core or at it, and what they take behind it must be there
+    sa = sa[(start[sa] <= nl[own]) & (start[sa] + skew[own] <= nr[own])]
     if len(sa) < 2:
         return []
-    same = np.ones(len(sa) - 1, bool)
-    for k in range(width):
-        same &= x[sa[1:] + k] == x[sa[:-1] + k]
+    own = owner[sa]
+    x = np.r_[x, np.zeros(int(need.max()), x.dtype)]
+    same = need[own][1:] == need[own][:-1]
+    for k in range(int(need.max())):
+        same &= (x[sa[1:] + k] == x[sa[:-1] + k]) | (k >= need[own][1:])
     klass = np.r_[0, np.cumsum(~same)]
-    doc = np.array([r[0] for r in rows])[owner[sa]]
-    at = np.array([r[1] for r in rows])[owner[sa]] + start[sa]
+    doc = np.array([r[2] for r in rows])[own]
+    at = np.array([r[3] for r in rows])[own] + start[sa]
     order = np.lexsort((at, doc, klass))
     # a window may stand in two parts of one text; only other places than the class's first are late
     head = np.maximum.accumulate(np.where(np.r_[True, klass[order][1:] != klass[order][:-1]], np.arange(len(order)), 0))
     late = (doc[order] != doc[order][head]) | (at[order] != at[order][head])
-    out = []
-    by_row: dict[int, list[int]] = {}
-    for y in order[late].tolist():
-        by_row.setdefault(int(owner[sa[y]]), []).append(int(at[y]))
-    for r, starts in by_row.items():
-        starts.sort()
-        lo = hi = None
-        for p in starts:
-            if hi is not None and p <= hi:
-                hi = p + width
-            else:
-                if hi is not None:
-                    out.append((r, lo, hi))
-                lo, hi = p, p + width
-        out.append((r, lo, hi))
-    return out
+    late = order[late]
+    late = late[np.lexsort((at[late], own[late]))]
+    if not len(late):
+        return []
+    r, p = own[late], at[late]
+    cut = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (p[1:] > p[:-1] + width)])
+    return list(zip(r[cut].tolist(), p[cut].tolist(), (p[np.r_[cut[1:] - 1, len(p) - 1]] + width).tolist()))
 
 
 def _by_suffixes(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, lo, hi) from parts (k, doc_id, lo, bytes): windows that an earlier part of the same core has."""
+    """(doc_id, lo, hi): windows of parts that an earlier part of the same core has."""
     parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def emit(block):
         found = _sorted_windows(block, width)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([None if block[r][0] == -(1 << 63) else block[r][0] for r, _, _ in found], pa.int64()), pa.array([x for _, x, _ in found], pa.int64()), pa.array([y for _, _, y in found], pa.int64())],
-            ["doc_id", "lo", "hi"],
-        )
+        ids = [None if block[r][2] == -(1 << 63) else block[r][2] for r, _, _ in found]
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ids, [x for _, x, _ in found], [y for _, _, y in found])], ["doc_id", "lo", "hi"])
 
     def run(batches):
         block, group, key, size = [], [], None, 0
         for b in batches:
-            for k, doc, lo, raw in zip(*(b.column(c).to_pylist() for c in range(4))):
-                if k != key:
-                    if size + sum(len(r[2]) for r in group) > BLOCK and block:
+            for row in zip(*(b.column(c).to_pylist() for c in range(6))):
+                if row[0] != key:
+                    if size > BLOCK:
                         yield emit(block)
                         block, size = [], 0
                     block += group
-                    size += sum(len(r[2]) for r in group)
-                    group, key = [], k
-                group.append((doc if doc is not None else -(1 << 63), lo, raw))
+                    group, key = [], row[0]
+                k, q, doc, lo, left, right = row
+                size += len(left) + len(right) + 2
+                group.append((k, q, doc if doc is not None else -(1 << 63), lo, left, right))
         block += group
         if block:
             yield emit(block)
 
-    dealt = rows.select("k", "doc_id", "lo", "bytes").repartition(parts, "k").sortWithinPartitions("k")
+    dealt = rows.select("k", "q", "doc_id", "lo", "left", "right").repartition(parts, "k").sortWithinPartitions("k")
     return dealt.mapInArrow(run, "doc_id long, lo long, hi long")
 
 
+def _by_windows(rows: DataFrame, width: int) -> DataFrame:
+    """The same by grouping all windows, for cores with many parts."""
+    span = F.array(*[F.lit(_part(q, width - GRAM + 1)[1] - _part(q, width - GRAM + 1)[0]) for q in range(PARTS)])
+    skew = F.get(span, F.col("q")) - F.length("left")
+    most = F.least(F.length("left"), F.length("right") - skew)
+    at = F.explode(F.when(most >= 0, F.sequence(F.lit(0), most)).otherwise(F.array().cast("array<int>")))
+    windows = rows.select("doc_id", "lo", "k", "q", "left", "right", skew.alias("skew"), at.alias("o"))
+    key = F.struct("k", "q", "o", "skew", F.substring("left", F.col("o") + 1, F.length("left")).alias("l"), F.substring("right", F.lit(1), F.col("o") + F.col("skew")).alias("r"))
+    text = F.concat(F.col("w.k").cast("string"), F.lit("|"), F.col("w.q").cast("string"), F.lit("|"), F.hex("w.l"), F.lit("|"), F.hex("w.r"))
+    windows = windows.select("doc_id", (F.col("lo") + F.col("o")).alias("lo"), key.alias("w")).select("doc_id", "lo", F.sha2(text, 256).alias("w"))
+    least = windows.groupBy("w").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.count("*").alias("m")).where("m > 1")
+    return windows.join(least, "w").where(F.struct("doc_id", "lo") != F.col("f")).select("doc_id", "lo", (F.col("lo") + width).alias("hi"))
+
+
 def repeats(docs: DataFrame, width: int = 100) -> DataFrame:
-    """(doc_id, lo, hi): runs of bytes lo..hi covered by strings of width bytes that also start earlier; they may overlap."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, lo, hi): runs of bytes lo..hi covered by strings of width bytes that also start earlier.
+
+    They may overlap, and hi may lie beyond the text's end.
+    """
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     counts = _anchor_hashes(docs, width).groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
-    rows = common.table(_surroundings(docs, width, common.bitmap(counts, "a", BITS)), "anchors")
-    here = F.struct("doc_id", "pos")
-    first = common.table(rows.groupBy("a", "c").agg(F.min(here).alias("f")), "first")
-    full = rows.join(first, ["a", "c"]).where((here != F.col("f")) & (F.col("hi") - F.col("lo") >= width)).select("doc_id", "lo", "hi")
-    several = first.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    unclear = common.table(first.join(several, "a").select("c"), "unclear")
-    parts = common.table(_parts(docs, width, common.bitmap(unclear, "c", BITS), "c", False), "parts")
-    first_part = common.table(
-        parts.groupBy("s", "q", "k").agg(F.min(F.struct("doc_id", "pos", "lo", "hi")).alias("f")), "first-parts"
-    )
+    repeated = common.bitmap(counts, "a", BITS)
+    common.free(spark)
+    rows = common.table(_surroundings(docs, width, repeated), "anchors")
+    told = common.table(_told(rows), "told")
+    common.free(spark)
+    around = F.greatest(F.lit(0).cast("long"), F.col("pos") - (width - GRAM)).alias("lo"), (F.col("pos") + width).alias("hi")
+    full = rows.where("c is null").select("doc_id", *around).union(told.where("p is null").select("doc_id", *around))
+    unclear = told.where("p is not null")
+    parts = common.table(_parts(docs, width, common.bitmap(unclear, "p", BITS), "c"), "parts")
+    first_part = common.table(parts.groupBy("s", "q", "k").agg(F.min(F.struct("doc_id", "pos", "lo", "hi")).alias("f")), "first-parts")
     full_part = (
         parts.join(first_part, ["s", "q", "k"]).where(F.struct("doc_id", "pos") != F.struct("f.doc_id", "f.pos")).select("doc_id", "lo", "hi")
     )
     cores = first_part.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    open_parts = common.table(first_part.join(cores, "k").select("s", "k", "q", "n", "f.doc_id", "f.lo"), "open-parts")
-    raw = _parts(docs, width, common.bitmap(open_parts, "s", BITS), "s", True).dropDuplicates(["s", "q", "k"]).select("s", "q", "k", "bytes")
-    held = common.table(open_parts.join(raw, ["s", "q", "k"]), "held")
-    by_suffix = _by_suffixes(held.where(F.col("n") <= HOT), width)
-    at = F.explode(F.sequence(F.lit(0), F.length("bytes") - width))
-    windows = held.where(F.col("n") > HOT).select("doc_id", "lo", "bytes", at.alias("o")).select(
-        "doc_id", (F.col("lo") + F.col("o")).alias("lo"), F.sha2(F.substring("bytes", F.col("o") + 1, F.lit(width)), 256).alias("w")
-    )
-    least = windows.groupBy("w").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.count("*").alias("m")).where("m > 1")
-    by_window = windows.join(least, "w").where(F.struct("doc_id", "lo") != F.col("f")).select("doc_id", "lo", (F.col("lo") + width).alias("hi"))
-    return full.union(full_part).union(by_suffix).union(by_window)
+    open_parts = common.table(first_part.join(cores, "k").select("s", "k", "q", "n", "f.doc_id", "f.pos", "f.lo"), "open-parts")
+    places = common.bitmap(open_parts.select(_place_column("s", "doc_id", "pos").alias("p")), "p", BITS)
+    raw = _parts(docs, width, places, "s").select("s", "k", "q", F.col("doc_id").alias("d"), F.col("pos").alias("p"), "left", "right")
+    same = (F.col("pos") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    held = common.table(open_parts.join(raw, ["s", "q", "k"]).where(same).drop("d", "p"), "held")
+    common.free(spark)
+    found = full.union(full_part).union(_by_suffixes(held.where(F.col("n") <= HOT), width))
+    return found.union(_by_windows(held.where(F.col("n") > HOT), width))
 
 
 def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
