@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +49,48 @@ def unmet(expectations: DataFrame, actual: DataFrame, keys: list[str]) -> DataFr
     return expectations.join(have, keys, "left").where(found != F.col("count")).select(*keys, "count", found.alias("found"))
 
 
+def _bytes(text: pa.Array):
+    """Bytes of a batch of texts, where each begins (and the last ends), and where its newlines are; null counts as empty."""
+    text = text.fill_null("").cast(pa.large_binary())
+    begin = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[: begin[-1]]
+    return begin, np.flatnonzero(data[begin[0] :] == 10) + begin[0]
+
+
+def line_ends(texts: DataFrame) -> DataFrame:
+    """Anchors (file_id, offset) of texts (file_id, text): each newline, and the end; of a null text 0."""
+    def run(batches):
+        for b in batches:
+            begin, lf = _bytes(b.column("text"))
+            doc = np.searchsorted(begin, lf, "right") - 1
+            rows = np.r_[doc, np.arange(len(begin) - 1)]
+            yield pa.RecordBatch.from_arrays([b.column("file_id").take(pa.array(rows)), pa.array(np.r_[lf - begin[doc], np.diff(begin)])], ["file_id", "offset"])
+
+    return texts.select(F.col("file_id").cast("bigint"), "text").mapInArrow(run, "file_id long, offset long")
+
+
 def positions(texts: DataFrame, anchors: DataFrame) -> DataFrame:
-    """anchors (file_id, offset) with line and column (from 1) counted over the bytes of texts (file_id, text)."""
-    raw = F.encode("text", "UTF-8")
-    head = F.substring(raw, F.lit(1), F.col("offset").cast("int"))
-    lines = F.size(F.split(F.decode(head, "ISO-8859-1"), "\n"))
-    last = F.length(F.element_at(F.split(F.decode(head, "ISO-8859-1"), "\n"), -1))
-    return anchors.join(texts, "file_id").select("file_id", "offset", lines.cast("bigint").alias("line"), (last + 1).cast("bigint").alias("column_no"))
+    """anchors (file_id, offset) with line and column (from 1) counted over the bytes of texts (file_id, text).
+
+    A text is scanned once for all its anchors. Offsets beyond its ends count as the ends; a null text or offset has no position.
+    """
+    def run(batches):
+        for b in batches:
+            text, at = b.column("text"), b.column("at")
+            begin, lf = _bytes(text)
+            rows = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy())
+            offset = at.flatten().field(0)
+            lost = np.array(offset.is_null()) | np.array(text.is_null())[rows]
+            place = begin[rows] + np.clip(offset.fill_null(0).to_numpy(), 0, np.diff(begin)[rows])
+            before, first = np.searchsorted(lf, place), np.searchsorted(lf, begin[rows])
+            last = np.where(before > first, np.r_[0, lf][before], begin[rows] - 1)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("file_id").take(pa.array(rows)), offset, pa.array(before - first + 1, mask=lost), pa.array(place - last, mask=lost)], ["file_id", "offset", "line", "column_no"]
+            )
+
+    at = anchors.groupBy(F.col("file_id").cast("bigint").alias("_f")).agg(F.collect_list(F.struct(F.col("offset").cast("bigint").alias("offset"))).alias("at"))
+    both = texts.join(at, F.col("file_id").eqNullSafe(F.col("_f"))).select(F.col("file_id").cast("bigint"), "text", "at")
+    return both.mapInArrow(run, "file_id long, offset long, line long, column_no long")
 
 
 def sql_check(spark, tables: dict[str, DataFrame], sql: str) -> DataFrame:

@@ -125,6 +125,16 @@ def _(m):
     return m.base("documents").where("length(text) >= 5").select("doc_id", F.hex(F.encode(X.source_slice(F.col("text"), F.lit(0), F.length(raw)), "UTF-8")).alias("piece"))
 
 
+@query("fn11_source_slice_whole", """
+select doc_id, 'all' as part, text as piece from {documents} union all select doc_id, 'head', left(text, length(text) // 2) from {documents}
+union all select doc_id, 'tail', substr(text, length(text) // 2 + 1) from {documents}""")
+def _(m):
+    text, zero = F.col("text"), F.lit(0)
+    cut, end = F.octet_length(F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))), F.octet_length(text)
+    part = lambda name, a, b: F.struct(F.lit(name).alias("part"), X.source_slice(text, a, b).alias("piece"))
+    return m.base("documents").select("doc_id", F.inline(F.array(part("all", zero, end), part("head", zero, cut), part("tail", cut, end))))
+
+
 @query("fn18_usr_suffix", "select id, case when contains(usr, '@F@') then concat('@F@', split_part(usr, '@F@', 2)) else '' end as suffix from {symbols}")
 def _(m):
     return m.symbols.select("id", X.usr_suffix(F.col("usr")).alias("suffix"))
@@ -490,6 +500,15 @@ def _(m):
     return audit.positions(docs.select(F.col("doc_id").alias("file_id"), "text"), docs.select(F.col("doc_id").alias("file_id"), F.lit(20).cast("bigint").alias("offset")))
 
 
+@query("ver07_positions_whole", """
+with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as k, unnest(string_split(text, chr(10))) as s from {documents} where text is not null)
+select doc_id as file_id, cast(sum(strlen(s) + 1) over (partition by doc_id order by k) - 1 as bigint) as "offset", k as line, cast(strlen(s) + 1 as bigint) as column_no from l
+union all select doc_id, 0, null, null from {documents} where text is null""")
+def _(m):
+    docs = m.base("documents").select(F.col("doc_id").alias("file_id"), "text")
+    return audit.positions(docs, audit.line_ends(docs))
+
+
 @query("ver07_sql_audit", "select source_id, count(distinct target_symbol) as n from {edges} where kind = 8 and is_virtual = false group by source_id having count(distinct target_symbol) > 3")
 def _(m):
     return audit.sql_check(m._spark, {"m_edges": m.edges}, "select source_id, count(distinct target_symbol) as n from m_edges where kind = 8 and is_virtual = false group by source_id having count(distinct target_symbol) > 3")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import analysis, audit, canon, fixpoint, resolve
+from tessera.plans import queries
 from tessera.sources import commands, snapshot
 from tessera.streaming import ingest
 
@@ -90,6 +91,24 @@ def test_positions(spark):
     assert pairs(audit.positions(t, at)) == [(1, 0, 1, 1), (1, 3, 2, 1), (1, 7, 3, 1)]
 
 
+def test_positions_of_whole_documents(spark, tmp_path):
+    texts = [(1, "ab\ncé\nd", "fr"), (2, None, "en"), (3, "", "en"), (4, "\n\n", "de"), (5, "ñandú " * 30 + "\nend", "es"), (6, "no newline at all, and plain text beyond twenty characters", "en")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    raw = {i: (t or "").encode() for i, t, _ in texts}
+    want = []
+    for i, t, _ in texts:
+        for k in [*(k for k, c in enumerate(raw[i]) if c == 10), len(raw[i])]:
+            head = raw[i][:k]
+            want.append((i, k, None, None) if t is None else (i, k, head.count(b"\n") + 1, k - head.rfind(b"\n")))
+    got = queries.queries()["ver07_positions_whole"](spark, f"file://{tmp_path}")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    far = spark.createDataFrame([(1, 99), (1, -3), (1, None)], "file_id long, offset long")
+    assert sorted(map(tuple, audit.positions(spark.createDataFrame([(1, "a\nb")], "file_id long, text string"), far).collect()), key=str) == [(1, -3, 1, 1), (1, 99, 2, 2), (1, None, None, None)]
+    pieces = {(r["doc_id"], r["part"]): r["piece"] for r in queries.queries()["fn11_source_slice_whole"](spark, f"file://{tmp_path}").collect()}
+    cut = lambda t: len(t) // 2
+    assert pieces == {(i, p): None if t is None else f(t) for i, t, _ in texts for p, f in (("all", str), ("head", lambda t: t[: cut(t)]), ("tail", lambda t: t[cut(t) :]))}
+
+
 def test_snapshot_is_atomic(spark, tmp_path):
     path = f"file://{tmp_path}/snap"
     one = spark.createDataFrame([(1, "a")], "id long, x string")
