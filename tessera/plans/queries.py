@@ -173,6 +173,18 @@ def _(m):
     return canon.detach(m.edges, m.revisions, tus).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("can02_detach_incomplete", """
+with a as (select arg_max(id, (seen_at, id)) as rid, arg_max(quality, (seen_at, id)) as q from {revisions} group by tu_id), gone as (select rid from a where q <> 0)
+select 'edges' as what, count(*) as n from {edges} where revision_id not in (select rid from gone)
+union all select 'occurrences', count(*) from {occurrences} where revision_id not in (select rid from gone)""")
+def _(m):
+    """Both observation tables without the units whose active revision isn't complete."""
+    active = canon.active_revisions(m.revisions).select(F.col("revision_id").alias("id"))
+    tus = m.revisions.where("quality <> 0").join(active, "id", "left_semi").select("tu_id")
+    left = lambda what, t: canon.detach(t, m.revisions, tus).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return left("edges", m.edges).union(left("occurrences", m.occurrences))
+
+
 @query("can05_active_revisions", "select tu_id, arg_max(id, (seen_at, id)) as revision_id from {revisions} group by tu_id")
 def _(m):
     return canon.active_revisions(m.revisions)
@@ -253,6 +265,14 @@ def _(m):
     return canon.live_types(m.types, m.type_children, m.symbols.where("type_id = 7").select(F.col("type_id").alias("id")))
 
 
+@query("can18_live_types_used", """
+with recursive r as (select id from (select type_id as id from {symbols} union select type_id from {occurrences}) where id is not null union select c.child_id from r join {type_children} c on c.type_id = r.id)
+select id, kind, canonical_spelling from {types} where id in (select id from r)""")
+def _(m):
+    used = m.symbols.select(F.col("type_id").alias("id")).union(m.occurrences.select("type_id"))
+    return canon.live_types(m.types, m.type_children, used)
+
+
 @query("can18_live_symbols", """
 with a as (select arg_max(id, (seen_at, id)) as rid from {revisions} group by tu_id)
 select id, usr from {symbols} where id in (select symbol_id from {occurrences} where revision_id in (select rid from a))""")
@@ -399,6 +419,14 @@ def _(m):
     return analysis.stranded_bindings(m.edges, m.symbols, m.occurrences.where("symbol_id % 3 = 0"))
 
 
+@query("ana10_stranded_bindings_all", """
+with d as (select distinct symbol_id as id from {occurrences} where role = 1), g as (select * from {symbols} where id in (select id from d))
+select e.id as edge_id, s.id as target_symbol from {edges} e join {symbols} s on s.id = e.target_symbol
+where e.kind = 8 and e.resolution <> 3 and s.id not in (select id from d) and s.logical_id not in (select logical_id from g) and s.usr in (select usr from g where usr <> '')""")
+def _(m):
+    return analysis.stranded_bindings(m.edges, m.symbols, m.occurrences)
+
+
 @query("ana11_unresolved_reachable", GRAPH + """, d as (select call_observation as id from {summaries} where complete and not storage_escapes),
 u as (select * from {edges} where kind = 8 and resolution = 3 and source_id in (select id from r) and id not in (select id from d))
 select case when target_domain = 0 then 'calls.project-unresolved' when target_domain = 3 or dispatch = 3 then 'calls.indirect-unresolved' else 'calls.unclassified-unresolved' end as class, count(*) as n
@@ -485,6 +513,19 @@ def _(m):
     return audit.semantic_diff(m.edges.where("id % 3 <> 0").select("kind", "source_id"), m.edges.where("id % 5 <> 0").select("kind", "source_id"))
 
 
+@query("ver05_semantic_diff_revisions", """
+with v as (select arg_max(id, (seen_at, id)) as rid from {revisions} group by tu_id),
+x as (select kind, source_id, target_symbol, resolution, dispatch, case when revision_id in (select rid from v) then 1 when revision_id in (select id from {revisions}) then -1 else 0 end as d from {edges}),
+y as (select kind, source_id, target_symbol, resolution, dispatch, sum(d) as d from x group by all)
+select kind, source_id, target_symbol, resolution, dispatch, case when d > 0 then '+' else '-' end as side, cast(abs(d) as bigint) as times from y where d <> 0""")
+def _(m):
+    """Edges of superseded revisions against those of the active ones; what no revision holds is in both."""
+    row = ["kind", "source_id", "target_symbol", "resolution", "dispatch"]
+    active = canon.active_revisions(m.revisions).select("revision_id")
+    old = m.revisions.select(F.col("id").alias("revision_id")).join(active, "revision_id", "left_anti")
+    return audit.semantic_diff(m.edges.join(active, "revision_id", "left_anti").select(*row), m.edges.join(old, "revision_id", "left_anti").select(*row))
+
+
 @query("ver04_unmet_expectations", """
 with w as (select kind, cast(40 as bigint) as c from {symbols} group by kind) select w.kind, w.c as "count", count(*) as found from w join {symbols} s using (kind) group by 1, 2 having count(*) <> w.c""")
 def _(m):

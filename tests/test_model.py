@@ -109,6 +109,29 @@ def test_positions_of_whole_documents(spark, tmp_path):
     assert pieces == {(i, p): None if t is None else f(t) for i, t, _ in texts for p, f in (("all", str), ("head", lambda t: t[: cut(t)]), ("tail", lambda t: t[cut(t) :]))}
 
 
+class Tables:
+    """A model of given tables."""
+
+    def __init__(self, spark, **tables):
+        self._spark = spark
+        for name, (rows, schema) in tables.items():
+            setattr(self, name, spark.createDataFrame(rows, schema))
+
+
+def test_operators_take_whole_tables(spark):
+    run = lambda name, m: sorted(map(tuple, queries.Q[name][0](m).collect()), key=str)
+    types = ([(k, 0, f"t{k}") for k in range(1, 8)], "id long, kind int, canonical_spelling string")
+    s = ([(1, "u", "A", 1), (2, "u", "B", None)], "id long, usr string, logical_id string, type_id long")
+    o = ([(1, 1, 10, 1, 3), (2, 2, 20, 0, None)], "id long, symbol_id long, revision_id long, role int, type_id long")
+    m = Tables(spark, types=types, type_children=([(1, 0, 2), (3, 0, 4), (5, 0, 6)], "type_id long, position int, child_id long"), symbols=s, occurrences=o)
+    assert [r[0] for r in run("can18_live_types_used", m)] == [1, 2, 3, 4]  # none of them from type 7
+    m.edges = spark.createDataFrame([edge(5, 8, 9, 2, rev=20), edge(6, 8, 9, 1, rev=10), edge(7, 8, 9, 1, rev=0)], EDGE)
+    assert run("ana10_stranded_bindings_all", m) == [(5, 2)]  # the definition is that of symbol 1
+    m.revisions = spark.createDataFrame([(10, 3, 1, 0), (20, 3, 2, 1)], "id long, tu_id long, seen_at long, quality int")
+    assert run("can02_detach_incomplete", m) == [("edges", 2), ("occurrences", 1)]
+    assert run("ver05_semantic_diff_revisions", m) == [(8, 9, 1, 0, 0, "-", 1), (8, 9, 2, 0, 0, "+", 1)]
+
+
 def test_snapshot_is_atomic(spark, tmp_path):
     path = f"file://{tmp_path}/snap"
     one = spark.createDataFrame([(1, "a")], "id long, x string")
