@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.text import record_escape
+from . import canon
 
 EDGE_KEY = [
     "kind", "source_id", "target_symbol", "target_type", "observed_target_usr", "observed_target_spelling", "resolution", "dispatch", "origin",
@@ -88,3 +90,101 @@ def inspect(model, tables: tuple[str, ...]) -> DataFrame:
 
 def diagnostics(rows: DataFrame) -> DataFrame:
     return rows.groupBy("severity", "option_name", "message").agg(F.count("*").alias("n"))
+
+
+def _field(df: DataFrame, c: str):
+    """A column as text: '' for null or a column the table doesn't have, booleans as 1 and 0."""
+    if c not in df.columns:
+        return F.lit("")
+    x = F.col(c)
+    return F.coalesce((x.cast("int") if dict(df.dtypes)[c] == "boolean" else x).cast("string"), F.lit(""))
+
+
+RANGE = "{file_version_id}|{begin_line}:{begin_column}:{bo}-{end_line}:{end_column}:{eo}"
+STATE = "{function_flags}|{variable_flags}|{template_flags}|{exported}"
+
+#: Record types of the normalised snapshot in order: tag, table, the column they are ordered by, format.
+SNAPSHOT = [
+    ("workspace", "workspaces", "id", "{id}|{path}"),
+    ("config", "configurations", "id", "{id}|{canonical_key}|{fingerprint}"),
+    ("file", "files", "id", "{id}|{workspace_id}|{path}|{external}"),
+    ("file-version", "file_versions", "id", "{id}|{file_id}|{content_hash}|{size}"),
+    ("tu", "translation_units", "id", "{id}|{source_file}|{configuration_id}"),
+    ("revision", "revisions", "id", "{id}|{tu_id}|{source_hash}|{compilation_fingerprint}|{extractor_version}|{quality}"),
+    ("type", "types", "id", "{id}|{canonical_key}|{kind}|{is_const}{is_volatile}{is_restrict}|{spelling}|{canonical_spelling}|{named_symbol}|{array_extent}|{variadic}|{dependent}{children}{arguments}"),
+    ("logical-symbol", "logical_symbols", "id", "{id}|{canonical_key}|{usr}|{linkage}{variants}"),
+    ("symbol", "symbols", "id", "{id}|{canonical_key}|{usr}|{logical_id}|{kind}|{name}|{qualified_name}|{linkage}|{visibility}|{semantic_parent}|{type_id}|" + STATE),
+    ("occurrence", "occurrences", "id", "{id}|{symbol_id}|{revision_id}|" + RANGE + "|{role}|{implicit}|{type_id}|" + STATE),
+    ("relationship", "edges", "id", "{id}|{kind}|{source_id}|{target_symbol}|{target_type}|{unresolved_target}|{observed_target_usr}|{observed_target_spelling}|{revision_id}|" + RANGE
+     + "|{resolution}|{dispatch}|{origin}|{target_domain}|{resolution_failure}|{access}|{is_virtual}|{is_dependent}"),
+    ("macro-definition", "macro_definitions", "id", "{id}|{name}|{replacement}|{revision_id}|" + RANGE),
+    ("macro-expansion", "macro_expansions", "id", "{id}|{name}|{definition_id}|{revision_id}|" + RANGE),
+    ("include", "includes", "id", "{id}|{revision_id}|{includer}|{included}|{path}:{line}:{column}:{offset}|{kind}|{resolved}"),
+    ("diagnostic", "diagnostics", "id", "{id}|{revision_id}|{severity}|{message}|{option_name}|" + RANGE),
+    ("build-target", "build_targets", "id", "{id}|{name}|{kind}|{source}|{topology_authoritative}"),
+    ("target-membership", "target_memberships", "id", "{id}|{target_id}|{tu_id}"),
+    ("target-dependency", "target_dependencies", "id", "{id}|{consumer_id}|{dependency_id}"),
+    ("entry-root", "entry_roots", "id", "{id}|{symbol_id}|{kind}|{reason}|{configuration_id}"),
+    ("indirect-summary", "summaries", "id", "{id}|{call_observation}|{revision_id}|{configuration_id}|{analyzer_version}|{storage_provider}|{index_provider}|{domain_kind}|{domain_minimum}|{domain_maximum}"
+     "|{known_zero_mask}|{storage_escapes}|{complete}|{reason}{values}{stored}{selected}{addresses}"),
+    ("active", "active", "tu_id", "{tu_id}|{revision_id}"),
+    ("completeness", "completeness", "total", "{total}|{complete}|{warning}|{partial}|{failed}"),
+]
+
+
+def _snapshot_table(model, name: str) -> DataFrame | None:
+    """A table of the model, with lists as text; those that follow from others are made; None if the model has none of that name."""
+    tagged = lambda tag, ids: F.concat_ws("", F.transform(ids, lambda x: F.concat(F.lit(f"|{tag}:"), x.cast("string"))))
+    if name == "active":
+        return canon.active_revisions(model.revisions)
+    if name == "completeness":
+        return canon.completeness(model.revisions)
+    out = getattr(model, name, None)
+    if name == "configurations" and out is None:
+        return model.translation_units.select(F.col("configuration_id").alias("id")).where("id is not null").distinct()
+    if name == "logical_symbols" and out is None:
+        named = model.symbols.where("logical_id is not null and usr is not null and usr <> ''")
+        return named.groupBy(F.col("logical_id").alias("id")).agg(
+            F.min_by("usr", "id").alias("usr"), F.min_by("linkage", "id").alias("linkage"), tagged("variant", F.array_sort(F.collect_set(F.col("id").cast("string")))).alias("variants")
+        )
+    if name == "types":
+        rows = F.array_sort(F.collect_list(F.struct("position", "child_id")))
+        lists = model.type_children.groupBy(F.col("type_id").alias("_t")).agg(tagged("child", F.transform(rows, lambda r: r["child_id"])).alias("children"))
+        out = out.join(lists, F.col("id") == F.col("_t"), "left")
+    return out
+
+
+def normalised_snapshot(model) -> DataFrame:
+    """(line): every row of every table of a model as a record, by record type and then by id as text.
+
+    Columns that a table lacks come out empty, so that fields keep their places.
+    """
+    parts = []
+    for k, (tag, table, key, shape) in enumerate(SNAPSHOT):
+        rows = _snapshot_table(model, table)
+        if rows is not None:
+            pieces = [_field(rows, x[1:-1]) if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", shape) if x]
+            parts.append(rows.select(F.lit(k).alias("k"), _field(rows, key).alias("id"), F.concat(F.lit(tag + "|"), *pieces).alias("line")))
+    return reduce(DataFrame.union, parts).orderBy("k", "id", "line").select("line")
+
+
+def ownership_records(model) -> DataFrame:
+    """(line): build targets, their dependencies, entry roots and summaries of indirect calls."""
+    r = lambda df, c: record_escape(_field(df, c))
+    t, d, e, s = model.build_targets, model.target_dependencies, model.entry_roots, model.summaries
+    e = e.join(model.symbols.select(F.col("id").alias("_s"), F.col("qualified_name").alias("symbol_name")), F.col("symbol_id") == F.col("_s"), "left")
+    line = lambda df, *x: df.select(F.concat(*[F.lit(c) if isinstance(c, str) else c for c in x]).alias("line"))
+    count = lambda c: F.size(c).cast("string") if c in s.columns else F.lit("0")
+    return reduce(DataFrame.union, [
+        line(t, "build-target|", r(t, "name"), "|", S.enum_name(F.col("kind"), "target_kind"), "|", r(t, "source"), "|", _field(t, "id"), "|authoritative:", _field(t, "topology_authoritative")),
+        line(d, "target-dependency|", _field(d, "consumer_id"), "|", _field(d, "dependency_id")),
+        line(e, "entry-root|", S.enum_name(F.col("kind"), "root_kind"), "|", r(e, "symbol_name"), "|", r(e, "reason"), "|configuration:", _field(e, "configuration_id")),
+        line(s, "indirect-call-summary|", _field(s, "id"), "|call:", _field(s, "call_observation"), "|version:", _field(s, "analyzer_version"), "|domain:", _field(s, "domain_minimum"), "..", _field(s, "domain_maximum"),
+             "|stored:", count("stored_targets"), "|selectable:", count("selectable_targets"), "|escapes:", _field(s, "storage_escapes"), "|complete:", _field(s, "complete"), "|", r(s, "reason")),
+    ])
+
+
+def export_records(model, view: str = "observations") -> DataFrame:
+    """(line): the whole export of a view: symbols, edges with their configurations, ownership."""
+    edges = {"observations": observations, "semantic": semantic_edges}[view](model.edges, model.revisions, model.translation_units)
+    return symbol_record(model.symbols).union(edge_record(target_name(model.symbols, model.types, edges))).union(ownership_records(model))

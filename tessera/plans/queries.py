@@ -56,6 +56,22 @@ def _(m):
     return export.edge_record(export.target_name(m.symbols, m.types, grouped))
 
 
+@query("snk05_edge_records_configured", f"""
+with g as (
+  select e.kind, e.source_id, e.target_symbol, e.target_type, e.observed_target_usr, e.observed_target_spelling, e.resolution, e.dispatch, e.origin, e.target_domain, e.resolution_failure, e.access, e.is_virtual, e.is_dependent, count(*) as n,
+    coalesce(string_agg(distinct u.configuration_id, ',' order by u.configuration_id), '') as configurations
+  from {{edges}} e left join {{revisions}} r on r.id = e.revision_id left join {{translation_units}} u on u.id = r.tu_id
+  group by e.kind, e.source_id, e.target_symbol, e.target_type, e.observed_target_usr, e.observed_target_spelling, e.resolution, e.dispatch, e.origin, e.target_domain, e.resolution_failure, e.access, e.is_virtual, e.is_dependent)
+select concat('relationship|', {S.enum_sql('g.kind', 'relationship')}, '|', coalesce(s.qualified_name, ''), '|',
+  case when g.target_symbol is not null then coalesce(t.qualified_name, '') else coalesce(ty.canonical_spelling, g.observed_target_spelling, '') end, '|',
+  {S.enum_sql('g.resolution', 'resolution')}, '|', {S.enum_sql('g.dispatch', 'dispatch')}, '|', {S.enum_sql('g.origin', 'origin')}, '|domain:', {S.enum_sql('g.target_domain', 'domain')},
+  '|failure:', {S.enum_sql('g.resolution_failure', 'failure')}, '|observed-usr:', coalesce(g.observed_target_usr, ''), '|observed-spelling:', coalesce(g.observed_target_spelling, ''),
+  '|evidence:', cast(g.n as string), '|configurations:', g.configurations) as line
+from g left join {{symbols}} s on s.id = g.source_id left join {{symbols}} t on t.id = g.target_symbol left join {{types}} ty on ty.id = g.target_type""")
+def _(m):
+    return export.edge_record(export.target_name(m.symbols, m.types, export.semantic_edges(m.edges, m.revisions, m.translation_units)))
+
+
 @query("snk05_symbol_records", f"""
 select concat('symbol|', {S.enum_sql('kind', 'symbol')}, '|', qualified_name, '|', cast(id as string), '|logical:', coalesce(logical_id, ''), '|exported:', case when exported then '1' else '0' end) as line from {{symbols}}""")
 def _(m):
@@ -75,6 +91,16 @@ def _(m):
     )
 
 
+@query("snk07_normalised_snapshot_whole")
+def _(m):
+    return export.normalised_snapshot(m)
+
+
+@query("snk03_export_records")
+def _(m):
+    return export.export_records(m)
+
+
 @query("cli06_query_calls", f"select id, source_id, target_symbol, {S.enum_sql('dispatch', 'dispatch')} as dispatch_name from {{edges}} where kind = 8")
 def _(m):
     return export.query(m.edges, "Calls").select("id", "source_id", "target_symbol", S.enum_name(F.col("dispatch"), "dispatch").alias("dispatch_name"))

@@ -132,6 +132,30 @@ def test_operators_take_whole_tables(spark):
     assert run("ver05_semantic_diff_revisions", m) == [(8, 9, 1, 0, 0, "-", 1), (8, 9, 2, 0, 0, "+", 1)]
 
 
+def test_exports_hold_every_table(spark):
+    m = Tables(
+        spark, edges=([edge(5, 8, 9, 2, rev=20), edge(6, 8, 9, 2, rev=21)], EDGE),
+        symbols=([(2, 6, "u", "A", "n::f", 4, True, 3), (9, 6, "v", None, "g|h", 4, False, None)], "id long, kind int, usr string, logical_id string, qualified_name string, linkage int, exported boolean, type_id long"),
+        types=([(3, 2, "T")], "id long, kind int, canonical_spelling string"), type_children=([(3, 1, 8), (3, 0, 7)], "type_id long, position int, child_id long"),
+        revisions=([(20, 1, 1, 0), (21, 2, 1, 1)], "id long, tu_id long, seen_at long, quality int"), translation_units=([(1, 4, "c1"), (2, 4, "c2")], "id long, source_file long, configuration_id string"),
+        occurrences=([(1, 2, 20)], "id long, symbol_id long, revision_id long"), files=([(4, "a.c", False)], "id long, path string, external boolean"),
+        build_targets=([(1, "app", 1, True)], "id long, name string, kind int, topology_authoritative boolean"), target_dependencies=([(1, 2)], "consumer_id long, dependency_id long"),
+        entry_roots=([(1, 2, 0, "r", "c1")], "id long, symbol_id long, kind int, reason string, configuration_id string"), summaries=([(5, True, False)], "call_observation long, complete boolean, storage_escapes boolean"),
+    )
+    run = lambda name: [r[0] for r in queries.Q[name][0](m).collect()]
+    got = run("snk07_normalised_snapshot_whole")
+    kinds = ["config"] * 2 + ["file"] + ["tu"] * 2 + ["revision"] * 2 + ["type", "logical-symbol"] + ["symbol"] * 2 + ["occurrence"] + ["relationship"] * 2
+    assert [x.split("|")[0] for x in got] == kinds + ["build-target", "target-dependency", "entry-root", "indirect-summary"] + ["active"] * 2 + ["completeness"]
+    assert "type|3||2|||T|||||child:7|child:8" in got and "logical-symbol|A||u|4|variant:2" in got and "active|2|21" in got and got[-1] == "completeness|2|1|1|0|0"
+    assert "relationship|5|8|9|2||||" in got[12] and got[12].endswith("|20|1|::0-::1|0|0|0|0|0|1|0|0")
+    call = "relationship|Calls|g\\|h|n::f|Exact|None|CompilerAST|domain:Project|failure:None|observed-usr:|observed-spelling:|evidence:"
+    assert run("snk05_edge_records_configured") == [call + "2|configurations:c1,c2"]
+    assert sorted(run("snk03_export_records")) == sorted([
+        "symbol|Function|n::f|2|logical:A|exported:1", "symbol|Function|g\\|h|9|logical:|exported:0", call + "1|configurations:c1", call + "1|configurations:c2", "build-target|app|Executable||1|authoritative:1",
+        "target-dependency|1|2", "entry-root|ProcessEntry|n::f|r|configuration:c1", "indirect-call-summary||call:5|version:|domain:..|stored:0|selectable:0|escapes:0|complete:1|",
+    ])
+
+
 def test_snapshot_is_atomic(spark, tmp_path):
     path = f"file://{tmp_path}/snap"
     one = spark.createDataFrame([(1, "a")], "id long, x string")
