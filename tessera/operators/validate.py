@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import canon, fixpoint
+from . import canon, fixpoint, incremental
 
 #: code, table, column, referred table, referred column
 REFERENCES = [
@@ -34,6 +34,30 @@ REFERENCES = [
     ("reference.indirect-call", "summaries", "call_observation", "edges", "id"),
 ]
 
+#: The same of tables and columns that a model may lack; a list column refers by each of its elements.
+MORE_REFERENCES = [
+    ("reference.tu-config", "translation_units", "configuration_id", "configurations", "id"),
+    ("reference.occurrence-file", "occurrences", "file_version_id", "file_versions", "id"),
+    ("reference.symbol-logical", "symbols", "logical_id", "logical_symbols", "id"),
+    ("reference.logical-variant", "logical_symbols", "variants", "symbols", "id"),
+    ("reference.include-revision", "includes", "revision_id", "revisions", "id"),
+    ("reference.diagnostic-revision", "diagnostics", "revision_id", "revisions", "id"),
+    ("reference.diagnostic-file", "diagnostics", "file_version_id", "file_versions", "id"),
+    ("reference.macro-revision", "macro_definitions", "revision_id", "revisions", "id"),
+    ("reference.macro-file", "macro_definitions", "file_version_id", "file_versions", "id"),
+    ("reference.expansion-revision", "macro_expansions", "revision_id", "revisions", "id"),
+    ("reference.expansion-file", "macro_expansions", "file_version_id", "file_versions", "id"),
+    ("reference.expansion-definition", "macro_expansions", "definition_id", "macro_definitions", "id"),
+    ("reference.target-dependency", "target_dependencies", "consumer_id", "build_targets", "id"),
+    ("reference.entry-root-configuration", "entry_roots", "configuration_id", "configurations", "id"),
+    ("reference.indirect-revision", "summaries", "revision_id", "revisions", "id"),
+    ("reference.indirect-revision", "summaries", "configuration_id", "configurations", "id"),
+    ("reference.indirect-provider", "summaries", "storage_provider", "symbols", "id"),
+    ("reference.indirect-provider", "summaries", "index_provider", "symbols", "id"),
+    ("reference.indirect-stored-target", "summaries", "stored_targets", "symbols", "id"),
+    ("reference.indirect-address", "summaries", "addresses", "edges", "id"),
+]
+
 
 def dangling(table: DataFrame, column: str, other: DataFrame, key: str, code: str) -> DataFrame:
     """Rows whose reference isn't null and finds nothing."""
@@ -45,6 +69,54 @@ def references(model) -> DataFrame:
     return reduce(DataFrame.union, [dangling(getattr(model, t), c, getattr(model, o), k, code) for code, t, c, o, k in REFERENCES])
 
 
+def _has(model, table: str, *columns: str) -> bool:
+    found = getattr(model, table, None)
+    return found is not None and set(columns) <= set(found.columns)
+
+
+def more_references(model) -> DataFrame | None:
+    """MORE_REFERENCES as far as the model has their tables and columns; None if it has none of them."""
+    found = []
+    for code, t, c, o, k in MORE_REFERENCES:
+        if _has(model, t, c) and _has(model, o, k):
+            rows = getattr(model, t)
+            if dict(rows.dtypes)[c].startswith("array"):
+                rows = rows.select(F.explode(c).alias(c))
+            found.append(dangling(rows, c, getattr(model, o), k, code))
+    return reduce(DataFrame.union, found) if found else None
+
+
+def consistency(model) -> DataFrame:
+    """Stored facts that others contradict: semantic-parent edges, summaries, and what is stored of logical symbols,
+    configurations, active revisions and completeness."""
+    issue = lambda df, code, c: df.select(F.lit(code).alias("code"), F.col(c).cast("string").alias("id"))
+    parents = model.symbols.select(F.col("id").alias("source_id"), "semantic_parent") if _has(model, "symbols", "semantic_parent") else None
+    bad = "semantic_parent is null or semantic_parent <> target_symbol"
+    found = []
+    if parents is not None:
+        found.append(issue(model.edges.where("kind = 2 and target_symbol is not null").join(parents, "source_id", "left").where(bad), "hierarchy.semantic-parent-edge", "id"))
+    unsound = F.col("storage_escapes")
+    if _has(model, "summaries", "selectable_targets"):
+        unsound = unsound | (F.coalesce(F.size("selectable_targets"), F.lit(0)) <= 0)
+    found.append(issue(model.summaries.where(F.col("complete") & unsound), "analysis.indirect-unsound-complete", "call_observation"))
+    if _has(model, "summaries", "stored_targets", "selectable_targets"):
+        over = model.summaries.select(F.explode(F.array_except("selectable_targets", F.coalesce("stored_targets", F.array().cast("array<bigint>")))).alias("t"))
+        found.append(issue(over, "reference.indirect-selectable-target", "t"))
+    if _has(model, "logical_symbols", "variants"):
+        variants = model.logical_symbols.select(F.col("id").alias("l"), F.explode("variants").alias("id"))
+        found.append(issue(variants.join(model.symbols.select("id", "logical_id"), "id").where(~F.col("l").eqNullSafe(F.col("logical_id"))), "reference.logical-membership", "id"))
+    if _has(model, "configurations", "id"):
+        found.append(issue(incremental.orphan_configurations(model.translation_units, model.configurations.select("id")), "lifetime.orphan-configuration", "id"))
+    if _has(model, "active", "tu_id", "revision_id"):
+        owner = model.revisions.select(F.col("id").alias("revision_id"), F.col("tu_id").alias("owner"))
+        found.append(issue(model.active.join(owner, "revision_id", "left").where("owner is null or owner <> tu_id"), "revision.active-map", "tu_id"))
+    if _has(model, "completeness"):
+        cols = ["total", "complete", "warning", "partial", "failed"]
+        wrong = canon.completeness(model.revisions).select(*cols).exceptAll(model.completeness.select(*cols))
+        found.append(issue(wrong, "publication.completeness", "total"))
+    return reduce(DataFrame.union, found)
+
+
 def wrong_digest(table: DataFrame, expected, code: str, column: str = "id") -> DataFrame:
     """Rows whose id isn't the digest of their own key."""
     return table.where(F.col(column) != expected).select(F.lit(code).alias("code"), F.col(column).alias("id"))
@@ -63,7 +135,7 @@ def semantics(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def lifetime(model) -> DataFrame:
-    """Observations of revisions that aren't active, symbols without any, units without exactly one revision, unused configurations."""
+    """Observations of revisions that aren't active, symbols without any, units without exactly one revision. Unused configurations are consistency()'s."""
     active = canon.active_revisions(model.revisions)
     stale = model.revisions.join(active.select(F.col("revision_id").alias("id")), "id", "left_anti").select(F.lit("lifetime.stale-revision").alias("code"), F.col("id").cast("string").alias("id"))
     orphan = model.symbols.join(model.occurrences.select(F.col("symbol_id").alias("id")), "id", "left_anti").select(F.lit("lifetime.orphan-symbol"), F.col("id").cast("string"))
@@ -85,4 +157,5 @@ def parent_cycles(symbols: DataFrame) -> DataFrame:
 
 def validate(model) -> DataFrame:
     """All issues (code, id) of a model."""
-    return reduce(DataFrame.union, [references(model), semantics(model.edges, model.symbols), lifetime(model), property_drift(model.symbols, model.occurrences), parent_cycles(model.symbols)])
+    parts = [references(model), semantics(model.edges, model.symbols), lifetime(model), property_drift(model.symbols, model.occurrences), parent_cycles(model.symbols), consistency(model), more_references(model)]
+    return reduce(DataFrame.union, [x for x in parts if x is not None])

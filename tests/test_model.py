@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import analysis, audit, canon, fixpoint, resolve
+from tessera.operators import analysis, audit, canon, fixpoint, resolve, validate
 from tessera.plans import queries
 from tessera.sources import commands, snapshot
 from tessera.streaming import ingest
@@ -156,6 +156,26 @@ def test_exports_hold_every_table(spark):
     ])
 
 
+def test_validator_finds_what_is_broken(spark):
+    one = lambda *cols: ([tuple(9 for _ in cols)], ", ".join(f"{c} long" for c in cols))
+    m = Tables(
+        spark, symbols=([(1, 6, 5, "L"), (2, 6, None, "K")], "id long, kind int, semantic_parent long, logical_id string"), edges=([edge(7, 2, 1, 2), edge(8, 2, 1, 5)], EDGE),
+        translation_units=([(1, "c1")], "id long, configuration_id string"), configurations=([("c2",)], "id string"), revisions=([(20, 1, 1, 0)], "id long, tu_id long, seen_at long, quality int"),
+        active=([(3, 20)], "tu_id long, revision_id long"), completeness=([(2, 1, 0, 0, 0)], "total long, complete long, warning long, partial long, failed long"), file_versions=([(1,)], "id long"),
+        logical_symbols=([("L", [1, 2, 3])], "id string, variants array<long>"), build_targets=([(1,)], "id long"), target_dependencies=([(4, 1)], "consumer_id long, dependency_id long"),
+        summaries=([(7, True, False, [1, 6], [], [77], 1, 1)], "call_observation long, complete boolean, storage_escapes boolean, stored_targets array<long>, selectable_targets array<long>, addresses array<long>, storage_provider long, index_provider long"),
+        macro_definitions=one("id", "revision_id", "file_version_id"), macro_expansions=([(1, 20, 1, 4)], "id long, revision_id long, file_version_id long, definition_id long"),
+        occurrences=one("symbol_id", "file_version_id"), diagnostics=one("revision_id", "file_version_id"), includes=one("revision_id"), entry_roots=([("c3",)], "configuration_id string"),
+    )
+    got = pairs(validate.consistency(m).union(validate.more_references(m)))
+    assert got == sorted([
+        ("hierarchy.semantic-parent-edge", "7"), ("analysis.indirect-unsound-complete", "7"), ("reference.logical-membership", "2"), ("reference.logical-variant", "3"), ("lifetime.orphan-configuration", "c2"),
+        ("revision.active-map", "3"), ("publication.completeness", "1"), ("reference.tu-config", "c1"), ("reference.occurrence-file", "9"), ("reference.symbol-logical", "K"), ("reference.include-revision", "9"),
+        ("reference.diagnostic-revision", "9"), ("reference.diagnostic-file", "9"), ("reference.macro-revision", "9"), ("reference.macro-file", "9"), ("reference.expansion-definition", "4"),
+        ("reference.target-dependency", "4"), ("reference.entry-root-configuration", "c3"), ("reference.indirect-stored-target", "6"), ("reference.indirect-address", "77"),
+    ])
+
+
 def test_snapshot_is_atomic(spark, tmp_path):
     path = f"file://{tmp_path}/snap"
     one = spark.createDataFrame([(1, "a")], "id long, x string")
