@@ -61,9 +61,11 @@ def leaks(docs: DataFrame, items: DataFrame, t_num: int = 80, t_den: int = 100,
     probe = shingled(docs, "doc_id", n).select("doc_id", _class(F.size("hs")).alias("size_class"), F.explode_outer("hs").alias("h"))
     # coalesced: a filter on size_class alone would be pushed below the split into words
     big = F.coalesce(F.col("size_class"), F.lit(0)) >= F.coalesce(F.col("least"), F.lit(0))
-    found = common.table(
-        probe.join(sketch, "h").where(big).select("doc_id", "item_id").distinct(), "leaks"
-    )
+    hits = probe.join(sketch, "h").select("doc_id", "item_id", big.alias("big")).distinct()
+    # the size of one row says nothing of a text of several
+    several = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("r"), F.lit(True).alias("several"))
+    held_in = hits.join(several, F.col("doc_id").eqNullSafe(F.col("r")), "left").where(F.col("big") | F.coalesce("several", F.lit(False)))
+    found = common.table(held_in.select("doc_id", "item_id").distinct(), "leaks")
     suspects = found.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(suspects.withColumnRenamed("doc_id", "s"), F.col("doc_id").eqNullSafe(F.col("s")), "left_semi")
     held = (

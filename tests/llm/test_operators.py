@@ -79,6 +79,13 @@ def test_frequent_tokens_in_tiles(spark, rows, monkeypatch):
     assert as_rows(ngram_join.classes(frame(spark, rows), 4, 85, 100), "doc_id", "n_shingles", "component_id") == sorted(brute.classes(rows, 4, 85, 100), key=str)
 
 
+def test_leaks_over_rows_of_one_document(spark):
+    w = [f"word{k}" for k in range(24)]
+    docs = [(1, " ".join(w[:15])), (1, " ".join(w[10:])), (2, " ".join(w[:15])), (None, " ".join(w[:15])), (None, " ".join(w[10:]))]
+    got = decontaminate.leaks(frame(spark, docs), spark.createDataFrame([(9, " ".join(w))], "item_id long, text string"))
+    assert as_rows(got, "doc_id", "item_id", "n_item", "n_shared") == sorted(brute.leaks(docs, [(9, " ".join(w))]), key=str) == [(1, 9, 20, 20), (None, 9, 20, 20)]
+
+
 def test_line_dedup(spark, rows):
     got = line_dedup.line_dedup(frame(spark, rows))
     want = brute.lines(rows)
