@@ -21,11 +21,18 @@ def removed_units(revisions: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def plan(units: DataFrame, revisions: DataFrame, invalid: DataFrame, extractor_version: int) -> DataFrame:
-    """(tu_id, action, reason): extract units that are new, stale, touched by invalid files (id) or extracted by another version; else reuse."""
-    active = canon.last_wins(revisions.select(F.col("tu_id").alias("id"), "seen_at", F.col("id").alias("revision_id"), "extractor_version"), "seen_at", "revision_id")
+    """(tu_id, action, reason): extract units that are new, touched by invalid files (id), of another source hash or fingerprint
+    than their active revision, or extracted by another version; else reuse. source_hash and compilation_fingerprint are
+    compared if both tables have them."""
+    keys = [c for c in ("source_hash", "compilation_fingerprint") if c in units.columns and c in revisions.columns]
+    active = canon.last_wins(revisions.select(F.col("tu_id").alias("id"), "seen_at", F.col("id").alias("revision_id"), "extractor_version", *[F.col(c).alias(f"old_{c}") for c in keys]), "seen_at", "revision_id")
     hit = invalid.select(F.col("id").alias("source_file"), F.lit(True).alias("hit")).distinct()
-    at = units.select(F.col("id").alias("tu_id"), "source_file").join(active.withColumnRenamed("id", "tu_id"), "tu_id", "left").join(hit, "source_file", "left")
-    reason = F.when(F.col("revision_id").isNull(), "new").when(F.col("hit"), "invalidated").when(F.col("extractor_version") != extractor_version, "extractor").otherwise("unchanged")
+    at = units.select(F.col("id").alias("tu_id"), "source_file", *keys).join(active.withColumnRenamed("id", "tu_id"), "tu_id", "left").join(hit, "source_file", "left")
+    reason = F.when(F.col("revision_id").isNull(), "new").when(F.col("hit"), "invalidated")
+    for c, name in (("source_hash", "source"), ("compilation_fingerprint", "fingerprint")):
+        if c in keys:
+            reason = reason.when(~F.col(c).eqNullSafe(F.col(f"old_{c}")), name)
+    reason = reason.when(F.col("extractor_version") != extractor_version, "extractor").otherwise("unchanged")
     return at.select("tu_id", reason.alias("reason")).select("tu_id", F.when(F.col("reason") == "unchanged", "reuse").otherwise("extract").alias("action"), "reason")
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import analysis, audit, canon, fixpoint, resolve, validate
+from tessera.operators import analysis, audit, canon, fixpoint, incremental, resolve, validate
 from tessera.plans import queries
 from tessera.sources import commands, snapshot
 from tessera.streaming import ingest
@@ -176,6 +176,13 @@ def test_validator_finds_what_is_broken(spark):
     ])
 
 
+def test_plan_compares_source_and_fingerprint(spark):
+    units = spark.createDataFrame([(1, 4, "s", "f"), (2, 4, "t", "f"), (3, 4, "s", "g"), (4, 4, "s", "f")], "id long, source_file long, source_hash string, compilation_fingerprint string")
+    revisions = spark.createDataFrame([(10 * k, k, 1, 15, "s", "f") for k in (1, 2, 3)], "id long, tu_id long, seen_at long, extractor_version int, source_hash string, compilation_fingerprint string")
+    got = incremental.plan(units, revisions, spark.createDataFrame([], "id long"), 15)
+    assert pairs(got) == [(1, "reuse", "unchanged"), (2, "extract", "source"), (3, "extract", "fingerprint"), (4, "extract", "new")]
+
+
 def test_snapshot_is_atomic(spark, tmp_path):
     path = f"file://{tmp_path}/snap"
     one = spark.createDataFrame([(1, "a")], "id long, x string")
