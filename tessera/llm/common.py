@@ -63,15 +63,19 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Rows of an Arrow batch; texts are long, and a batch is held several times over on its way.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch; a batch is held several times over on its way.
+BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS, unless they are fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Lowers the session's rows and bytes per Arrow batch to BATCH_ROWS and BATCH_BYTES, unless they are fewer."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            now = int(spark.conf.get(key).removesuffix("b"))
+        except ValueError:  # given with another unit
+            now = 0
+        if not 0 < now <= most:
+            spark.conf.set(key, most)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +125,9 @@ def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str, limit: int = 1_000_000):
-    """Yields (first row, end row, bytes, offsets) over runs of rows of about ``limit`` bytes; a longer text comes alone and whole."""
+def chunks(batch: pa.RecordBatch, text: str, limit: int = 250_000):
+    """Yields (first row, end row, bytes, offsets) over runs of rows of about ``limit`` bytes, whose arrays stay in a core's cache; a longer
+    text comes alone and whole."""
     data, offs = utf8(batch.column(batch.schema.get_field_index(text)))
     i, n = 0, len(offs) - 1
     while i < n:

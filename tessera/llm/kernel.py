@@ -5,10 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 P = 0x9E3779B97F4A7C15 | 1
 P_INV = pow(P, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -37,10 +33,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """s with s[j] - s[i] = sum of (byte + 1) * P**k over k in i..j-1, modulo 2**64."""
     s = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * _powers(P, len(data)), out=s[1:])
+    x = data.astype(U)
+    x += U(1)
+    x *= _powers(P, len(data))
+    np.cumsum(x, out=s[1:])
     return s
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return data + (((data - np.uint8(65)) < 26).view(np.uint8) << 5)
+
+
 def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes start..end, equal for equal bytes wherever they stand."""
     inv = _powers(P_INV, len(s))
@@ -53,13 +57,17 @@ def gram_hashes(s: np.ndarray, begin: int, end: int, n: int) -> np.ndarray:
     return mix((s[begin + n : end + n] - s[begin:end]) * inv[begin:end] + U(n * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
 
 
+def solid(data: np.ndarray) -> np.ndarray:
+    """Which bytes aren't in [\\x20\\x09-\\x0D]."""
+    return (data != 32) & ((data - np.uint8(9)) > 4)
+
+
 def words(data: np.ndarray, offs: np.ndarray):
     """Start, end and segment of every word (run without [\\x20\\x09-\\x0D]) of the segments offs[i]..offs[i+1]."""
-    inside = ~SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
+    inside = solid(data)
+    first, last = inside.copy(), inside.copy()
+    np.greater(inside[1:], inside[:-1], out=first[1:])
+    np.greater(inside[:-1], inside[1:], out=last[:-1])
     b = offs[:-1][offs[:-1] < len(data)]
     first[b] = inside[b]
     e = offs[1:][offs[1:] > 0] - 1
@@ -72,7 +80,7 @@ def words(data: np.ndarray, offs: np.ndarray):
 def word_hashes(data: np.ndarray, offs: np.ndarray):
     """Hash of every word with A-Z lower-cased, its segment and the words of each segment."""
     start, end, seg, count = words(data, offs)
-    return span_hash(prefix_hash(LOWER[data]), start, end), seg, count
+    return span_hash(prefix_hash(lower(data)), start, end), seg, count
 
 
 def ngram_sets(data: np.ndarray, offs: np.ndarray, n: int):
@@ -109,14 +117,13 @@ def ngram_sets(data: np.ndarray, offs: np.ndarray, n: int):
 
 
 def set_keys(g: np.ndarray, size: np.ndarray):
-    """Two 64-bit keys of each set, equal for equal sets (0 for empty ones)."""
-    k1, k2 = np.zeros(len(size), U), np.zeros(len(size), U)
+    """A 64-bit key of each set, equal for equal sets (0 for empty ones)."""
+    out = np.zeros(len(size), U)
     full = np.flatnonzero(size)
     if len(full):
         at = (np.cumsum(size) - size)[full]
-        k1[full] = mix(np.add.reduceat(g, at) + size[full].astype(U))
-        k2[full] = mix(np.add.reduceat(mix(g ^ U(0x5851F42D4C957F2D)), at))
-    return k1, k2
+        out[full] = mix(np.add.reduceat(g, at) + size[full].astype(U) * U(0x5851F42D4C957F2D))
+    return out
 
 
 def lines(data: np.ndarray, offs: np.ndarray):

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common, setjoin
 
 
-def line_dedup(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, text (what stays), n_lines, n_removed.
+def line_dedup(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, **split: int) -> DataFrame:
+    """One row per document: doc_id, text (what stays), n_lines, n_removed, kept_sha256.
 
     Lines are what \\n separates. Each line's tokens are its distinct n-word shingles (fewer words: the whole
     sequence as one), ordered by rarity for the prefix filter. A line goes when an earlier line, by (doc_id, line
@@ -21,49 +17,32 @@ def line_dedup(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Da
     without words always stay. A null text counts as empty and gives ''; a null doc_id comes before all others.
     Rows that share a doc_id count as one place: their equal lines of one number don't remove each other, and a
     number that goes for one of them goes for all. Other columns are not read.
+    split: setjoin.Spec's often, large and tile.
     """
-    spec = setjoin.Spec(n, num, den, by_line=True, orders=1)
+    spec = setjoin.Spec(n, num, den, by_line=True, orders=1, **split)
     base = docs.select("doc_id", "text")
-    units = common.table(setjoin.unit_of(base, spec).where("n > 0").drop("n"), "lines")
-    where = F.struct(F.coalesce("doc_id", F.lit(-(1 << 62)).cast("long")).alias("d"), "line")
-    first = common.table(units.groupBy("k1", "k2").agg(F.min(where).alias("at")), "first")
-    found = setjoin.links(base, spec, first.select("k1", "k2", F.col("at.d").alias("r1"), F.col("at.line").alias("r2"))).distinct()
-    a = first.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.struct("at", "k1", "k2").alias("x"))
-    b = first.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.struct("at", "k1", "k2").alias("y"))
-    late = (
-        found.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
-        .select(F.greatest("x", "y").alias("z")).select("z.k1", "z.k2")
-        .distinct().withColumn("late", F.lit(True))
-    )
-    first = common.table(first.join(late, ["k1", "k2"], "left"), "firsts")
+    scanned = common.table(setjoin.scan(base, spec), "lines")
+    units = setjoin.units_of(scanned).where("n > 0")
+    at = F.struct(F.coalesce("doc_id", F.lit(setjoin.NOWHERE)).alias("d"), "line")
+    places = common.table(units.groupBy("u").agg(F.min(at).alias("at")).select("u", "at.d", "at.line"), "places")
+    found = common.table(setjoin.links(base, spec, scanned, places, by_rank=True), "links")
+    where = F.struct("d", "line", "u")
+    a = found.join(places.select(F.col("u").alias("a"), where.alias("x")), "a").join(places.select(F.col("u").alias("b"), where.alias("y")), "b")
+    late = a.select(F.greatest("x", "y").alias("z")).select("z.u").distinct().withColumn("late", F.lit(True))
+    first = places.join(late, "u", "left").select("u", F.struct("d", "line").alias("first"), "late")
     gone = (
-        units.join(first, ["k1", "k2"])
-        .where(F.col("late").isNotNull() | (where != F.col("at")))
-        .groupBy("doc_id").agg(F.collect_set(F.col("line").cast("int")).alias("gone"))
+        units.join(first, "u").where(F.col("late").isNotNull() | (at != F.col("first")))
+        .groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set(F.col("line").cast("int")).alias("gone"))
     )
-    return _strip(base.join(gone, base["doc_id"].eqNullSafe(gone["doc_id"]), "left").select(base["doc_id"], base["text"], "gone"))
+    return _strip(base.join(gone, base["doc_id"].eqNullSafe(gone["_d"]), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "gone"))
 
 
 def _strip(df: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            ids, out, lines, removed, digest = b.column(0), [], [], [], []
-            for text, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                parts = (text or "").split("\n")
-                drop = set(gone or ())
-                kept = "\n".join(x for k, x in enumerate(parts) if k not in drop)
-                out.append(kept)
-                lines.append(len(parts))
-                removed.append(len(drop))
-                digest.append(hashlib.sha256(kept.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())],
-                ["doc_id", "text", "n_lines", "n_removed", "kept_sha256"],
-            )
-
-    kind = df.schema["doc_id"].dataType
-    schema = T.StructType(
-        [T.StructField("doc_id", kind), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()),
-         T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+    """Texts without the lines whose numbers are in gone."""
+    lines = F.split("text", "\n", -1)
+    # what stays, in order: the sets of numbers are compared by hash
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n"))
+    return df.select("doc_id", kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("long").alias("n_removed")).withColumn(
+        "kept_sha256", F.sha2("text", 256)
     )
-    return df.mapInArrow(run, schema)

@@ -21,8 +21,8 @@ class SpanMemo:
         self._clear()
 
     def _clear(self):
-        self.keys = np.zeros(0, np.uint64)  # sorted
-        self.place = np.zeros(0, np.int32)
+        # sorted keys and the places of their spans: what is older, and what came since; the latter joins the former as it grows to an eighth of it
+        self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
         self.start = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int32)
         self.flat = np.zeros(1 << 14, np.int32)
@@ -36,21 +36,32 @@ class SpanMemo:
         out[: len(a)] = a
         return out
 
+    def _remember(self, keys: np.ndarray, place: np.ndarray):
+        old, young = self.runs
+        young = self._joined(young, (keys, place))
+        self.runs = [self._joined(old, young), (young[0][:0], young[1][:0])] if 8 * len(young[0]) > len(old[0]) else [old, young]
+
+    @staticmethod
+    def _joined(a, b):
+        where = np.searchsorted(a[0], b[0])
+        return np.insert(a[0], where, b[0]), np.insert(a[1], where, b[1])
+
     def encode(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray):
         """(ids of all spans one after another, number of ids of each span); span k is data[start[k]:end[k]] with hash h[k]."""
-        if len(self.keys) > LIMIT:
+        if sum(len(k) for k, _ in self.runs) > LIMIT:
             self._clear()
         uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
-        where = np.searchsorted(self.keys, uniq)
-        inside = np.minimum(where, max(0, len(self.keys) - 1))
-        known = self.keys[inside] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
         at = np.full(len(uniq), -1, np.int64)
-        at[known] = self.place[inside[known]]
-        new = np.flatnonzero(~known)
+        for keys, place in self.runs:
+            if len(keys):
+                inside = np.minimum(np.searchsorted(keys, uniq), len(keys) - 1)
+                known = keys[inside] == uniq
+                at[known] = place[inside[known]]
+        new = np.flatnonzero(at < 0)
         if len(new):
             rows = first[new]
             flat, size = self.encode_new(data, start[rows], end[rows])
-            n, total = len(self.keys), len(flat)
+            n, total = sum(len(k) for k, _ in self.runs), len(flat)
             self.start, self.size = self._grown(self.start, n + len(new)), self._grown(self.size, n + len(new))
             self.flat = self._grown(self.flat, self.used + total)
             self.flat[self.used : self.used + total] = flat
@@ -58,8 +69,7 @@ class SpanMemo:
             self.start[n : n + len(new)] = self.used + np.cumsum(size) - size
             self.used += total
             at[new] = np.arange(n, n + len(new))
-            self.keys = np.insert(self.keys, where[new], uniq[new])
-            self.place = np.insert(self.place, where[new], at[new].astype(np.int32))
+            self._remember(uniq[new], at[new].astype(np.int32))
         idx = at[back]
         size = self.size[idx]
         out = np.repeat(self.start[idx] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))

@@ -37,7 +37,7 @@ def line_features(data: np.ndarray, offs: np.ndarray):
     start, end, seg, count = kernel.words(data, at)
     size = np.diff(at)
     f = np.zeros((len(doc), N_BASE), np.float32)
-    solid = np.maximum(1, np.diff(np.r_[0, np.cumsum(~kernel.SPACE[data])][at]))
+    solid = np.maximum(1, np.diff(np.r_[0, np.cumsum(kernel.solid(data))][at]))
     for k in range(5):
         f[:, k] = np.diff(np.r_[0, np.cumsum(_CLASS[k][data])][at]) / solid
     words = np.maximum(1, count)

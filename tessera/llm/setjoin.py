@@ -1,18 +1,18 @@
 """Exact Jaccard self-join of word n-gram sets by prefix filters under one or more global token orders.
 
-A *unit* is a distinct n-gram set, named by two 64-bit keys (k1, k2); documents or lines with equal sets share
-a unit. Two units can only reach the threshold if their prefixes (the first n - ceil(t n) + 1 tokens of each
-under one global order) share a token, whatever the order. Tokens that many prefixes hold come last in every
-order; which ones do is a bitmap of fixed size, so a bit set by chance only shifts a token's place.
-
-* A first count keeps the tokens that at least two prefixes hold (again a bitmap: chance bits only add rows).
-  Groups of other tokens than those of the next point give pairs, cut by the length and positional filters and by parity sketches
-  (tokens of odd number by bucket: buckets that differ are at most the tokens that do), and named only where a run
-  of shared prefix tokens begins; a pair must come out of every order (the filters are intersected) before
-  its sets are compared.
-* Units whose prefix reaches frequent tokens, or tokens that LARGE prefixes hold even so, are clustered by those tokens and by size, and meet in tiles of about
-  2 * TILE units of a cluster, where all overlaps are counted at once and only a spanning forest of the links, or the
-  earliest match, leaves the task.
+A *unit* is a distinct n-gram set, named by a 64-bit key; documents or lines with equal sets share a unit. Two units can
+only reach the threshold if their prefixes (the first n - ceil(t n) + 1 tokens of each under one global order) share a
+token, whatever the order.
+
+* Orders go by rarity: the FREQUENT most frequent tokens by count come last, by their counts; all others stand before
+  them, by a hash. The counts travel to the tasks; their number is fixed, whatever the input.
+* Prefix tokens are packed into blobs by hash of the token, one shuffle for all orders. The number of blobs follows the
+  counted prefixes, so each has a bounded size. Rows of frequent tokens are dealt by unit, so no token's rows meet.
+* Units that meet under a token give pairs, cut by the length and positional filters; a pair must come out of every order
+  (the filters are intersected) before its sets are compared.
+* A token is *hot* if it is frequent or if more than a few prefixes hold it. The units of hot tokens are dealt into blocks
+  of one size band each, bounded by units and by tokens; two blocks that share a hot token make a tile, in which all
+  overlaps are counted at once, and only a spanning forest of the links, or the earliest match, leaves the task.
 """
 
 from __future__ import annotations
@@ -20,424 +20,503 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, graph, kernel
+from . import common, kernel
 from .kernel import U, mix
 
-#: Prefixes that make a token frequent; prefixes under the final orders that send a token's units to tiles; 2 ** BITS and 2 ** SHARED_BITS bits of the two bitmaps; units in a tile's side.
-HEAVY = 16
-LARGE = 48
-BITS = 24
-SHARED_BITS = 26
-TILE = 1000
-#: Pairs that are compared at once.
-PAIRS = 150_000
+#: Tokens whose counts travel to the tasks.
+FREQUENT = 1 << 17
+#: Prefix tokens in a blob, about; tokens in a block, about (a larger unit is a block of its own).
+BLOB = 300_000
+TILE_TOKENS = 400_000
+#: Quantiles that cut a band; blocks beyond that number are dealt by hash within a cut.
+CUTS = 1024
+#: Tokens a task counts at once, prefix tokens it packs at once.
+COUNTED, PACKED = 1_500_000, 400_000
+#: Where a document without an id stands: before all others.
+NOWHERE = -(1 << 62)
+#: Bit of frequent tokens' names.
+_FREQUENT = U(1 << 62)
+_ROW = np.dtype([("token", "<u8"), ("unit", "<u8"), ("before", "<u8"), ("n", "<i4"), ("pos", "<i4")])
 
 
 @dataclass(frozen=True)
 class Spec:
-    """n: words in an n-gram; num / den: the Jaccard threshold; by_line: units are lines, else whole texts; orders: how many global orders."""
+    """n: words in an n-gram; num / den: the Jaccard threshold; by_line: units are lines, else whole texts; orders: how many global
+    orders (8 at most); often: a count that can make a token frequent; large: units under one token whose pairs are named one by
+    one; tile: units in a block. The last three only shift work from one path to the other."""
 
     n: int
     num: int
     den: int
     by_line: bool = False
     orders: int = 2
+    often: int = 64
+    large: int = 48
+    tile: int = 1000
+
+    def prefix(self, size):
+        """Length of the prefix of sets of these sizes; 0 for empty ones."""
+        return np.where(size > 0, size - (self.num * size + self.den - 1) // self.den + 1, 0)
 
 
 def _i64(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def _sets(batch, spec: Spec, text: str):
-    """Yields (first row, segment's row, segment's number in its row, tokens, segment of each token, sizes, k1, k2)."""
-    for i, _, data, offs in common.chunks(batch, text):
+def _sets(batch, spec: Spec):
+    """Yields (ids of the segments' rows, segment's number in its row, tokens, segment of each token, sizes, units)."""
+    ids = batch.column(0)
+    for i, j, data, offs in common.chunks(batch, "text"):
         if spec.by_line:
             offs, row, per = kernel.lines(data, offs)
             number = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+            mine = ids.take(pa.array(row + i))
         else:
-            row = np.arange(len(offs) - 1)
-            number = np.zeros(len(row), np.int64)
+            mine, number = ids.slice(i, j - i), np.zeros(j - i, np.int64)
         g, s, size = kernel.ngram_sets(data, offs, spec.n)
-        k1, k2 = kernel.set_keys(g, size)
-        yield i, row, number, g, s, size, k1, k2
-
-
-def unit_of(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(doc_id, line, n, k1, k2) of every text or line; n = 0 and keys 0 where it has no words."""
+        yield mine, number, g, s, size, kernel.set_keys(g, size)
 
-    def run(batches):
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for i, row, number, _, _, size, k1, k2 in _sets(b, spec, "text"):
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row + i)), pa.array(number), pa.array(size.astype(np.int64)), pa.array(_i64(k1)), pa.array(_i64(k2))],
-                    ["doc_id", "line", "n", "k1", "k2"],
-                )
-            del ids
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line long, n long, k1 long, k2 long")
+class _Seen:
+    """Tells units that a task has met lately from new ones; a fixed table, so a unit may count as new again."""
 
+    def __init__(self):
+        self.table = np.zeros(1 << 18, U)
 
-def _key(g: np.ndarray, order: int) -> np.ndarray:
-    """63-bit place of each token in a global order; it also stands for the token there."""
-    return mix(g ^ U((order + 1) * 0x9FB21C651E98DF25 & (1 << 64) - 1)) >> U(1)
+    def first(self, units: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Mask of the segments that aren't empty and whose unit is new."""
+        full = np.flatnonzero(size)
+        u, at = np.unique(units[full], return_index=True)
+        slot = (u & U(len(self.table) - 1)).astype(np.int64)
+        new = self.table[slot] != u
+        self.table[slot] = u
+        out = np.zeros(len(size), bool)
+        out[full[at[new]]] = True
+        return out
 
 
-def _sketches(g: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Two 64-bit words per set: for each of 128 buckets whether an odd number of its tokens lies there."""
-    seg = np.repeat(np.arange(len(size)), size)
-    odd = np.bincount(seg * 128 + (g & U(127)).astype(np.int64), minlength=len(size) * 128) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, 128), axis=1).view(np.int64).reshape(-1, 2)
+def scan(docs: DataFrame, spec: Spec) -> DataFrame:
+    """(kind, doc_id, line, u, n): kind 0 for every text or line (n = 0 and u = 0 without words); kind 1 for tokens u that stand
+    n times in the units a task has met, if more than once among COUNTED tokens or so."""
 
+    def counted(tokens):
+        t, n = np.unique(np.concatenate(tokens), return_counts=True)
+        t, n = t[n > 1], n[n > 1]
+        none = pa.nulls(len(t), pa.int64())
+        return _batch([np.ones(len(t), np.int32), none, none, _i64(t), n], SCAN)
 
-def _plain_prefixes(g, size, spec: Spec, order: int):
-    """Prefix tokens under an order without regard to frequency, named as order 0 names them."""
-    key, name = _key(g, order), _key(g, 0)
-    end = np.cumsum(size)
-    begin = end - size
-    plen = size - (spec.num * size + spec.den - 1) // spec.den + 1
-    ok = np.zeros(len(g), bool)
-    for a, b, p in zip(begin.tolist(), end.tolist(), plen.tolist()):
-        if b > a:
-            x = key[a:b]
-            ok[a:b] = x <= np.partition(x, p - 1)[p - 1]
-    return name[ok]
-
-
-def _prefixes(g, size, spec: Spec, order: int, heavy):
-    """Prefix tokens under an order: token (negative as int64 if frequent), its set's segment, its rank there, the token before."""
-    key = _key(g, order)
-    if heavy is not None:
-        key |= common.in_bitmap(heavy, key if order == 0 else _key(g, 0), BITS).astype(U) << U(63)
+    def run(batches):
+        seen, held, some = _Seen(), [], 0
+        for b in batches:
+            for ids, number, g, s, size, units in _sets(b, spec):
+                yield _batch([np.zeros(len(number), np.int32), ids, number, _i64(units), size], SCAN)
+                new = seen.first(units, size)
+                held.append(g[new[s]])
+                some += len(held[-1])
+                if some > COUNTED:
+                    yield counted(held)
+                    held, some = [], 0
+        if held:
+            yield counted(held)
+
+    return docs.select("doc_id", "text").mapInArrow(run, SCAN)
+
+
+SCAN = "kind int, doc_id long, line long, u long, n long"
+
+
+def _batch(cols, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([c.cast(kinds[k]) if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, k in zip(cols, types)], list(names))
+
+
+def units_of(scanned: DataFrame) -> DataFrame:
+    """(doc_id, line, n, u) of every text or line."""
+    return scanned.where("kind = 0").select("doc_id", "line", "n", "u")
+
+
+@dataclass
+class Frequent:
+    """token: sorted; place: each token's place among the frequent ones, by order; bits: a bitmap of the tokens, to skip most lookups."""
+
+    token: np.ndarray
+    place: np.ndarray
+    bits: np.ndarray
+
+    BITS = 22
+
+    def look(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of g are frequent, and their index here."""
+        at = np.flatnonzero(common.in_bitmap(self.bits, g, self.BITS))
+        if not len(self.token):
+            return at[:0], at[:0]
+        where = np.minimum(np.searchsorted(self.token, g[at]), len(self.token) - 1)
+        ok = self.token[where] == g[at]
+        return at[ok], where[ok]
+
+
+def frequent(scanned: DataFrame, spec: Spec) -> Frequent:
+    """The FREQUENT tokens of the highest counts, as far as they reach spec.often; all of one count or none."""
+    counts = scanned.where("kind = 1").groupBy("u").agg(F.sum("n").alias("c")).where(F.col("c") >= spec.often)
+    counts = common.table(counts, "frequent")
+    spread = counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(FREQUENT).collect()
+    least, have = 1 << 62, 0
+    for r in spread:
+        if have + r["n"] > FREQUENT:
+            break
+        least, have = r["c"], have + r["n"]
+    rows = counts.where(F.col("c") >= least).toArrow()
+    common.drop(counts)
+    token = rows.column("u").to_numpy().astype(np.int64).view(U)
+    c = rows.column("c").to_numpy().astype(np.int64)
+    order = np.argsort(token)
+    token, c = token[order], c[order]
+    place = np.zeros((spec.orders, len(token)), np.int64)
+    for o in range(spec.orders):
+        # the first order goes by the very count, the others by its magnitude and then by their hash
+        place[o, np.lexsort((_hash(token, o), c if o == 0 else np.log2(c + 1).astype(int)))] = np.arange(len(token))
+    bits = np.zeros(1 << (Frequent.BITS - 3), np.uint8)
+    pos = (token & U((1 << Frequent.BITS) - 1)).astype(np.int64)
+    np.bitwise_or.at(bits, pos >> 3, (1 << (pos & 7)).astype(np.uint8))
+    return Frequent(token, place, bits)
+
+
+def _hash(g: np.ndarray, order: int) -> np.ndarray:
+    """62-bit place of each token in an order of its own; it also names the token there."""
+    return mix(g ^ U((order + 1) * 0x9FB21C651E98DF25 & (1 << 64) - 1)) >> U(2)
+
+
+def _prefixes(g, s, size, units, spec: Spec, order: int, often: Frequent) -> np.ndarray:
+    """Rows of the prefix tokens of all sets under an order: token, unit, the token before, set size, 8 * place + order."""
+    key = _hash(g, order)
+    at, which = often.look(g)
+    key[at] = _FREQUENT | U(order << 40) | often.place[order][which].astype(U)
     end = np.cumsum(size)
     begin = end - size
     for a, b in zip(begin.tolist(), end.tolist()):
         if b - a > 1:
             key[a:b].sort()
-    plen = size - (spec.num * size + spec.den - 1) // spec.den + 1
-    seg = np.repeat(np.arange(len(size)), size)
-    rank = np.arange(len(key)) - begin[seg]
-    ok = rank < plen[seg]
-    before = np.zeros(len(key), U)
-    before[1:] = key[:-1]
-    before[rank == 0] = 0
-    return key[ok], seg[ok], rank[ok], before[ok]
-
-
-def _first_of_units(k1, k2, size, seen: set):
-    """Mask of the segments that are not empty and whose unit this task has not met in this chunk or lately."""
-    ok = np.zeros(len(size), bool)
-    for i in np.flatnonzero(size).tolist():
-        key = (int(k1[i]), int(k2[i]))
-        if key not in seen:
-            seen.add(key)
-            ok[i] = True
-    if len(seen) > 500_000:
-        seen.clear()
-    return ok
-
-
-def _kept(g, s, size, ok):
-    """The sets of the segments in ok alone, their segments numbered as before."""
-    m = ok[s]
-    return g[m], np.where(ok, size, 0)
-
-
-def _broadcast(docs: DataFrame, value):
-    return None if value is None else docs.sparkSession.sparkContext.broadcast(value)
-
-
-def prefix_tokens(docs: DataFrame, spec: Spec, orders: range, heavy=None) -> DataFrame:
-    """(token, o): the prefix tokens of every unit under the given orders, frequent ones left out.
-
-    Without heavy, frequency plays no part yet, and a token has the same name in all orders.
-    """
-    shared = _broadcast(docs, heavy)
-
-    def run(batches):
-        bm = None if shared is None else shared.value
-        seen: set = set()
-        for b in batches:
-            for _, _, _, g, s, size, k1, k2 in _sets(b, spec, "text"):
-                g, size = _kept(g, s, size, _first_of_units(k1, k2, size, seen))
-                for o in orders:
-                    if bm is None:
-                        token = _plain_prefixes(g, size, spec, o)
-                    else:
-                        token, _, _, _ = _prefixes(g, size, spec, o, bm)
-                        token = token[token >> U(63) == 0]
-                    yield pa.RecordBatch.from_arrays([pa.array(_i64(token)), pa.array(np.full(len(token), o, np.int32))], ["token", "o"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, o int")
+    rank = np.arange(len(key)) - begin[s]
+    ok = np.flatnonzero(rank < spec.prefix(size)[s])
+    out = np.empty(len(ok), _ROW)
+    out["token"], out["unit"], out["n"], out["pos"] = key[ok], units[s[ok]], size[s[ok]], 8 * rank[ok] + order
+    out["before"] = np.where(rank[ok] > 0, key[ok - 1], 0)
+    return out
 
 
-def prefix_rows(docs: DataFrame, spec: Spec, heavy, several, large) -> DataFrame:
-    """(token, o, k1, k2, n, pos, before, x1, x2) of the prefix tokens that several prefixes
-    hold (bitmaps by order); with o = -1 those that are frequent or in the bitmaps of large.
+def prefixes(docs: DataFrame, spec: Spec, often: Frequent, buckets: int) -> DataFrame:
+    """(bucket, rows): the prefix tokens of every unit under all orders, packed by bucket: that of the token, or of the unit if it is frequent."""
+    shared = docs.sparkSession.sparkContext.broadcast(often)
 
-    before is the token one place earlier in the set's order, 0 if there is none; x1 and x2 are the set's sketch.
-    """
-    shared = _broadcast(docs, (heavy, several, large))
+    def packed(parts):
+        rows = np.concatenate(parts)
+        bucket = mix(np.where(rows["token"] >= _FREQUENT, rows["unit"], rows["token"])) % U(buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        ends = np.r_[cut[1:], len(rows)]
+        for k in range(0, len(cut), 256):
+            some = list(zip(cut[k : k + 256].tolist(), ends[k : k + 256].tolist()))
+            yield _batch([bucket[cut[k : k + 256]].astype(np.int32), [rows[a:b].tobytes() for a, b in some]], "bucket int, rows binary")
 
     def run(batches):
-        bm, two, many = shared.value
-        seen: set = set()
+        seen, held, some = _Seen(), [], 0
         for b in batches:
-            for _, _, _, g, s, size, k1, k2 in _sets(b, spec, "text"):
-                g, size = _kept(g, s, size, _first_of_units(k1, k2, size, seen))
-                sketch = _sketches(g, size)
+            for _, _, g, s, size, units in _sets(b, spec):
+                new = seen.first(units, size)
+                m = new[s]
+                g, s, size = g[m], s[m], np.where(new, size, 0)
                 for o in range(spec.orders):
-                    token, seg, rank, before = _prefixes(g, size, spec, o, bm)
-                    hot = token >> U(63) == 1
-                    ok = ~hot & common.in_bitmap(two[o], token, SHARED_BITS)
-                    hot &= o == 0
-                    hot |= ok & common.in_bitmap(many[o], token, BITS)
-                    ok |= hot
-                    token, seg, rank, before, hot = token[ok], seg[ok], rank[ok], before[ok], hot[ok]
-                    cols = [_i64(token), np.where(hot, -1, o).astype(np.int32), _i64(k1[seg]), _i64(k2[seg]), size[seg].astype(np.int32), rank.astype(np.int32), _i64(before), sketch[seg, 0], sketch[seg, 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ROW)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, o int, k1 long, k2 long, n int, pos int, before long, x1 long, x2 long")
-
-
-ROW = ["token", "o", "k1", "k2", "n", "pos", "before", "x1", "x2"]
-
-
-def _group_pairs(batches, spec: Spec):
-    """Pairs of units in runs of one token; the rows come sorted by token and unit."""
-    rest: list[np.ndarray] | None = None
-
-    def pairs(cols):
-        tok, k1, k2 = cols[0], cols[2], cols[3]
-        if len(tok) < 2:
-            return
-        new = np.ones(len(tok), bool)
-        new[1:] = (tok[1:] != tok[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        rows = [c[new] for c in cols]
-        tok = rows[0]
+                    held.append(_prefixes(g, s, size, units, spec, o, shared.value))
+                    some += len(held[-1])
+                if some > PACKED:
+                    yield from packed(held)
+                    held, some = [], 0
+        if some:
+            yield from packed(held)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, rows binary")
+
+
+FOUND = "kind int, a long, b long, na long, nb long, o int"
+
+
+def _pairs_of(rows: np.ndarray, spec: Spec):
+    """Of one blob's rows: pairs of units under one token (kind 0: a, b and their sizes, o: the order's bit), and rows of hot tokens (kind 1: unit a, token b, size na)."""
+    often = rows["token"] >= _FREQUENT
+    hot = [rows[often]]
+    rows = rows[~often]
+    rows = rows[np.argsort(rows["token"], kind="stable")]
+    tok = rows["token"]
+    alone = np.ones(len(tok), bool)
+    same = tok[1:] == tok[:-1]
+    alone[1:] &= ~same
+    alone[:-1] &= ~same
+    rows = rows[~alone]
+    rows = rows[np.lexsort((rows["unit"], rows["token"]))]
+    tok, unit = rows["token"], rows["unit"]
+    if len(rows):
+        rows = rows[np.r_[True, (tok[1:] != tok[:-1]) | (unit[1:] != unit[:-1])]]
+        tok = rows["token"]
         start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
         size = np.diff(np.r_[start, len(tok)])
-        two = start[size == 2]
-        yield from compared(two, two + 1, rows)
-        left, right, count = [], [], 0
-        for a, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-            for r in range(m - 1) if m > 500 else [None]:  # row by row, so that a run of any length has bounded memory
-                i, j = np.triu_indices(m, 1) if r is None else (np.full(m - 1 - r, r), np.arange(r + 1, m))
-                left.append(i + a)
-                right.append(j + a)
-                count += len(i)
-                if count > PAIRS:
-                    yield from compared(np.concatenate(left), np.concatenate(right), rows)
-                    left, right, count = [], [], 0
-        if count:
-            yield from compared(np.concatenate(left), np.concatenate(right), rows)
-
-    def compared(i, j, rows):
-        _, o, k1, k2, n, pos, before, x1, x2 = rows
-        # where the tokens before are one and the same, the pair has come up with that one
-        ok = (before[i] != before[j]) | (before[i] == 0)
-        i, j = i[ok], j[ok]
-        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = spec.den * small >= spec.num * large
-        most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-        ok &= (spec.num + spec.den) * most >= spec.num * (n[i] + n[j])
-        i, j = i[ok], j[ok]
-        differ = np.bitwise_count((x1[i] ^ x1[j]).view(U)).astype(np.int64) + np.bitwise_count((x2[i] ^ x2[j]).view(U))
-        ok = (spec.den + spec.num) * differ <= (spec.den - spec.num) * (n[i] + n[j])
-        i, j = i[ok], j[ok]
-        if len(i):
-            out = np.unique(np.stack([k1[i], k2[i], k1[j], k2[j], n[i], n[j], np.left_shift(1, o[i])], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], ["a1", "a2", "b1", "b2", "na", "nb", "o"])
-
-    for b in batches:
-        cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ROW]
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols)]
-        if not len(cols[0]):
-            continue
-        cut = int(np.flatnonzero(cols[0] == cols[0][-1])[0]) if cols[0][0] != cols[0][-1] else 0
-        if cut:
-            yield from pairs([c[:cut] for c in cols])
-        rest = [c[cut:] for c in cols]
-    if rest is not None:
-        yield from pairs(rest)
-
-
-def _candidates(rows: DataFrame, spec: Spec) -> DataFrame:
-    """Pairs that share prefix tokens under every order; the unit with the smaller keys stands first."""
-    parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # tokens of different orders differ but by chance, and then only add a pair
-    dealt = rows.where("o >= 0").repartition(parts, "token").sortWithinPartitions("token", "o", "k1", "k2")
+        hot += [rows[a : a + m] for a, m in zip(start[size > spec.large].tolist(), size[size > spec.large].tolist())]
+        for m in range(2, spec.large + 1):  # all groups of one size at a time
+            first = start[size == m]
+            i, j = np.triu_indices(m, 1)
+            for k in range(0, len(first), max(1, 200_000 // len(i))):
+                some = first[k : k + max(1, 200_000 // len(i))]
+                yield from _filtered(rows, (some[:, None] + i).ravel(), (some[:, None] + j).ravel(), spec)
+    hot = np.concatenate(hot)
+    if len(hot):
+        zero = np.zeros(len(hot), np.int64)
+        yield _batch([zero + 1, _i64(hot["unit"]), _i64(hot["token"]), hot["n"], zero, zero], FOUND)
+
+
+def _filtered(rows, i, j, spec: Spec):
+    before = rows["before"]
+    # where the tokens before are one and the same, the pair has come up with that one
+    ok = (before[i] != before[j]) | (before[i] == 0)
+    ok &= (rows["pos"][i] & 7) == (rows["pos"][j] & 7)
+    i, j = i[ok], j[ok]
+    na, nb = rows["n"][i].astype(np.int64), rows["n"][j].astype(np.int64)
+    pa_, pb = rows["pos"][i] >> 3, rows["pos"][j] >> 3
+    ok = spec.den * np.minimum(na, nb) >= spec.num * np.maximum(na, nb)
+    ok &= (spec.num + spec.den) * (np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb)) >= spec.num * (na + nb)
+    i, j, na, nb = i[ok], j[ok], na[ok], nb[ok]
+    if len(i):
+        a, b, bit = rows["unit"][i], rows["unit"][j], 1 << (rows["pos"][i] & 7)
+        order = np.lexsort((bit, b, a))
+        new = order[np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (bit[order][1:] != bit[order][:-1])]]
+        yield _batch([np.zeros(len(new), np.int32), _i64(a[new]), _i64(b[new]), na[new], nb[new], bit[new].astype(np.int32)], FOUND)
+
+
+def _met(packed: DataFrame, spec: Spec, buckets: int) -> DataFrame:
+    """What _pairs_of() finds in each bucket; the rows of a bucket stand together and are held one bucket at a time."""
 
     def run(batches):
-        yield from _group_pairs(batches, spec)
-
-    found = dealt.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, na long, nb long, o long")
+        held, bucket = [], None
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+                if k != bucket and held:
+                    yield from _pairs_of(np.concatenate(held), spec)
+                    held = []
+                bucket = k
+                held.append(np.frombuffer(x.as_buffer(), _ROW))
+        if held:
+            yield from _pairs_of(np.concatenate(held), spec)
+
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
+
+
+def _candidates(found: DataFrame, spec: Spec) -> DataFrame:
+    """(a, b, na, nb) of the pairs that share prefix tokens under every order; a is the smaller unsigned key."""
+    pairs = found.where("kind = 0")
+    if spec.orders == 1:
+        return pairs.select("a", "b", "na", "nb").distinct()
     return (
-        found.groupBy("a1", "a2", "b1", "b2")
-        .agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.bit_or("o").alias("o"))
+        pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.bit_or("o").alias("o"))
         .where(F.col("o") == (1 << spec.orders) - 1).drop("o")
     )
 
 
-def unit_tokens(docs: DataFrame, spec: Spec, wanted: DataFrame) -> DataFrame:
-    """(k1, k2, tokens): the sets of the units whose k1 is in wanted's bitmap, each at least once."""
-    bits = 23
-    shared = docs.sparkSession.sparkContext.broadcast(common.bitmap(wanted, "k1", bits))
+def unit_tokens(docs: DataFrame, spec: Spec, places: DataFrame) -> DataFrame:
+    """(u, tokens): the sets of the units at places (u, d, line), each once a task at most; more sets may come.
+
+    places travel as a bitmap whose size follows their number up to 2 ** 27 bits; beyond that more sets come than are asked for.
+    """
+    bits = min(27, max(20, 4 + int(places.count()).bit_length()))
+    key = F.col("u").bitwiseXOR(F.shiftleft("d", 7)).bitwiseXOR(F.col("line"))
+    shared = docs.sparkSession.sparkContext.broadcast(common.bitmap(places.select(key.alias("p")), "p", bits))
 
     def run(batches):
-        seen: set = set()
+        seen = _Seen()
         for b in batches:
-            for _, _, _, g, s, size, k1, k2 in _sets(b, spec, "text"):
-                ok = (size > 0) & common.in_bitmap(shared.value, k1, bits)
-                ok &= _first_of_units(k1, k2, np.where(ok, size, 0), seen)
+            for ids, number, g, s, size, units in _sets(b, spec):
+                d = ids.fill_null(NOWHERE).to_numpy(zero_copy_only=False).view(U)
+                ok = common.in_bitmap(shared.value, units ^ (d << U(7)) ^ number.view(U), bits)
+                ok &= seen.first(units, np.where(ok, size, 0))
                 begin = np.cumsum(size) - size
                 rows = np.flatnonzero(ok)
-                for c in range(0, len(rows), 1000):
-                    part = rows[c : c + 1000]
+                for c in range(0, len(rows), 500):
+                    part = rows[c : c + 500]
                     n = np.r_[0, np.cumsum(size[part])].astype(np.int32)
                     flat = np.concatenate([g[begin[x] : begin[x] + size[x]] for x in part])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(_i64(k1[part])), pa.array(_i64(k2[part])), pa.ListArray.from_arrays(pa.array(n), pa.array(_i64(flat)))],
-                        ["k1", "k2", "tokens"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(_i64(units[part])), pa.ListArray.from_arrays(pa.array(n), pa.array(_i64(flat)))], ["u", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "k1 long, k2 long, tokens array<long>").dropDuplicates(["k1", "k2"])
+    return docs.select("doc_id", "text").mapInArrow(run, "u long, tokens array<long>")
 
 
 def _verified(spec: Spec, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("tokens").alias("tb"))
-    both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    a = sets.select(F.col("u").alias("a"), F.col("tokens").alias("ta"))
+    b = sets.select(F.col("u").alias("b"), F.col("tokens").alias("tb"))
+    both = pairs.join(a, "a").join(b, "b")
     inter = F.size(F.array_intersect("ta", "tb"))
-    return both.where(F.lit(spec.num + spec.den) * inter >= F.lit(spec.num) * (F.col("na") + F.col("nb"))).select("a1", "a2", "b1", "b2")
+    return both.where(F.lit(spec.num + spec.den) * inter >= F.lit(spec.num) * (F.col("na") + F.col("nb"))).select("a", "b")
+
 
+# --- hot tokens ------------------------------------------------------------------------------------------------------
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of the sizes of all intersections, with tokens in blocks so that memory stays bounded."""
-    n = len(sets)
-    who = np.repeat(np.arange(n), [len(x) for x in sets])
-    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    out = np.zeros((n, n), np.float32)
+
+def _blocks(hot: DataFrame, spec: Spec) -> DataFrame:
+    """(u, n, band, blk) of the units of hot rows (u, token, n): blocks of one band of sizes, in which units of one token are neighbours.
+
+    Sizes that can link lie in one band or two next to each other. Cuts come from approximate quantiles, so no block's
+    making needs a whole band in one task.
+    """
+    width = float(np.log(spec.den / spec.num) * (1 + 1e-9))
+    units = hot.groupBy("u").agg(F.max("token").alias("t"), F.first("n").alias("n"))
+    units = units.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    # units of one token stand together, dealt by unit within it
+    units = units.withColumn("at", F.shiftleft(F.pmod(F.xxhash64("t"), F.lit(1 << 42)), 20) + F.pmod(F.xxhash64("u"), F.lit(1 << 20)))
+    units = common.table(units, "hot-units")
+    bands = units.groupBy("band").agg(F.count("*").alias("c"), F.sum("n").alias("tokens")).withColumn(
+        "nb", F.greatest(F.ceil(F.col("c") / spec.tile), F.ceil(F.col("tokens") / TILE_TOKENS)).cast("int")
+    )
+    most = min(CUTS, bands.agg(F.max("nb")).first()[0])
+    cuts = units.groupBy("band").agg(F.percentile_approx("at", [k / most for k in range(1, most)] or [1.0], 10 * CUTS).alias("cuts"))
+    bands = bands.select("band", "nb").join(cuts, "band")  # CUTS numbers for each power of den / num that sizes reach: may be broadcast
+    below = F.size(F.filter("cuts", lambda c: c < F.col("at"))) if most > 1 else F.lit(0)
+    cut = F.floor(below * F.least("nb", F.lit(most)) / most).cast("int")
+    part = F.pmod(F.xxhash64("u"), F.ceil(F.col("nb") / most)).cast("int")
+    return units.join(F.broadcast(bands), "band").select("u", "n", "band", F.struct("band", cut.alias("cut"), part.alias("part")).alias("blk"))
+
+
+def _tiles(hot: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(i, j), i <= j: blocks that share a hot token and whose bands touch."""
+    has = hot.select("u", "token").join(blocks.select("u", "blk"), "u").select("token", "blk").distinct()
+    i, j = has.withColumnRenamed("blk", "i"), has.withColumnRenamed("blk", "j")
+    return i.join(j, "token").where((F.col("i") <= F.col("j")) & (F.col("j.band") - F.col("i.band") <= 1)).select("i", "j").distinct()
+
+
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the sizes of the intersections of each of a with each of b, with tokens in blocks so that memory stays bounded."""
+    na, nb = len(a), len(b)
+    who = np.repeat(np.arange(na + nb), [len(x) for x in a + b])
+    _, code, count = np.unique(np.concatenate(a + b), return_inverse=True, return_counts=True)
+    out = np.zeros((na, nb), np.float32)
     keep = count[code] > 1
     who, code = who[keep], code[keep]
     order = np.argsort(code, kind="stable")
     who, code = who[order], code[order]
     _, code = np.unique(code, return_inverse=True)
-    for c in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
-        lo, hi = np.searchsorted(code, [c, c + 4096])
-        x = np.zeros((n, min(4096, int(code[-1]) + 1 - c)), np.float32)
+    last = int(code[-1]) + 1 if len(code) else 0
+    for c in range(0, last, 2048):
+        lo, hi = np.searchsorted(code, [c, c + 2048])
+        x = np.zeros((na + nb, min(2048, last - c)), np.float32)
         x[who[lo:hi], code[lo:hi] - c] = 1
-        out += x @ x.T
+        out += x[:na] @ x[na:].T
     return out
 
 
-def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric boolean matrix."""
-    edges, todo = [], np.ones(len(linked), bool)
-    for r in range(len(linked)):
-        if not todo[r]:
+def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Edges (row, column) of a spanning forest of the graph with these links between rows and columns; same: rows are columns."""
+    n, m = linked.shape
+    rows, cols, edges = np.ones(n, bool), np.ones(m, bool), []
+    for r in range(n):
+        if not rows[r]:
             continue
-        todo[r] = False
-        front = [r]
+        rows[r] = False
+        front = [(r, True)]
         while front:
-            x = front.pop()
-            new = np.flatnonzero(linked[x] & todo)
-            todo[new] = False
-            edges += [(x, int(y)) for y in new]
-            front += new.tolist()
+            x, is_row = front.pop()
+            if same:
+                new = np.flatnonzero(linked[x] & rows)
+                rows[new] = False
+                edges += [(x, int(y)) for y in new]
+                front += [(int(y), True) for y in new]
+                continue
+            new = np.flatnonzero(linked[x] & cols) if is_row else np.flatnonzero(linked[:, x] & rows)
+            (cols if is_row else rows)[new] = False
+            edges += [(x, int(y)) if is_row else (int(y), x) for y in new]
+            front += [(int(y), not is_row) for y in new]
     return edges
 
 
-def _clusters(hot: DataFrame) -> DataFrame:
-    """(cluster, k1, k2): units joined by frequent prefix tokens, directly or over others."""
-    unit = F.xxhash64("k1", "k2")
-    rows = hot.select("token", unit.alias("u"))
-    # every unit beside the least of each of its tokens: copies of one text have few of these between them
-    low = rows.groupBy("token").agg(F.min("u").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c")
-    parts = graph.connected_components(rows.join(low, "token").select("u", "v").distinct())
-    units = hot.select("k1", "k2").distinct().withColumn("node", unit)
-    return units.join(parts, "node").select(F.col("component").alias("cluster"), "k1", "k2")
-
-
-def _tile_links(spec: Spec, rows: DataFrame, sets: DataFrame, rank: DataFrame | None) -> DataFrame:
-    """Links among the units (cluster, k1, k2) that hold a frequent token in their prefix; rank (k1, k2, r1, r2): earliest matches instead of a forest."""
-    if rank is not None:
-        rows = rows.join(rank, ["k1", "k2"])
-    else:
-        rows = rows.withColumns({"r1": F.lit(0).cast("long"), "r2": F.lit(0).cast("long")})
-    rows = rows.join(sets, ["k1", "k2"])
-    # sizes that can link lie in one band or two next to each other; group g holds the bands g - 1 and g
-    band = F.floor(F.log(F.size("tokens")) / float(np.log(spec.den / spec.num) * (1 + 1e-9))).cast("int")
-    rows = common.table(rows.withColumn("g", F.explode(F.array(band, band + 1))), "hot-units")
-    many = rows.groupBy("cluster", "g").agg(F.count("*").alias("c")).where("c > 1")
-    many = many.select("cluster", "g", F.ceil(F.col("c") / TILE).cast("int").alias("nb"))
-    rows = rows.join(many, ["cluster", "g"])
-    block = F.pmod(F.xxhash64("k1", "k2"), F.col("nb")).cast("int")
-    tiles = F.transform(
-        F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j"))
-    )
-    dealt = (
-        rows.withColumn("mine", block).withColumn("tile", F.explode(tiles))
-        .select("cluster", "g", "k1", "k2", "r1", "r2", "tokens", "mine", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
-    )
-    by_rank = rank is not None
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = len(pdf)
-        if m < 2:
-            return pd.DataFrame({"a1": [], "a2": [], "b1": [], "b2": []}).astype("int64")
-        sets = [np.asarray(x, np.int64) for x in pdf["tokens"]]
+def _tile_links(part: pa.Table, spec: Spec, by_rank: bool) -> pa.RecordBatch:
+    """Links (a, b) within one tile's units (i, j, blk, u, d, line, tokens)."""
+    u = part.column("u").to_numpy()
+    left = np.array(part.column("mine").combine_chunks().to_numpy(zero_copy_only=False), bool)
+    tokens = part.column("tokens").combine_chunks()
+    offs, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+    sets = [flat[x:y] for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())]
+    same = bool(left.all())
+    rows, cols = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
+    edges: list[tuple[int, int]] = []
+    if len(rows) and len(cols):
         n = np.array([len(x) for x in sets], np.int64)
-        inter = _overlaps(sets)
-        linked = (spec.num + spec.den) * inter >= spec.num * (n[:, None] + n[None, :])
-        np.fill_diagonal(linked, False)
-        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
-            mine = pdf["mine"].to_numpy()
-            linked &= mine[:, None] != mine[None, :]
+        linked = (spec.num + spec.den) * _overlaps([sets[r] for r in rows], [sets[c] for c in cols]) >= spec.num * (n[rows][:, None] + n[cols][None, :])
+        linked &= u[rows][:, None] != u[cols][None, :]
         if by_rank:
-            r = np.empty(m, np.int64)
-            r[np.lexsort([pdf[c].to_numpy(np.int64) for c in ("k2", "k1", "r2", "r1")])] = np.arange(m)
-            first = np.where(linked, r[None, :], np.iinfo(np.int64).max)
-            j = first.argmin(1)
-            rows = np.flatnonzero(first[np.arange(m), j] < r)
-            edges = [(int(j[x]), int(x)) for x in rows]
+            r = np.empty(len(u), np.int64)
+            r[np.lexsort((u, part.column("line").to_numpy(), part.column("d").to_numpy()))] = np.arange(len(u))
+            for mat, x, y in ((linked, rows, cols), (linked.T, cols, rows)):
+                first = np.where(mat, r[y][None, :], np.iinfo(np.int64).max)
+                best = first.argmin(1)
+                late = np.flatnonzero(first[np.arange(len(x)), best] < r[x])
+                edges += list(zip(y[best[late]].tolist(), x[late].tolist()))
         else:
-            edges = _forest(linked)
-        e = np.array(edges, np.int64).reshape(-1, 2)
-        k1, k2 = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
-        return pd.DataFrame({"a1": k1[e[:, 0]], "a2": k2[e[:, 0]], "b1": k1[e[:, 1]], "b2": k2[e[:, 1]]})
-
-    return dealt.groupBy("cluster", "g", "i", "j").applyInPandas(run, "a1 long, a2 long, b1 long, b2 long")
+            edges = [(int(rows[p]), int(cols[q])) for p, q in _forest(linked, same)]
+    e = np.array(edges, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(u[e[:, 0]]), pa.array(u[e[:, 1]])], ["a", "b"])
 
 
-def links(docs: DataFrame, spec: Spec, rank: DataFrame | None = None) -> DataFrame:
-    """Verified links (a1, a2, b1, b2) between different units.
+def _hot_links(spec: Spec, blocks: DataFrame, tiles: DataFrame, sets: DataFrame, places: DataFrame, by_rank: bool) -> DataFrame:
+    """Links among the units of hot tokens, tile by tile."""
+    rows = blocks.select("u", "blk").join(places.select("u", "d", "line"), "u").join(sets, "u")
+    both = tiles.select("i", "j", F.col("i").alias("blk")).union(tiles.where("i <> j").select("i", "j", "j"))
+    parts = max(8, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tile = F.xxhash64("i", "j").alias("tile")
+    dealt = rows.join(both, "blk").select(tile, (F.col("blk") == F.col("i")).alias("mine"), "u", "d", "line", "tokens")
 
-    Without rank they connect exactly the units that the threshold connects. With rank (k1, k2, r1, r2) every unit
-    that has a match before it in the order of (r1, r2, k1, k2) has a link with one; further links may come too.
+    def run(batches):
+        # tiles stand one after another; the rows of one are held at a time
+        held, key = [], None
+        for b in batches:
+            tiles = b.column(0).to_numpy()
+            cut = np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]]) if len(tiles) else []
+            for x, y in zip(cut, np.r_[cut[1:], len(tiles)].tolist() if len(tiles) else []):
+                if tiles[x] != key and held:
+                    yield _tile_links(pa.Table.from_batches(held), spec, by_rank)
+                    held = []
+                key = tiles[x]
+                held.append(b.slice(int(x), y - int(x)))
+        if held:
+            yield _tile_links(pa.Table.from_batches(held), spec, by_rank)
+
+    return dealt.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame, by_rank: bool = False) -> DataFrame:
+    """Verified links (a, b) between different units of docs.
+
+    scanned is scan()'s result; places (u, d, line) says where each unit stands first, as far as ids tell (d: doc_id or
+    NOWHERE). Without by_rank the links connect exactly the units that the threshold connects. With by_rank every unit that
+    has a match before it in the order of (d, line, u) has a link with one; further links may come too.
     """
-    counts = prefix_tokens(docs, spec, range(spec.orders)).groupBy("token", "o").agg(F.count("*").alias("c"))
-    heavy = common.bitmap(counts.where(F.col("c") >= HEAVY), "token", BITS)
-    shared = prefix_tokens(docs, spec, range(spec.orders), heavy).groupBy("token", "o").agg(F.count("*").alias("c")).where("c > 1")
-    shared = common.table(shared, "shared")
-    common.free(docs.sparkSession)
-    of = lambda o, least: shared.where((F.col("o") == o) & (F.col("c") >= least))
-    several = [common.bitmap(of(o, 2), "token", SHARED_BITS) for o in range(spec.orders)]
-    large = [common.bitmap(of(o, LARGE), "token", BITS) for o in range(spec.orders)]
-    common.drop(shared)
-    rows = common.table(prefix_rows(docs, spec, heavy, several, large), "prefixes")
-    pairs = common.table(_candidates(rows, spec), "pairs")
-    hot = rows.where("o = -1")
-    clusters = None if hot.isEmpty() else common.table(_clusters(hot), "clusters")
-    common.drop(rows)
-    common.free(docs.sparkSession)
-    wanted = pairs.select(F.col("a1").alias("k1")).union(pairs.select("b1"))
-    sets = common.table(unit_tokens(docs, spec, wanted if clusters is None else wanted.union(clusters.select("k1"))), "sets")
+    spark = docs.sparkSession
+    often = frequent(scanned, spec)
+    total = scanned.where("kind = 0 and n > 0").agg(F.sum(F.col("n") - F.ceil(F.col("n") * spec.num / spec.den) + 2)).first()[0] or 0
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) * spec.orders // BLOB + 1)
+    found = common.table(_met(prefixes(docs, spec, often, buckets), spec, buckets), "found")
+    common.free(spark)
+    pairs = common.table(_candidates(found, spec), "pairs")
+    hot = found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("token"), F.col("na").alias("n")).distinct()
+    blocks = None
+    if not found.where("kind = 1").isEmpty():
+        hot = common.table(hot, "hot")
+        blocks = common.table(_blocks(hot, spec), "blocks")
+        tiles = common.table(_tiles(hot, blocks), "tiles")
+        common.drop(hot)
+    common.drop(found)
+    wanted = pairs.select(F.col("a").alias("u")).union(pairs.select("b"))
+    wanted = wanted if blocks is None else wanted.union(blocks.select("u"))
+    sets = common.table(unit_tokens(docs, spec, places.join(wanted.distinct(), "u", "left_semi")), "sets")
+    common.free(spark)
     out = _verified(spec, pairs, sets)
-    return out if clusters is None else out.union(_tile_links(spec, clusters, sets, rank))
+    return out if blocks is None else out.union(_hot_links(spec, blocks, tiles, sets, places, by_rank))

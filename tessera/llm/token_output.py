@@ -85,7 +85,7 @@ class WordEncoder:
         doc = np.searchsorted(offs, start, "right") - 1
         # the tokenizer lower-cases, but for its special tokens, which are case-sensitive
         plain = b"<|" in data.tobytes()
-        h = kernel.span_hash(kernel.prefix_hash(data if plain else kernel.LOWER[data]), start, end)
+        h = kernel.span_hash(kernel.prefix_hash(data if plain else kernel.lower(data)), start, end)
         ids, size = self.memo.encode(h, data, start, end)
         per = np.bincount(doc, size, len(count)).astype(np.int64) + 1
         out = np.full(int(per.sum()), END, np.int32)

@@ -74,9 +74,24 @@ def test_ngram_join_of_nothing(spark, rows):
     assert ngram_join.classes(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_frequent_tokens_in_tiles(spark, rows, monkeypatch):
-    monkeypatch.setattr(setjoin, "TILE", 7)
-    assert as_rows(ngram_join.classes(frame(spark, rows), 4, 85, 100), "doc_id", "n_shingles", "component_id") == sorted(brute.classes(rows, 4, 85, 100), key=str)
+@pytest.mark.parametrize("planted", ["", "these words stand in every one of the documents there are and they come first"])
+def test_frequent_tokens(spark, rows, planted):
+    """Small blocks, most tokens frequent or hot, and a passage in every document: nothing is lost on any path."""
+    more = [(i, f"{planted} {t}" if t and planted else t) for i, t in rows]
+    for split in ({"often": 2, "large": 3, "tile": 20}, {"often": 10_000, "large": 2, "tile": 30}):
+        got = ngram_join.classes(frame(spark, more), 4, 85, 100, **split)
+        assert as_rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.classes(more, 4, 85, 100), key=str)
+    got = line_dedup.line_dedup(frame(spark, more), often=2, large=3, tile=20)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == brute.lines(more)
+
+
+def test_links_over_texts_without_ids(spark):
+    """A text that only rows without an id have joins two others."""
+    w = [f"w{k}" for k in range(60)]
+    other = lambda *at: " ".join("x" + v if k in at else v for k, v in enumerate(w))
+    more = [(5, other(0)), (None, " ".join(w)), (2, other(59)), (None, "alone")]
+    got = ngram_join.classes(frame(spark, more), 1, 95, 100)
+    assert as_rows(got, "doc_id", "component_id") == sorted(((i, c) for i, _, c in brute.classes(more, 1, 95, 100)), key=str) == [(2, 2), (5, 2), (None, 2), (None, None)]
 
 
 def test_leaks_over_rows_of_one_document(spark):
@@ -246,8 +261,9 @@ def test_html(spark):
 
 def test_components(spark):
     e = spark.createDataFrame([(5, 3), (3, 9), (9, 9), (7, 8), (None, 1), (3, 5)], "u long, v long")
-    assert sorted(map(tuple, graph.connected_components(e).collect())) == [(3, 3), (5, 3), (7, 7), (8, 7), (9, 3)]
-    assert graph.connected_components(e.limit(0)).count() == 0
+    for one_task in (0, 1000):
+        assert sorted(map(tuple, graph.connected_components(e, one_task).collect())) == [(3, 3), (5, 3), (7, 7), (8, 7), (9, 3)]
+        assert graph.connected_components(e.limit(0), one_task).count() == 0
 
 
 def test_lines_and_words():
