@@ -9,7 +9,8 @@ token, whatever the order.
 * Prefix tokens are packed into blobs by hash of the token, one shuffle for all orders. The number of blobs follows the
   counted prefixes, so each has a bounded size. Rows of frequent tokens are dealt by unit, so no token's rows meet.
 * Units that meet under a token give pairs, cut by the length and positional filters; a pair must come out of every order
-  (the filters are intersected) before its sets are compared.
+  (the filters are intersected). Parity sketches (which buckets hold an odd number of a set's tokens: buckets that differ are at
+  most the tokens that do) cut them once more before their sets are compared.
 * A token is *hot* if it is frequent or if more than a few prefixes hold it. The units of hot tokens are dealt into blocks
   of one size band each, bounded by units and by tokens; two blocks that share a hot token make a tile, in which all
   overlaps are counted at once, and only a spanning forest of the links, or the earliest match, leaves the task.
@@ -31,7 +32,7 @@ from .kernel import U, mix
 FREQUENT = 1 << 17
 #: Prefix tokens in a blob, about; tokens in a block, about (a larger unit is a block of its own).
 BLOB = 300_000
-TILE_TOKENS = 400_000
+TILE_TOKENS = 800_000
 #: Quantiles that cut a band; blocks beyond that number are dealt by hash within a cut.
 CUTS = 1024
 #: Tokens a task counts at once, prefix tokens it packs at once.
@@ -47,7 +48,7 @@ _ROW = np.dtype([("token", "<u8"), ("unit", "<u8"), ("before", "<u8"), ("n", "<i
 class Spec:
     """n: words in an n-gram; num / den: the Jaccard threshold; by_line: units are lines, else whole texts; orders: how many global
     orders (8 at most); often: a count that can make a token frequent; large: units under one token whose pairs are named one by
-    one; tile: units in a block. The last three only shift work from one path to the other."""
+    one; tile: units in a block. The last three only shift work from one path to the other. words: 64-bit words of a sketch."""
 
     n: int
     num: int
@@ -57,6 +58,17 @@ class Spec:
     often: int = 64
     large: int = 48
     tile: int = 1000
+    words: int = 16
+
+    @property
+    def sketch(self) -> list[str]:
+        """Columns of a sketch."""
+        return [f"s{k}" for k in range(self.words)]
+
+    @property
+    def scanned(self) -> str:
+        """Schema of scan()."""
+        return "kind int, doc_id long, line long, u long, n long, " + ", ".join(f"{c} long" for c in self.sketch)
 
     def prefix(self, size):
         """Length of the prefix of sets of these sizes; 0 for empty ones."""
@@ -99,21 +111,28 @@ class _Seen:
         return out
 
 
+def _sketches(g, s, size, words: int) -> list[np.ndarray]:
+    """Words of the sets' sketches: which of 64 * words buckets hold an odd number of tokens."""
+    bits = 64 * words
+    odd = np.bincount(s * bits + (g & U(bits - 1)).astype(np.int64), minlength=len(size) * bits) & 1
+    return list(np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64).reshape(len(size), words).T)
+
+
 def scan(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(kind, doc_id, line, u, n): kind 0 for every text or line (n = 0 and u = 0 without words); kind 1 for tokens u that stand
+    """(kind, doc_id, line, u, n, sketch): kind 0 for every text or line (n = 0 and u = 0 without words); kind 1 for tokens u that stand
     n times in the units a task has met, if more than once among COUNTED tokens or so."""
 
     def counted(tokens):
         t, n = np.unique(np.concatenate(tokens), return_counts=True)
         t, n = t[n > 1], n[n > 1]
         none = pa.nulls(len(t), pa.int64())
-        return _batch([np.ones(len(t), np.int32), none, none, _i64(t), n], SCAN)
+        return _batch([np.ones(len(t), np.int32), none, none, _i64(t), n] + [none] * spec.words, spec.scanned)
 
     def run(batches):
         seen, held, some = _Seen(), [], 0
         for b in batches:
             for ids, number, g, s, size, units in _sets(b, spec):
-                yield _batch([np.zeros(len(number), np.int32), ids, number, _i64(units), size], SCAN)
+                yield _batch([np.zeros(len(number), np.int32), ids, number, _i64(units), size, *_sketches(g, s, size, spec.words)], spec.scanned)
                 new = seen.first(units, size)
                 held.append(g[new[s]])
                 some += len(held[-1])
@@ -123,10 +142,7 @@ def scan(docs: DataFrame, spec: Spec) -> DataFrame:
         if held:
             yield counted(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCAN)
-
-
-SCAN = "kind int, doc_id long, line long, u long, n long"
+    return docs.select("doc_id", "text").mapInArrow(run, spec.scanned)
 
 
 def _batch(cols, schema: str) -> pa.RecordBatch:
@@ -136,8 +152,8 @@ def _batch(cols, schema: str) -> pa.RecordBatch:
 
 
 def units_of(scanned: DataFrame) -> DataFrame:
-    """(doc_id, line, n, u) of every text or line."""
-    return scanned.where("kind = 0").select("doc_id", "line", "n", "u")
+    """(doc_id, line, n, u, sketch) of every text or line."""
+    return scanned.where("kind = 0").drop("kind")
 
 
 @dataclass
@@ -314,15 +330,20 @@ def _met(packed: DataFrame, spec: Spec, buckets: int) -> DataFrame:
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
 
 
-def _candidates(found: DataFrame, spec: Spec) -> DataFrame:
-    """(a, b, na, nb) of the pairs that share prefix tokens under every order; a is the smaller unsigned key."""
+def _candidates(found: DataFrame, spec: Spec, places: DataFrame) -> DataFrame:
+    """(a, b, na, nb) of the pairs that share prefix tokens under every order and whose sketches allow the threshold; a is the smaller unsigned key."""
     pairs = found.where("kind = 0")
     if spec.orders == 1:
-        return pairs.select("a", "b", "na", "nb").distinct()
-    return (
-        pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.bit_or("o").alias("o"))
-        .where(F.col("o") == (1 << spec.orders) - 1).drop("o")
-    )
+        pairs = pairs.select("a", "b", "na", "nb").distinct()
+    else:
+        pairs = (
+            pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.bit_or("o").alias("o"))
+            .where(F.col("o") == (1 << spec.orders) - 1).drop("o")
+        )
+    for c in "ab":
+        pairs = pairs.join(places.select(F.col("u").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in spec.sketch]), c)
+    differ = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in spec.sketch), F.lit(0))
+    return pairs.where(F.lit(spec.den + spec.num) * differ <= F.lit(spec.den - spec.num) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
 
 def unit_tokens(docs: DataFrame, spec: Spec, places: DataFrame) -> DataFrame:
@@ -495,7 +516,7 @@ def _hot_links(spec: Spec, blocks: DataFrame, tiles: DataFrame, sets: DataFrame,
 def links(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame, by_rank: bool = False) -> DataFrame:
     """Verified links (a, b) between different units of docs.
 
-    scanned is scan()'s result; places (u, d, line) says where each unit stands first, as far as ids tell (d: doc_id or
+    scanned is scan()'s result; places (u, d, line, sketch) says where each unit stands first, as far as ids tell (d: doc_id or
     NOWHERE). Without by_rank the links connect exactly the units that the threshold connects. With by_rank every unit that
     has a match before it in the order of (d, line, u) has a link with one; further links may come too.
     """
@@ -505,7 +526,7 @@ def links(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame, by
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) * spec.orders // BLOB + 1)
     found = common.table(_met(prefixes(docs, spec, often, buckets), spec, buckets), "found")
     common.free(spark)
-    pairs = common.table(_candidates(found, spec), "pairs")
+    pairs = common.table(_candidates(found, spec, places), "pairs")
     hot = found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("token"), F.col("na").alias("n")).distinct()
     blocks = None
     if not found.where("kind = 1").isEmpty():
