@@ -117,32 +117,37 @@ def popcount_subsets(mask: Column) -> Column:
     )
 
 
+# fixed values: the source patterns of closed dispatch tables; V stands for the table's variable
+DISPATCH = r"([A-Za-z_]\w*)\s*\(\s*\)\s*\[\s*([A-Za-z_]\w*)\s*\([^\]]*\)\s*\]"
+TABLE = r"std\s*::\s*array\s*<[^;{}]+,\s*([0-9]+)[uUlL]*\s*>\s*([A-Za-z_]\w*)\s*\{\s*\}\s*;"
+TABLE_FILL = r"\bV\s*\.\s*fill\s*\(\s*&\s*([A-Za-z_]\w*)\s*\)\s*;"
+TABLE_SLOT = r"\bV\s*\[\s*(0[xX][0-9A-Fa-f]+|[0-9]+)[uUlL]*\s*\]\s*=\s*&\s*([A-Za-z_]\w*)\s*;"
+TABLE_RETURN = r"\breturn\s+V\s*;"
+MASKED = r"return\s+static_cast\s*<[^>]+>\s*\(\s*[^;]*&\s*(0[xX][0-9A-Fa-f]+|[0-9]+)[uUlL]*\s*\)\s*;"
+
+
 def parse_bounded_index(body: Column) -> Column:
-    """struct(mask) of a body whose one return casts an expression masked by a literal; else null."""
-    pat = "return\\s+static_cast\\s*<[^;>]*>\\s*\\([^;]*&\\s*([0-9a-fA-FxXuUlL]+)\\s*\\)\\s*;"
-    mask = unsigned_literal(F.regexp_extract(body, pat, 1))
-    return F.when((F.regexp_count(body, F.lit("\\breturn\\b")) == 1) & body.rlike(pat) & mask.isNotNull(), F.struct(mask.alias("mask")))
+    """struct(mask, values) of a body whose one return casts an expression masked by a literal; else null. values: all sub-masks, null for more than 12 bits."""
+    mask = unsigned_literal(F.regexp_extract(body, MASKED, 1))
+    small = F.when(mask <= F.lit((1 << 63) - 1).cast("decimal(20,0)"), mask.cast("bigint"))
+    return F.when((F.regexp_count(body, F.lit("\\breturn\\b")) == 1) & body.rlike(MASKED) & mask.isNotNull(), F.struct(mask.alias("mask"), popcount_subsets(small).alias("values")))
 
 
 def parse_closed_table(body: Column) -> Column:
-    """struct(extent, slots map<index, name>) of a body that fills and returns one array of addresses and nothing else; else null."""
-    head = "std::array\\s*<[^;]*,\\s*([0-9a-fA-FxXuUlL]+)\\s*>\\s+([A-Za-z_]\\w*)\\s*\\{\\s*\\}\\s*;"
-    var, extent = F.regexp_extract(body, head, 2), unsigned_literal(F.regexp_extract(body, head, 1)).cast("int")
-    fill = F.concat(F.lit("\\b"), var, F.lit("\\s*\\.\\s*fill\\s*\\(\\s*&\\s*([A-Za-z_][\\w:]*)\\s*\\)\\s*;"))
-    put = F.concat(F.lit("\\b"), var, F.lit("\\s*\\[\\s*([0-9]+)[uUlL]*\\s*\\]\\s*=\\s*&\\s*([A-Za-z_][\\w:]*)\\s*;"))
-    back = F.concat(F.lit("return\\s+"), var, F.lit("\\s*;"))
-    at = F.transform(F.regexp_extract_all(body, put, F.lit(1)), lambda x: x.cast("int"))
-    names = F.regexp_extract_all(body, put, F.lit(2))
-    base = F.regexp_extract(body, head, 2)
-    default = F.element_at(F.regexp_extract_all(body, fill, F.lit(1)), 1)
-    uses = F.regexp_count(body, F.concat(F.lit("\\b"), var, F.lit("\\b")))
+    """struct(extent, default, slots array<struct<index, name>>) of a body that declares one array, fills it, sets slots to addresses
+    by literal and returns it, and does nothing else with it; else null."""
+    var = F.regexp_extract(body, TABLE, 2)
+    extent = unsigned_literal(F.regexp_replace(F.regexp_extract(body, TABLE, 1), "^0+(?=[0-9])", ""))
+    of = lambda pattern: F.regexp_replace(F.lit(pattern), F.lit("V"), var)
+    at = F.transform(F.regexp_extract_all(body, of(TABLE_SLOT), F.lit(1)), unsigned_literal)
+    slots = F.zip_with(at, F.regexp_extract_all(body, of(TABLE_SLOT), F.lit(2)), lambda i, name: F.struct(i.alias("index"), name.alias("name")))
+    default = F.get(F.regexp_extract_all(body, of(TABLE_FILL), F.lit(1)), F.lit(0))
+    uses = F.regexp_count(body, of(r"\bV\b"))
     ok = (
-        body.rlike(head) & (extent > 0) & (extent <= 4096) & (F.regexp_count(body, fill) == 1) & (F.regexp_count(body, back) == 1)
-        & (uses == F.size(at) + 3) & (F.size(F.array_distinct(at)) == F.size(at)) & ~F.exists(at, lambda i: i >= extent) & (base != "")
+        body.rlike(TABLE) & (extent > 0) & default.isNotNull() & (F.regexp_count(body, of(TABLE_RETURN)) > 0) & (uses == 3 + F.size(at))
+        & (F.size(F.array_distinct(at)) == F.size(at)) & ~F.exists(at, lambda i: i.isNull() | (i >= extent))
     )
-    slot = lambda i: F.when(F.array_contains(at, i), F.get(names, F.array_position(at, i).cast("int") - 1)).otherwise(default)
-    keys = F.sequence(F.lit(0), F.greatest(extent, F.lit(1)) - 1)
-    return F.when(ok, F.struct(extent.alias("extent"), F.map_from_arrays(keys, F.transform(keys, slot)).alias("slots")))
+    return F.when(ok, F.struct(extent.alias("extent"), default.alias("default"), slots.alias("slots")))
 
 
 def split(command: str) -> list[str]:

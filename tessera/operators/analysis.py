@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions import text as X
 from . import fixpoint
 
 TRAVERSED = (S.CALLS, S.CONSTRUCTS, S.DESTROYS, S.CONTAINS, S.INSTANTIATES, S.SPECIALIZES)
@@ -25,7 +26,7 @@ def families(symbols: DataFrame) -> DataFrame:
     """
     logical = symbols.where("logical_id is not null").select(F.concat(F.lit("l:"), "logical_id").alias("f"), "id")
     suffix = F.regexp_extract("usr", ".*(@F@.*)$", 1)
-    member = symbols.where(suffix != "").select(F.concat(F.lit("m:"), "qualified_name", suffix).alias("f"), "id", (F.col("usr").contains("@ST>") | F.col("usr").contains("@SP>")).alias("t"))
+    member = symbols.where(suffix != "").select(F.concat(F.lit("m:"), "qualified_name", F.lit("|"), suffix).alias("f"), "id", (F.col("usr").contains("@ST>") | F.col("usr").contains("@SP>")).alias("t"))
     member = member.join(member.groupBy("f").agg(F.bool_or("t").alias("any")).where("any"), "f", "left_semi").select("f", "id")
     both = logical.union(member)
     hub = both.groupBy("f").agg(F.min("id").alias("hub"))
@@ -34,9 +35,9 @@ def families(symbols: DataFrame) -> DataFrame:
 
 
 def template_primaries(symbols: DataFrame) -> DataFrame:
-    """(src, dst) from a function with an '@F@' USR to the function template of its qualified name."""
+    """(src, dst) from a function with an '@F@' USR to the primary function templates of its qualified name that have a USR."""
     made = symbols.where((F.col("kind") == S.FUNCTION) & F.col("usr").contains("@F@")).select(F.col("id").alias("src"), "qualified_name")
-    primary = symbols.where(F.col("kind") == S.FUNCTION_TEMPLATE).select(F.col("id").alias("dst"), "qualified_name")
+    primary = symbols.where((F.col("kind") == S.FUNCTION_TEMPLATE) & X.flag(F.col("template_flags"), 0) & (F.col("usr") != "")).select(F.col("id").alias("dst"), "qualified_name")
     return made.join(primary, "qualified_name").select("src", "dst").distinct()
 
 
@@ -53,7 +54,7 @@ def reachable_symbols(edges: DataFrame, symbols: DataFrame, start: DataFrame) ->
 
 
 def open_targets(targets: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """Targets that keep the target graph from being authoritative: not so themselves, or out of reach of executables and tests."""
+    """Targets that keep the target graph from being authoritative: not so themselves, or out of reach of executables and tests. Without any target it isn't authoritative either."""
     start = targets.where(F.col("kind").isin(1, 5)).select("id")
     seen = fixpoint.reachable(dependencies.select(F.col("consumer_id").alias("src"), F.col("dependency_id").alias("dst")), start).distinct()
     return targets.where("not topology_authoritative").select("id").union(targets.join(seen, "id", "left_anti").select("id")).distinct()
@@ -103,7 +104,8 @@ def readiness(model, reachable: DataFrame | None = None) -> DataFrame:
         reachable = reachable_symbols(model.edges, model.symbols, roots(model.symbols, model.occurrences, model.entry_roots))
     state = completeness(model.revisions).select(F.lit(1).alias("seq"), F.lit("coverage.incomplete").alias("code"), (F.col("total") - F.col("complete")).alias("n"), (F.col("total") == 0).alias("bad"))
     state = state.where("bad or n > 0").drop("bad")
-    closed = open_targets(model.build_targets, model.target_dependencies).agg(F.count("*").alias("n")).where("n > 0").select(F.lit(2), F.lit("target.topology-unproven"), "n")
+    closed = model.build_targets.select("id").join(open_targets(model.build_targets, model.target_dependencies).withColumn("open", F.lit(1)), "id", "left").agg(F.count("*").alias("all"), F.count("open").alias("n"))
+    closed = closed.where("n > 0 or all = 0").select(F.lit(2), F.lit("target.topology-unproven"), "n")
     rootless = model.entry_roots.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(3), F.lit("roots.missing"), "n")
     issues = target_root_issues(model.build_targets, model.target_memberships, model.revisions, model.occurrences, model.entry_roots)
     per = issues.groupBy("code").agg(F.count("*").alias("n")).select(F.when(F.col("code").startswith("target"), 4).otherwise(5), "code", "n")
@@ -114,16 +116,14 @@ def readiness(model, reachable: DataFrame | None = None) -> DataFrame:
 
 
 def dead_code(symbols: DataFrame, occurrences: DataFrame, reachable: DataFrame) -> DataFrame:
-    """(representative, group_key, variants, linkage, visibility): groups of explicitly defined, unexported callables no variant of which is reached."""
+    """(representative, group_key, variants, linkage, visibility): logical symbols, or symbols without one, that have an explicitly defined,
+    unexported callable, and none of whose variants is reached. The representative is the least of these callables; all variants count."""
     explicit = occurrences.where("role = 1 and not implicit").select(F.col("symbol_id").alias("id"))
+    key = F.coalesce(F.concat(F.lit("logical:"), "logical_id"), F.concat(F.lit("symbol:"), F.col("id").cast("string"))).alias("group_key")
     some = symbols.where(F.col("kind").isin(*S.CALLABLE) & ~F.col("exported")).join(explicit, "id", "left_semi")
-    hit = reachable.select("id", F.lit(True).alias("hit"))
-    key = F.coalesce(F.concat(F.lit("logical:"), "logical_id"), F.concat(F.lit("symbol:"), F.col("id").cast("string")))
-    return (
-        some.join(hit, "id", "left").groupBy(key.alias("group_key"))
-        .agg(F.min("id").alias("representative"), F.count("*").alias("variants"), F.bool_or(F.coalesce("hit", F.lit(False))).alias("hit"), F.min_by("linkage", "id").alias("linkage"), F.min_by("visibility", "id").alias("visibility"))
-        .where("not hit").drop("hit")
-    )
+    some = some.groupBy(key).agg(F.min("id").alias("representative"), F.min_by("linkage", "id").alias("linkage"), F.min_by("visibility", "id").alias("visibility"))
+    groups = symbols.select("id", key).join(reachable.select("id", F.lit(True).alias("hit")), "id", "left").groupBy("group_key").agg(F.count("*").alias("variants"), F.count("hit").alias("hits"))
+    return some.join(groups.where("hits = 0"), "group_key").select("group_key", "representative", "variants", "linkage", "visibility")
 
 
 def confidence(ready: bool, basics: bool, linkage="linkage", visibility="visibility"):
@@ -132,13 +132,93 @@ def confidence(ready: bool, basics: bool, linkage="linkage", visibility="visibil
     return F.when(F.lit(ready) & local, "High").when(F.lit(basics), "Medium").otherwise("Low")
 
 
-def confident_dead_code(model) -> DataFrame:
-    """Dead-code candidates with their confidence and the codes it is gated by, in order."""
+# fixed values: what stands for a code in readiness records, and the two reasons of a candidate
+MESSAGES = {
+    "coverage.incomplete": "one or more translation units are incomplete",
+    "target.topology-unproven": "build-target membership or closure is not authoritative",
+    "roots.missing": "no entry roots are available",
+    "target.multiple-process-entries": "one target contains multiple distinct process-entry symbols: ",
+    "roots.target-missing": "an executable or test target has no target-owned entry root: ",
+    "binding.declaration-only-target": "a resolved call targets a declaration while a same-USR definition is stranded outside its logical group: ",
+    "calls.project-unresolved": " reachable project-owned call observation(s) are unresolved",
+    "calls.indirect-unresolved": " reachable indirect call observation(s) have no complete target set",
+    "calls.unclassified-unresolved": " reachable call observation(s) cannot be classified",
+}
+READY = "unreachable from all authoritative roots in a complete, closed, fully resolved logical graph"
+GATED = "unreachable from known roots; confidence gated by "
+#: Codes that keep a candidate at Low.
+BASICS = {"coverage.incomplete", "roots.missing", "roots.target-missing", "binding.declaration-only-target", "calls.project-unresolved", "calls.unclassified-unresolved"}
+
+
+def readiness_reason(codes: list[str]) -> str:
+    """Why a candidate has its confidence; each code once, in order."""
+    return GATED + ", ".join(codes) if codes else READY
+
+
+def _judged(model) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Reached symbols, readiness and its codes in order (nine at most)."""
     from ..sources.scratch import table
 
     seen = table(reachable_symbols(model.edges, model.symbols, roots(model.symbols, model.occurrences, model.entry_roots)), "reachable")
-    issues = readiness(model, seen).orderBy("seq").collect()  # nine codes at most
-    codes = [r["code"] for r in issues]
-    basics = not {"coverage.incomplete", "roots.missing", "roots.target-missing", "binding.declaration-only-target", "calls.project-unresolved", "calls.unclassified-unresolved"} & set(codes)
-    reason = ", ".join(codes)
-    return dead_code(model.symbols, model.occurrences, seen).withColumns({"confidence": confidence(not codes, basics), "reason": F.lit(reason)})
+    state = table(readiness(model, seen), "readiness")
+    return seen, state, [r["code"] for r in state.orderBy("seq", "code").collect()]
+
+
+def confident_dead_code(model) -> DataFrame:
+    """Dead-code candidates with their confidence and its reason."""
+    seen, _, codes = _judged(model)
+    found = dead_code(model.symbols, model.occurrences, seen)
+    return found.withColumns({"confidence": confidence(not codes, not BASICS & set(codes)), "reason": F.lit(readiness_reason(codes))})
+
+
+def readiness_records(model, reachable: DataFrame, json_lines: bool = False) -> DataFrame:
+    """(seq, line) of what stands against high confidence: a record for each target, binding or class of calls concerned."""
+    state = readiness(model, reachable)
+    plain = state.where("seq in (1, 2, 3)").select("seq", "code", F.lit("").alias("what"))
+    issues = target_root_issues(model.build_targets, model.target_memberships, model.revisions, model.occurrences, model.entry_roots)
+    named = issues.join(model.build_targets.select("id", "name"), "id", "left")
+    each = named.select(F.when(F.col("code").startswith("target"), 4).otherwise(5).alias("seq"), "code", F.when(F.col("code").startswith("target"), F.col("id").cast("string")).otherwise(F.col("name")).alias("what"))
+    bound = stranded_bindings(model.edges, model.symbols, model.occurrences).join(model.symbols.select(F.col("id").alias("target_symbol"), "qualified_name"), "target_symbol")
+    calls = state.where("seq > 6").select("seq", "code", F.col("n").cast("string").alias("what"))
+    rows = reduce(DataFrame.union, [plain, each, bound.select(F.lit(6), F.lit("binding.declaration-only-target"), "qualified_name"), calls])
+    texts = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
+    said = F.try_element_at(texts, F.col("code"))
+    message = F.when(F.col("seq") > 6, F.concat("what", said)).otherwise(F.concat(said, "what"))
+    line = F.to_json(F.struct(F.lit("analysis_readiness").alias("record"), "code", message.alias("message"))) if json_lines else F.concat(F.lit("readiness|"), "code", F.lit("|"), message)
+    return rows.select("seq", line.alias("line"))
+
+
+def export_candidates(model, json_lines: bool = False) -> DataFrame:
+    """(line): readiness records, then one for each dead-code candidate with where it is defined, seen and built, in order of its group."""
+    seen, _, codes = _judged(model)
+    found = dead_code(model.symbols, model.occurrences, seen).withColumn("confidence", confidence(not codes, not BASICS & set(codes)))
+    group = F.coalesce(F.concat(F.lit("logical:"), "logical_id"), F.concat(F.lit("symbol:"), F.col("id").cast("string"))).alias("group_key")
+    variants = model.symbols.select(group, F.col("id").alias("symbol_id")).join(found.select("group_key"), "group_key", "left_semi")
+    at = model.revisions.select(F.col("id").alias("revision_id"), "tu_id").join(model.translation_units.select(F.col("id").alias("tu_id"), "configuration_id"), "tu_id")
+    spots = variants.join(model.occurrences.select("symbol_id", "revision_id", "role", "file_version_id", "begin_line"), "symbol_id").join(at, "revision_id")
+    paths = model.file_versions.select(F.col("id").alias("file_version_id"), "file_id").join(model.files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    names = model.target_memberships.join(model.build_targets.select(F.col("id").alias("target_id"), "name"), "target_id").select("tu_id", F.col("name").alias("target"))
+    spots = spots.join(paths, "file_version_id", "left").join(names, "tu_id", "left")
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    spots = spots.groupBy("group_key").agg(
+        listed(F.col("configuration_id").cast("string")).alias("configurations"), listed("target").alias("targets"),
+        listed(F.when(F.col("role") == 1, F.concat("path", F.lit(":"), F.col("begin_line").cast("string")))).alias("definitions"),
+    )
+    own = model.symbols.select(F.col("id").alias("representative"), "kind", "qualified_name", "logical_id", "type_id", "template_flags", "function_flags")
+    rows = found.join(own, "representative").join(model.types.select(F.col("id").alias("type_id"), F.col("canonical_spelling").alias("signature")), "type_id", "left").join(spots, "group_key", "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    reason, kind = F.lit(readiness_reason(codes)), S.enum_name(F.col("kind"), "symbol")
+    primary, defaulted = X.flag(F.col("template_flags"), 0), X.flag(F.col("function_flags"), 13)
+    if json_lines:
+        line = F.to_json(F.struct(
+            F.lit("dead_code_candidate").alias("record"), F.col("representative").cast("string").alias("symbol_id"), text("logical_id").alias("logical_symbol_id"), F.col("variants").alias("variant_count"), F.col("qualified_name").alias("symbol"),
+            text("signature"), text("definitions"), kind.alias("kind"), text("configurations"), text("targets"), primary.alias("template_primary"), defaulted.alias("defaulted"), "confidence", reason.alias("reason"),
+        ))
+    else:
+        bar = F.lit("|")
+        line = F.concat(
+            F.lit("candidate|"), "confidence", bar, kind, bar, "qualified_name", bar, text("signature"), bar, reason, bar, F.col("representative").cast("string"), F.lit("|logical:"), text("logical_id"), F.lit("|variants:"), F.col("variants").cast("string"),
+            F.lit("|definitions:"), text("definitions"), F.lit("|configurations:"), text("configurations"), F.lit("|targets:"), text("targets"), F.lit("|template-primary:"), primary.cast("int").cast("string"), F.lit("|defaulted:"), defaulted.cast("int").cast("string"),
+        )
+    lines = readiness_records(model, seen, json_lines).select("seq", F.lit("").alias("g"), "line").union(rows.select(F.lit(99), "group_key", line))
+    return lines.orderBy("seq", "g", "line").select("line")

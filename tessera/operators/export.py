@@ -13,7 +13,7 @@ from ..functions.text import record_escape
 from . import canon
 
 EDGE_KEY = [
-    "kind", "source_id", "target_symbol", "target_type", "observed_target_usr", "observed_target_spelling", "resolution", "dispatch", "origin",
+    "kind", "source_id", "target_symbol", "target_type", "unresolved_target", "observed_target_usr", "observed_target_spelling", "resolution", "dispatch", "origin",
     "target_domain", "resolution_failure", "access", "is_virtual", "is_dependent",
 ]
 
@@ -30,7 +30,7 @@ def semantic_edges(edges: DataFrame, revisions: DataFrame, units: DataFrame) ->
     return configured(edges, revisions, units).groupBy(*EDGE_KEY).agg(F.count("*").alias("evidence_count"), F.min("id").alias("representative"), sets.alias("configurations"))
 
 
-def target_name(symbols: DataFrame, types: DataFrame, edges: DataFrame, unresolved: str = "observed_target_spelling") -> DataFrame:
+def target_name(symbols: DataFrame, types: DataFrame, edges: DataFrame, unresolved: str = "unresolved_target") -> DataFrame:
     """edges with source_name and target_name: qualified name of the symbol, else the type's spelling, else the text as written."""
     names = symbols.select(F.col("id").alias("_s"), F.col("qualified_name").alias("_n"))
     src = names.select(F.col("_s").alias("source_id"), F.col("_n").alias("source_name"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from . import canon, fixpoint
 
 
@@ -45,24 +46,61 @@ def orphan_configurations(units: DataFrame, configurations: DataFrame) -> DataFr
     return configurations.join(units.select(F.col("configuration_id").alias("id")), "id", "left_anti")
 
 
-def entry_roots(symbols: DataFrame, occurrences: DataFrame, revisions: DataFrame, units: DataFrame, edges: DataFrame, summaries: DataFrame, process_names=("main", "wmain", "WinMain", "wWinMain"), manual=()) -> DataFrame:
-    """(symbol_id, kind, configuration_id): process entries, exports, symbols whose address escapes, and named ones, per configuration they occur in."""
+# fixed values: functions a process starts at; why a symbol is a root
+PROCESS_ENTRIES = ("main", "wmain", "WinMain", "wWinMain")
+REASONS = ("process entry point", "compiler-observed export", "configured entry root", "address taken; at least one indirect flow is unresolved or escaping")
+
+
+def entry_roots(symbols: DataFrame, occurrences: DataFrame, revisions: DataFrame, units: DataFrame, edges: DataFrame, summaries: DataFrame, manual=()) -> DataFrame:
+    """(id, symbol_id, kind, reason, configuration_id): process entries, exports, configured names, and symbols with an address taken that no
+    complete summary models, per configuration they occur in."""
     where = (
         occurrences.select("symbol_id", "revision_id").join(revisions.select(F.col("id").alias("revision_id"), "tu_id"), "revision_id")
         .join(units.select(F.col("id").alias("tu_id"), "configuration_id"), "tu_id").select("symbol_id", "configuration_id").distinct()
     )
-    held = summaries.where("complete and not storage_escapes").select(F.col("call_observation").alias("id"))
-    taken = edges.where("kind = 11 and target_symbol is not null").join(held, "id", "left_anti").select(F.col("target_symbol").alias("symbol_id")).distinct()
-    name = F.element_at(F.split("qualified_name", "::"), -1)
-    kinds = [
-        (symbols.where((F.col("kind") == 6) & name.isin(*process_names)).select(F.col("id").alias("symbol_id")), 0),
-        (symbols.where("exported").select(F.col("id").alias("symbol_id")), 1),
-        (symbols.where(F.col("qualified_name").isin(*manual)).select(F.col("id").alias("symbol_id")) if manual else None, 2),
-        (taken, 3),
-    ]
-    out = None
-    for some, kind in kinds:
-        if some is not None:
-            rows = where.join(some, "symbol_id", "left_semi").select("symbol_id", F.lit(kind).alias("kind"), "configuration_id")
-            out = rows if out is None else out.union(rows)
-    return out
+    modeled = summaries.where("complete and not storage_escapes").select(F.explode("modeled_addresses").alias("id")).distinct()
+    taken = edges.where("kind = 11 and target_symbol is not null").select("id", "target_symbol").join(modeled, "id", "left_anti").select(F.col("target_symbol").alias("symbol_id"), F.lit(3).alias("kind"))
+    of = lambda rows, kind: rows.select(F.col("id").alias("symbol_id"), F.lit(kind).alias("kind"))
+    found = of(symbols.where((F.col("kind") == 6) & F.col("name").isin(*PROCESS_ENTRIES)), 0).union(of(symbols.where("exported"), 1)).union(taken)
+    if manual:
+        found = found.union(of(symbols.where(F.col("qualified_name").isin(*manual)), 2))
+    out = found.distinct().join(where, "symbol_id").withColumn("reason", F.get(F.array(*[F.lit(x) for x in REASONS]), F.col("kind")))
+    return out.select(X.digest("entry-root", F.col("symbol_id"), F.col("kind"), F.col("reason"), F.col("configuration_id")).alias("id"), "symbol_id", "kind", "reason", "configuration_id")
+
+
+def extraction_view(fingerprint, roots: list[str]):
+    """Fingerprint of a unit's compilation and of the project's roots: sorted, distinct, each by its length and text."""
+    text = "".join(f"{len(r.encode())}:{r};" for r in sorted(set(roots)))
+    return F.sha2(F.concat(F.lit("extraction-view|"), fingerprint, F.lit(text)), 256)
+
+
+def merged_commands(commands: DataFrame) -> DataFrame:
+    """One command for each (source, configuration), the first by database; ValueError if their arguments differ."""
+    clash = conflicting_commands(commands).first()
+    if clash is not None:
+        raise ValueError(f"conflicting commands for {clash['source']}")
+    rest = [c for c in commands.columns if c not in ("source", "configuration")]
+    return commands.groupBy("source", "configuration").agg(F.min_by(F.struct(*rest), "database").alias("r")).select("source", "configuration", "r.*")
+
+
+def default_target(commands: DataFrame, workspace: str, name: str = "", kind: int = 0, authoritative: bool = False, databases: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(targets, memberships) where no manifest says otherwise: a target for each database of commands (database, folder, tu_id), named after the workspace, its folder, or name."""
+    folder = F.element_at(F.split("folder", "/"), -1)
+    label = (F.lit(workspace.rstrip("/").rsplit("/", 1)[-1]) if databases == 1 else folder) if not name else (F.lit(name) if databases == 1 else F.concat(F.lit(f"{name}:"), folder))
+    space = F.sha2(F.lit(f"workspace|{workspace}"), 256)
+    rows = commands.withColumn("name", label).withColumn("id", X.digest("build-target", space, F.col("database"), F.col("name")))
+    targets = rows.select("id", "name", F.lit(kind).alias("kind"), F.col("database").alias("source"), F.lit(authoritative).alias("topology_authoritative")).distinct()
+    return targets, rows.select(F.col("id").alias("target_id"), "tu_id").distinct()
+
+
+def topology(memberships: DataFrame, units: DataFrame) -> DataFrame:
+    """(id, target_id, tu_id): memberships of units that the model has."""
+    kept = memberships.join(units.select(F.col("id").alias("tu_id")), "tu_id", "left_semi").select("target_id", "tu_id").distinct()
+    return kept.select(X.digest("target-membership", F.col("target_id"), F.col("tu_id")).alias("id"), "target_id", "tu_id")
+
+
+def complete_gate(revisions: DataFrame) -> None:
+    """ValueError unless there are units and all are complete."""
+    r = canon.completeness(revisions).first()
+    if not r["total"] or r["complete"] != r["total"]:
+        raise ValueError("complete-model gate failed: " + ", ".join(f"{c}={r[c]}" for c in ("total", "complete", "warning", "partial", "failed")))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schema as S
+from ..functions import text as X
 from . import canon, fixpoint, incremental
 
 #: code, table, column, referred table, referred column
@@ -55,7 +58,7 @@ MORE_REFERENCES = [
     ("reference.indirect-provider", "summaries", "storage_provider", "symbols", "id"),
     ("reference.indirect-provider", "summaries", "index_provider", "symbols", "id"),
     ("reference.indirect-stored-target", "summaries", "stored_targets", "symbols", "id"),
-    ("reference.indirect-address", "summaries", "addresses", "edges", "id"),
+    ("reference.indirect-address", "summaries", "modeled_addresses", "edges", "id"),
 ]
 
 
@@ -95,6 +98,8 @@ def consistency(model) -> DataFrame:
     found = []
     if parents is not None:
         found.append(issue(model.edges.where("kind = 2 and target_symbol is not null").join(parents, "source_id", "left").where(bad), "hierarchy.semantic-parent-edge", "id"))
+    if not _has(model, "summaries", "complete", "storage_escapes"):
+        model = SimpleNamespace(**{**{k: getattr(model, k, None) for k in ("edges", "symbols", "logical_symbols", "configurations", "translation_units", "active", "revisions", "completeness")}, "summaries": model.edges.select(F.lit("").alias("call_observation"), F.lit(False).alias("complete"), F.lit(False).alias("storage_escapes")).limit(0)})
     unsound = F.col("storage_escapes")
     if _has(model, "summaries", "selectable_targets"):
         unsound = unsound | (F.coalesce(F.size("selectable_targets"), F.lit(0)) <= 0)
@@ -122,15 +127,64 @@ def wrong_digest(table: DataFrame, expected, code: str, column: str = "id") -> D
     return table.where(F.col(column) != expected).select(F.lit(code).alias("code"), F.col(column).alias("id"))
 
 
+def _of(prefix: str, *columns: str):
+    """Digest of a prefix and columns with '|' between."""
+    return X.digest(prefix, *[F.col(c) for c in columns])
+
+
+#: code, table, what the id of a row must be
+DIGESTS = [
+    ("identity.configuration", "configurations", lambda: F.sha2("canonical_key", 256)),
+    ("identity.tu-key", "translation_units", lambda: _of("tu", "source_file", "configuration_id")),
+    ("identity.revision", "revisions", lambda: _of("tu-revision", "tu_id", "source_hash", "compilation_fingerprint", "extractor_version")),
+    ("identity.file", "files", lambda: _of("file", "workspace_id", "path")),
+    ("identity.file-version", "file_versions", lambda: _of("file-version", "file_id", "content_hash")),
+    ("identity.symbol-digest", "symbols", lambda: F.sha2("canonical_key", 256)),
+    ("identity.logical-symbol", "logical_symbols", lambda: F.sha2("canonical_key", 256)),
+    ("identity.type-digest", "types", lambda: F.sha2("canonical_key", 256)),
+    ("identity.build-target", "build_targets", lambda: _of("build-target", "workspace_id", "source", "name")),
+    ("identity.target-membership", "target_memberships", lambda: _of("target-membership", "target_id", "tu_id")),
+    ("identity.target-dependency", "target_dependencies", lambda: _of("target-dependency", "consumer_id", "dependency_id")),
+    ("identity.entry-root", "entry_roots", lambda: _of("entry-root", "symbol_id", "kind", "reason", "configuration_id")),
+    ("identity.indirect-summary", "summaries", lambda: _of("indirect-summary", "call_observation", "revision_id", "configuration_id", "analyzer_version")),
+]
+#: Columns the digests of a table are made of, so that tables which lack them are left out.
+MADE_OF = {
+    "configurations": ["canonical_key"], "symbols": ["canonical_key"], "logical_symbols": ["canonical_key"], "types": ["canonical_key"], "translation_units": ["source_file", "configuration_id"],
+    "revisions": ["tu_id", "source_hash", "compilation_fingerprint", "extractor_version"], "files": ["workspace_id", "path"], "file_versions": ["file_id", "content_hash"], "build_targets": ["workspace_id", "source", "name"],
+    "target_memberships": ["target_id", "tu_id"], "target_dependencies": ["consumer_id", "dependency_id"], "entry_roots": ["symbol_id", "kind", "reason", "configuration_id"],
+    "summaries": ["call_observation", "revision_id", "configuration_id", "analyzer_version"],
+}
+
+
+def identities(model) -> DataFrame | None:
+    """Ids that aren't the digests of what they stand for, empty keys, ids with several keys; None if the model has no table with such ids."""
+    issue = lambda df, code, c="id": df.select(F.lit(code).alias("code"), F.col(c).cast("string").alias("id"))
+    found = []
+    for code, name, made in DIGESTS:
+        if _has(model, name, "id", *MADE_OF[name]):
+            found.append(wrong_digest(getattr(model, name), made(), code))
+    if _has(model, "configurations", "canonical_key", "fingerprint"):
+        found.append(issue(model.configurations.where(F.col("fingerprint") != F.sha2(F.concat(F.lit("compilation-fingerprint|"), "canonical_key"), 256)), "identity.configuration-fingerprint"))
+    for name, what in (("symbols", "symbol"), ("types", "type")):
+        if _has(model, name, "canonical_key"):
+            rows = getattr(model, name)
+            found.append(issue(rows.where("coalesce(canonical_key, '') = ''"), f"identity.{what}-key"))
+            found.append(issue(canon.collisions(rows, "canonical_key"), f"identity.{what}-collision"))
+    if _has(model, "logical_symbols", "usr"):
+        found.append(issue(model.logical_symbols.where("coalesce(usr, '') = ''"), "identity.logical-symbol-usr"))
+    return reduce(DataFrame.union, found) if found else None
+
+
 def semantics(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Exact edges without a target, unresolved ones without a reason, and inheritance or overriding between the wrong kinds."""
     s = lambda c: F.col(c).cast("string").alias("id")
     bare = edges.where("resolution = 0 and target_symbol is null and target_type is null").select(F.lit("resolution.exact-without-target").alias("code"), s("id"))
-    plain = edges.where("resolution = 3 and target_domain = 4 and resolution_failure = 0").select(F.lit("resolution.unclassified"), s("id"))
+    plain = edges.where("resolution = 3 and resolution_failure = 0").select(F.lit("resolution.unclassified"), s("id"))
     kinds = symbols.select(F.col("id").alias("_id"), F.col("kind").alias("_kind"))
-    base = edges.where("kind = 12 and target_symbol is not null").join(kinds, F.col("target_symbol") == F.col("_id")).where(~F.col("_kind").isin(3, 4, 5, 19)).select(F.lit("hierarchy.base-kind"), s("id"))
-    over = edges.where("kind = 13").join(kinds, F.col("source_id") == F.col("_id")).where(~F.col("_kind").isin(7, 9, 10, 11)).select(F.lit("hierarchy.override-source"), s("id"))
-    under = edges.where("kind = 13").join(kinds, F.col("target_symbol") == F.col("_id")).where(~F.col("_kind").isin(7, 9, 10, 11)).select(F.lit("hierarchy.override-target"), s("id"))
+    base = edges.where("kind = 12 and target_symbol is not null").join(kinds, F.col("target_symbol") == F.col("_id")).where(~F.col("_kind").isin(*S.BASES)).select(F.lit("hierarchy.base-kind"), s("id"))
+    over = edges.where("kind = 13 and target_symbol is not null").join(kinds, F.col("source_id") == F.col("_id")).where(~F.col("_kind").isin(*S.METHODS)).select(F.lit("hierarchy.override-source"), s("id"))
+    under = edges.where("kind = 13").join(kinds, F.col("target_symbol") == F.col("_id")).where(~F.col("_kind").isin(*S.METHODS)).select(F.lit("hierarchy.override-target"), s("id"))
     return reduce(DataFrame.union, [bare, plain, base, over, under])
 
 
@@ -157,5 +211,18 @@ def parent_cycles(symbols: DataFrame) -> DataFrame:
 
 def validate(model) -> DataFrame:
     """All issues (code, id) of a model."""
-    parts = [references(model), semantics(model.edges, model.symbols), lifetime(model), property_drift(model.symbols, model.occurrences), parent_cycles(model.symbols), consistency(model), more_references(model)]
+    parts = [references(model), semantics(model.edges, model.symbols), lifetime(model), property_drift(model.symbols, model.occurrences), parent_cycles(model.symbols), consistency(model), more_references(model), identities(model)]
     return reduce(DataFrame.union, [x for x in parts if x is not None])
+
+
+def issues_of_build(model) -> DataFrame:
+    """All issues of a model that build() has made: it has lists in its types, file versions that include, and its active revisions as a table."""
+    own = SimpleNamespace(**vars(model))
+    own.includes = model.includes.withColumnRenamed("includer", "including_version").join(model.file_versions.select(F.col("id").alias("including_version"), F.col("file_id").alias("includer")), "including_version", "left")
+    own.type_children = model.types.select(F.col("id").alias("type_id"), F.explode("children").alias("child_id"))
+    known = [(code, t, c, o, k) for code, t, c, o, k in REFERENCES if _has(own, t, c) and _has(own, o, k)]
+    found = [dangling(getattr(own, t), c, getattr(own, o), k, code) for code, t, c, o, k in known]
+    found.append(dangling(model.includes, "includer", model.file_versions, "id", "reference.include-source"))
+    own.revisions = model.revisions.withColumn("seen_at", F.lit(0))
+    found += [semantics(model.edges, model.symbols), lifetime(own), property_drift(model.symbols, model.occurrences), parent_cycles(model.symbols), consistency(own), more_references(own), identities(own)]
+    return reduce(DataFrame.union, [x for x in found if x is not None])

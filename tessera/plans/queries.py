@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
-from ..operators import analysis, audit, canon, export, fixpoint, incremental, resolve, validate
+from ..operators import analysis, audit, canon, canonicalise, export, fixpoint, incremental, resolve, validate
 from .adapter import Model, duck
 
 Q: dict[str, tuple[Callable[[Model], DataFrame], str | None]] = {}
@@ -43,27 +43,12 @@ def _(m):
 
 @query("snk05_edge_records", f"""
 with g as (
-  select e.kind, e.source_id, e.target_symbol, e.target_type, e.observed_target_usr, e.observed_target_spelling, e.resolution, e.dispatch, e.origin, e.target_domain, e.resolution_failure, e.access, e.is_virtual, e.is_dependent, count(*) as n
-  from {{edges}} e group by all)
-select concat('relationship|', {S.enum_sql('g.kind', 'relationship')}, '|', coalesce(s.qualified_name, ''), '|',
-  case when g.target_symbol is not null then coalesce(t.qualified_name, '') else coalesce(ty.canonical_spelling, g.observed_target_spelling, '') end, '|',
-  {S.enum_sql('g.resolution', 'resolution')}, '|', {S.enum_sql('g.dispatch', 'dispatch')}, '|', {S.enum_sql('g.origin', 'origin')}, '|domain:', {S.enum_sql('g.target_domain', 'domain')},
-  '|failure:', {S.enum_sql('g.resolution_failure', 'failure')}, '|observed-usr:', coalesce(g.observed_target_usr, ''), '|observed-spelling:', coalesce(g.observed_target_spelling, ''),
-  '|evidence:', cast(g.n as string), '|configurations:') as line
-from g left join {{symbols}} s on s.id = g.source_id left join {{symbols}} t on t.id = g.target_symbol left join {{types}} ty on ty.id = g.target_type""")
-def _(m):
-    grouped = m.edges.groupBy(*export.EDGE_KEY).agg(F.count("*").alias("evidence_count")).withColumn("configurations", F.lit(""))
-    return export.edge_record(export.target_name(m.symbols, m.types, grouped))
-
-
-@query("snk05_edge_records_configured", f"""
-with g as (
-  select e.kind, e.source_id, e.target_symbol, e.target_type, e.observed_target_usr, e.observed_target_spelling, e.resolution, e.dispatch, e.origin, e.target_domain, e.resolution_failure, e.access, e.is_virtual, e.is_dependent, count(*) as n,
+  select e.kind, e.source_id, e.target_symbol, e.target_type, e.unresolved_target, e.observed_target_usr, e.observed_target_spelling, e.resolution, e.dispatch, e.origin, e.target_domain, e.resolution_failure, e.access, e.is_virtual, e.is_dependent, count(*) as n,
     coalesce(string_agg(distinct u.configuration_id, ',' order by u.configuration_id), '') as configurations
   from {{edges}} e left join {{revisions}} r on r.id = e.revision_id left join {{translation_units}} u on u.id = r.tu_id
-  group by e.kind, e.source_id, e.target_symbol, e.target_type, e.observed_target_usr, e.observed_target_spelling, e.resolution, e.dispatch, e.origin, e.target_domain, e.resolution_failure, e.access, e.is_virtual, e.is_dependent)
+  group by e.kind, e.source_id, e.target_symbol, e.target_type, e.unresolved_target, e.observed_target_usr, e.observed_target_spelling, e.resolution, e.dispatch, e.origin, e.target_domain, e.resolution_failure, e.access, e.is_virtual, e.is_dependent)
 select concat('relationship|', {S.enum_sql('g.kind', 'relationship')}, '|', coalesce(s.qualified_name, ''), '|',
-  case when g.target_symbol is not null then coalesce(t.qualified_name, '') else coalesce(ty.canonical_spelling, g.observed_target_spelling, '') end, '|',
+  case when g.target_symbol is not null then coalesce(t.qualified_name, '') else coalesce(ty.canonical_spelling, g.unresolved_target, '') end, '|',
   {S.enum_sql('g.resolution', 'resolution')}, '|', {S.enum_sql('g.dispatch', 'dispatch')}, '|', {S.enum_sql('g.origin', 'origin')}, '|domain:', {S.enum_sql('g.target_domain', 'domain')},
   '|failure:', {S.enum_sql('g.resolution_failure', 'failure')}, '|observed-usr:', coalesce(g.observed_target_usr, ''), '|observed-spelling:', coalesce(g.observed_target_spelling, ''),
   '|evidence:', cast(g.n as string), '|configurations:', g.configurations) as line
@@ -78,20 +63,7 @@ def _(m):
     return export.symbol_record(m.symbols)
 
 
-@query("snk07_normalised_snapshot", """
-select concat('target|', cast(id as string), '|', name, '|', cast(kind as string)) as line from {build_targets}
-union all select concat('dependency|', cast(consumer_id as string), '|', cast(dependency_id as string)) from {target_dependencies}
-union all select concat('root|', cast(symbol_id as string), '|', cast(kind as string), '|', reason, '|', configuration_id) from {entry_roots}
-union all select concat('type|', cast(id as string), '|', cast(kind as string), '|', canonical_spelling) from {types}""")
-def _(m):
-    c = lambda df, tag, *cols: df.select(F.concat(F.lit(tag), *[x for k in cols for x in (F.lit("|"), F.col(k).cast("string"))]).alias("line"))
-    return (
-        c(m.build_targets, "target", "id", "name", "kind").union(c(m.target_dependencies, "dependency", "consumer_id", "dependency_id"))
-        .union(c(m.entry_roots, "root", "symbol_id", "kind", "reason", "configuration_id")).union(c(m.types, "type", "id", "kind", "canonical_spelling"))
-    )
-
-
-@query("snk07_normalised_snapshot_whole")
+@query("snk07_normalised_snapshot")
 def _(m):
     return export.normalised_snapshot(m)
 
@@ -139,19 +111,17 @@ def _(m):
     return m.files.select("id", X.append_key(F.col("path")).alias("k"))
 
 
-@query("fn10_unsigned_literal", "select k, cast(v as bigint) as v from (select concat('0x', case when l_linenumber = 1 then 'ff' else '1A' end, 'u') as k, case when l_linenumber = 1 then 255 else 26 end as v from {lineitem})")
-def _(m):
-    lit = F.concat(F.lit("0x"), F.when(F.col("l_linenumber") == 1, "ff").otherwise("1A"), F.lit("u"))
-    return m.base("lineitem").select(lit.alias("k"), X.unsigned_literal(lit).cast("bigint").alias("v"))
-
-
-@query("fn11_source_slice", "select doc_id, hex(encode(left(text, 5))) as piece from {documents} where length(text) >= 5")
+@query("fn10_unsigned_literal", """
+select p_partkey as id, form, p_partkey as v from {part}, (values ('hexadecimal'), ('decimal'), ('octal')) f(form)""")
 def _(m):
-    raw = F.encode(F.substring("text", 1, 5), "UTF-8")
-    return m.base("documents").where("length(text) >= 5").select("doc_id", F.hex(F.encode(X.source_slice(F.col("text"), F.lit(0), F.length(raw)), "UTF-8")).alias("piece"))
+    """Each number written in three ways, read back."""
+    n = F.col("p_partkey")
+    forms = {"hexadecimal": F.concat(F.lit("0x"), F.hex(n), F.lit("u")), "decimal": F.concat(n.cast("string"), F.lit("UL")), "octal": F.concat(F.lit("0"), F.conv(n.cast("string"), 10, 8))}
+    rows = m.base("part").select(n.alias("id"), F.explode(F.array(*[F.struct(F.lit(k).alias("form"), t.alias("text")) for k, t in forms.items()])).alias("f"))
+    return rows.select("id", "f.form", X.unsigned_literal(F.col("f.text")).cast("bigint").alias("v"))
 
 
-@query("fn11_source_slice_whole", """
+@query("fn11_source_slice", """
 select doc_id, 'all' as part, text as piece from {documents} union all select doc_id, 'head', left(text, length(text) // 2) from {documents}
 union all select doc_id, 'tail', substr(text, length(text) // 2 + 1) from {documents}""")
 def _(m):
@@ -161,45 +131,81 @@ def _(m):
     return m.base("documents").select("doc_id", F.inline(F.array(part("all", zero, end), part("head", zero, cut), part("tail", cut, end))))
 
 
-@query("fn18_usr_suffix", "select id, case when contains(usr, '@F@') then concat('@F@', split_part(usr, '@F@', 2)) else '' end as suffix from {symbols}")
+@query("fn18_usr_suffix", "select id, case when contains(usr, '@F@') then concat('@F@', list_last(string_split(usr, '@F@'))) else '' end as suffix from {symbols}")
 def _(m):
     return m.symbols.select("id", X.usr_suffix(F.col("usr")).alias("suffix"))
 
 
-@query("fn01_url_host", "select page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as host from {pages}")
+@query("fn01_normal_paths", "select doc_id as id, concat('/', source, '/', lang, '/', cast(doc_id as string)) as path from {documents}")
 def _(m):
-    return m.base("pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"))
+    id, odd = F.col("doc_id").cast("string"), [F.lit("/"), F.col("source"), F.lit("/./x/../"), F.col("lang"), F.lit("//")]
+    return m.base("documents").select(F.col("doc_id").alias("id"), X.normalize_path(F.concat(*odd, id), F.lit("/elsewhere")).alias("path"))
 
 
-@query("src08_file_versions", "select id, file_id, content_hash, size from {file_versions}")
+@query("can04_files", """
+select sha256(concat('file|w|', path)) as file_id, path, external, sha256(concat('file-version|', sha256(concat('file|w|', path)), '|', case when external then concat('missing:', sha256(path)) else content_hash end)) as id,
+  case when external then 0 else size end as size from {files} join {file_versions} v on v.file_id = files.id""".replace("files.id", "m_files.id"))
 def _(m):
-    return m.file_versions
+    """Files that are external don't exist; those inside do."""
+    rows = m.files.select("path", F.lit("").alias("source_path"), F.when(~F.col("external"), F.array("path")).alias("project_roots"))
+    hashes = m.files.where("not external").join(m.file_versions.select(F.col("file_id").alias("id"), "content_hash", "size"), "id").select("path", "content_hash", "size")
+    files, versions = canonicalise.files(rows, hashes, "w")
+    return files.select(F.col("id").alias("file_id"), "path", "external").join(versions.select("file_id", "id", "size"), "file_id")
 
 
-@query("src02_json_properties", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from {events}")
+@query("can07_representatives", """
+select concat('k', cast(l_suppkey as string)) as local_identity, cast(l_orderkey as string) as tu, arg_min(l_returnflag, (l_linenumber, l_partkey, l_returnflag)) as usr, count(distinct l_returnflag) > 1 as contradicted from {lineitem} group by l_suppkey, l_orderkey""")
 def _(m):
-    return m.base("events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    of = lambda c: F.col(c).cast("string")
+    facts = m.base("lineitem").select(of("l_orderkey").alias("tu"), F.concat(F.lit("k"), of("l_suppkey")).alias("local_identity"), F.struct("l_linenumber", "l_partkey", "l_returnflag").alias("seq"), F.col("l_returnflag").alias("usr"), F.lit(6).alias("kind"), F.lit("p").alias("semantic_parent"))
+    first, _ = canonicalise.representatives(facts)
+    several = facts.groupBy("tu", "local_identity").agg((F.count_distinct("usr") > 1).alias("contradicted"))
+    return first.select("tu", "local_identity", "usr").join(several, ["tu", "local_identity"])
 
 
-@query("ident_symbol_ids", "select id, sha256(concat('usr|', usr, '|configuration|', logical_id, '|parent|', coalesce(cast(semantic_parent as string), ''))) as symbol_id from {symbols}")
+@query("can08_symbol_ids", """
+with recursive f as (select p_partkey % 15 as t, cast(floor(p_partkey / 15) as bigint) as j, concat('c:@F@', p_brand, '#', cast(p_size as string)) as usr, sha256(cast(p_partkey % 5 as string)) as c from {part}),
+r as (select t, j, usr, c, sha256(concat('usr|', usr, '|configuration|', c, '|parent|global')) as id from f where j = 0
+  union all select f.t, f.j, f.usr, f.c, sha256(concat('usr|', f.usr, '|configuration|', f.c, '|parent|', r.id)) from f join r on r.t = f.t and r.j = cast(floor(f.j / 4) as bigint) and f.j > 0)
+select cast(t as string) as tu, concat('k', cast(j as string)) as local_identity, id from r""")
 def _(m):
-    return m.symbols.select("id", F.sha2(F.concat(F.lit("usr|"), "usr", F.lit("|configuration|"), "logical_id", F.lit("|parent|"), F.coalesce(F.col("semantic_parent").cast("string"), F.lit(""))), 256).alias("symbol_id"))
+    """Fifteen units in five configurations, symbols in trees of four children a node."""
+    n, j = F.col("p_partkey"), F.floor(F.col("p_partkey") / 15)
+    name = lambda k: F.concat(F.lit("k"), k.cast("string"))
+    reps = m.base("part").select(
+        (n % 15).cast("string").alias("tu"), name(j).alias("local_identity"), F.when(j > 0, name(F.floor(j / 4))).alias("semantic_parent"), F.concat(F.lit("c:@F@"), "p_brand", F.lit("#"), F.col("p_size").cast("string")).alias("usr"),
+        F.sha2((n % 5).cast("string"), 256).alias("configuration_id"), (n % 15).cast("string").alias("place"), F.lit(4).alias("linkage"), F.lit(False).alias("is_anonymous"), F.lit(7).alias("kind"), F.lit("f").alias("name"),
+        F.lit("f").alias("qualified_name"), F.lit("").alias("signature"), F.lit("").alias("source_file"),
+    )
+    none = m._spark.createDataFrame([], "configuration_id string, usr string, id string, place string")
+    return canonicalise.symbol_ids(reps, none, "w").select("tu", "local_identity", "id")
 
 
-@query("ident_revision_ids", "select id, sha256(concat('tu-revision|', cast(tu_id as string), '|', cast(quality as string), '|', cast(extractor_version as string))) as revision_key from {revisions}")
+@query("can12_parent_edges", """
+select sha256(concat('semantic-parent|', cast(o.revision_id as string), '|', cast(o.symbol_id as string), '|', cast(s.semantic_parent as string), '|', cast(o.file_version_id as string), '|', cast(o.begin_offset as string))) as id,
+  any_value(o.symbol_id) as source_id, any_value(s.semantic_parent) as target_symbol from {occurrences} o join {symbols} s on s.id = o.symbol_id where s.semantic_parent is not null group by 1""")
 def _(m):
-    return m.revisions.select("id", X.digest("tu-revision", F.col("tu_id"), F.col("quality"), F.col("extractor_version")).alias("revision_key"))
+    seen = m.occurrences.withColumnRenamed("id", "seq").join(m.symbols.select(F.col("id").alias("symbol_id"), F.col("semantic_parent").alias("parent_id")), "symbol_id")
+    for c in canonicalise.RANGE:
+        seen = seen if c in seen.columns else seen.withColumn(c, F.lit(0))
+    return canonicalise.parent_edges(seen).select("id", "source_id", "target_symbol")
 
 
-@query("can02_detach", """
-with a as (select tu_id, arg_max(id, (seen_at, id)) as rid from {revisions} group by tu_id)
-select kind, count(*) as n from {edges} e where e.revision_id not in (select rid from a where tu_id % 10 = 0) group by kind""")
+@query("can15_diagnostics", """
+select sha256(concat('diagnostic|', cast(user_id as string), '|', cast(user_id % 4 as string), '|', event_type, '|', cast(event_id % 10 as string))) as id, arg_max(event_id, event_id) as begin_line from {events} group by 1""")
 def _(m):
-    tus = m.translation_units.where("id % 10 = 0").select(F.col("id").alias("tu_id"))
-    return canon.detach(m.edges, m.revisions, tus).groupBy("kind").agg(F.count("*").alias("n"))
+    rows = m.base("events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("revision_id"), (F.col("user_id") % 4).alias("severity"), F.col("event_type").alias("message"), F.lit("").alias("option_name"), F.lit(0).alias("file_version_id"), (F.col("event_id") % 10).alias("begin_offset"), F.col("event_id").alias("begin_line"))
+    for c in canonicalise.RANGE:
+        rows = rows if c in rows.columns else rows.withColumn(c, F.lit(0))
+    return canonicalise.diagnostics(rows).select("id", "begin_line")
 
 
-@query("can02_detach_incomplete", """
+@query("ident_revision_ids", "select id, sha256(concat('tu-revision|', cast(tu_id as string), '|', cast(quality as string), '|', cast(extractor_version as string))) as revision_key from {revisions}")
+def _(m):
+    return m.revisions.select("id", X.digest("tu-revision", F.col("tu_id"), F.col("quality"), F.col("extractor_version")).alias("revision_key"))
+
+
+@query("can02_detach", """
 with a as (select arg_max(id, (seen_at, id)) as rid, arg_max(quality, (seen_at, id)) as q from {revisions} group by tu_id), gone as (select rid from a where q <> 0)
 select 'edges' as what, count(*) as n from {edges} where revision_id not in (select rid from gone)
 union all select 'occurrences', count(*) from {occurrences} where revision_id not in (select rid from gone)""")
@@ -241,7 +247,7 @@ def _(m):
     return canon.logical_groups(m.symbols)
 
 
-@query("can10_unique_usr", "select usr, min(id) as id from {symbols} group by usr having count(distinct id) = 1")
+@query("can10_unique_usr", "select configuration_id, usr, min(id) as id from {symbols} group by configuration_id, usr having count(distinct id) = 1")
 def _(m):
     return canon.unique_usr(m.symbols)
 
@@ -252,12 +258,13 @@ def _(m):
 
 
 @query("can13_resolve_targets", """
-with u as (select usr, min(id) as by_usr from {symbols} where usr <> '' group by usr having count(distinct id) = 1),
-e as (select e.*, coalesce(e.target_symbol, u.by_usr) as t from {edges} e left join u on u.usr = e.observed_target_usr where e.source_id in (select id from {symbols}))
+with u as (select configuration_id as c, usr, min(id) as by_usr from {symbols} where usr <> '' group by 1, 2 having count(distinct id) = 1),
+e as (select e.*, coalesce(e.target_symbol, u.by_usr) as t from {edges} e left join {revisions} r on r.id = e.revision_id left join {translation_units} x on x.id = r.tu_id
+  left join u on u.usr = e.observed_target_usr and u.c = x.configuration_id where e.source_id in (select id from {symbols}))
 select id, t as target_symbol, case when resolution = 0 and t is null and target_type is null then 3 else resolution end as resolution,
-  case when t is not null or target_type is not null then 0 when target_domain = 0 then 1 when target_domain = 1 then 7 when target_domain = 2 then 5 when target_domain = 3 then 6 else 8 end as resolution_failure from e""")
+  case when t is not null or target_type is not null or resolution_failure <> 0 then resolution_failure when target_domain = 0 then 1 when target_domain = 1 then 7 when target_domain = 2 then 5 when target_domain = 3 then 6 else 8 end as resolution_failure from e""")
 def _(m):
-    return canon.resolve_targets(m.edges, m.symbols).select("id", "target_symbol", "resolution", "resolution_failure")
+    return canon.resolve_targets(export.configured(m.edges, m.revisions, m.translation_units), m.symbols).select("id", "target_symbol", "resolution", "resolution_failure")
 
 
 @query("can14_macro_bindings", """
@@ -285,13 +292,6 @@ def _(m):
 
 
 @query("can18_live_types", """
-with recursive r as (select id from (select distinct type_id as id from {symbols} where type_id = 7) union select c.child_id from r join {type_children} c on c.type_id = r.id)
-select id, kind, canonical_spelling from {types} where id in (select id from r)""")
-def _(m):
-    return canon.live_types(m.types, m.type_children, m.symbols.where("type_id = 7").select(F.col("type_id").alias("id")))
-
-
-@query("can18_live_types_used", """
 with recursive r as (select id from (select type_id as id from {symbols} union select type_id from {occurrences}) where id is not null union select c.child_id from r join {type_children} c on c.type_id = r.id)
 select id, kind, canonical_spelling from {types} where id in (select id from r)""")
 def _(m):
@@ -306,12 +306,13 @@ def _(m):
     return canon.live_symbols(m.symbols, m.occurrences, canon.active_revisions(m.revisions)).select("id", "usr")
 
 
-CLOSURE = "with recursive o as (select target_symbol as src, source_id as dst from {edges} where kind = 13), c as (select src, dst from o union select c.src, o.dst from c join o on o.src = c.dst) "
+CLOSURE = """with recursive o as (select target_symbol as src, source_id as dst from {edges} where kind = 13),
+c as (select src, dst from o where src in (select target_symbol from {edges} where kind = 8 and dispatch = 2 and resolution = 0) union select c.src, o.dst from c join o on o.src = c.dst) """
 
 
 @query("res01_virtual_dispatch", CLOSURE + """
 select distinct e.id as call_id, e.source_id, c.dst as target_symbol, e.revision_id, 1 as resolution, 2 as dispatch, 3 as origin, true as is_virtual
-from {edges} e join c on c.src = e.target_symbol and c.src <> c.dst where e.kind = 8 and e.dispatch = 2 and e.resolution = 0 and e.origin = 0""")
+from {edges} e join c on c.src = e.target_symbol and c.src <> c.dst where e.kind = 8 and e.dispatch = 2 and e.resolution = 0""")
 def _(m):
     return resolve.virtual_dispatch(m.edges)
 
@@ -319,7 +320,7 @@ def _(m):
 @query("res02_cross_configuration", """
 select e.id as call_id, e.source_id, s.id as target_symbol, e.revision_id, 1 as resolution, 4 as origin, 3 as resolution_failure
 from {edges} e join {symbols} s on s.usr = e.observed_target_usr and s.usr <> ''
-where e.kind = 8 and e.resolution = 3 and e.target_domain = 0 and e.origin = 0 and s.id in (select symbol_id from {occurrences} where role = 1)""")
+where e.kind = 8 and e.resolution = 3 and e.target_domain = 0 and s.id in (select symbol_id from {occurrences} where role = 1)""")
 def _(m):
     return resolve.cross_configuration(m.edges, m.symbols, m.occurrences)
 
@@ -333,25 +334,25 @@ def _(m):
     return resolve.flow_values(m.edges, m.symbols)
 
 
-@query("res04_indirect_calls", FLOW + """
-select distinct c.id as call_id, c.source_id, v.value as target_symbol, c.revision_id, 1 as resolution, 3 as dispatch, 5 as origin
-from {edges} c join {edges} i on i.kind = 22 and i.origin = 0 and i.source_id = c.source_id and i.revision_id = c.revision_id and i.file_version_id = c.file_version_id and i.bo = c.bo and i.eo = c.eo
-join v on v.revision_id = c.revision_id and v.storage = i.target_symbol where c.kind = 8 and c.resolution = 3 and c.dispatch = 3 and c.origin = 0""")
+@query("res04_indirect_calls", FLOW + """, i as (select source_id, revision_id, file_version_id, bo, eo, arg_min(target_symbol, id) as storage from {edges} where kind = 22 and origin = 0 and target_symbol is not null group by all)
+select distinct c.id as call_id, c.source_id, v.value as target_symbol, c.revision_id, 1 as resolution, 3 as dispatch, 3 as origin, 0 as target_domain, 0 as resolution_failure
+from {edges} c join i on i.source_id = c.source_id and i.revision_id = c.revision_id and i.file_version_id = c.file_version_id and i.bo = c.bo and i.eo = c.eo
+join v on v.revision_id = c.revision_id and v.storage = i.storage where c.kind = 8 and c.resolution = 3 and c.dispatch = 3 and c.origin = 0""")
 def _(m):
     return resolve.indirect_calls(m.edges, m.symbols)
 
 
-SETS = """with s as (select source_id, revision_id, file_version_id, bo, eo, count(distinct target_symbol) as n, string_agg(distinct cast(target_symbol as string), ',' order by cast(target_symbol as string)) as t
+SETS = """with s as (select source_id, revision_id, file_version_id, bo, eo, count(distinct target_symbol) as n, array_to_string(list_sort(list(distinct target_symbol)), ',') as t
 from {edges} where kind = 8 and target_symbol is not null group by all),
 d as (select distinct call_observation as id from {summaries} where complete and not storage_escapes),
 x as (select e.id as observation, case when (e.dispatch = 1 and e.resolution = 0 and e.target_symbol is not null) or d.id is not null then 0
-  when e.dispatch = 1 and e.target_domain = 1 and s.n is null then 2 else 1 end as completeness, coalesce(s.n, 0) as n_targets
+  when e.dispatch = 1 and e.target_domain = 1 and s.n is null then 2 else 1 end as completeness, coalesce(s.n, 0) as n_targets, coalesce(s.t, '') as targets
 from {edges} e left join s using (source_id, revision_id, file_version_id, bo, eo) left join d on d.id = e.id where e.kind = 8 and e.origin = 0) """
 
 
-@query("res06_call_target_sets", SETS + "select observation, completeness, n_targets from x")
+@query("res06_call_target_sets", SETS + "select observation, completeness, n_targets, targets from x")
 def _(m):
-    return resolve.call_target_sets(m.edges, m.summaries).select("observation", "completeness", "n_targets")
+    return resolve.call_target_sets(m.edges, m.summaries)
 
 
 @query("cli03_call_set_histogram", SETS + "select completeness, count(*) as n from x group by completeness")
@@ -360,26 +361,27 @@ def _(m):
 
 
 @query("inc06_changed_files", """
-with recursive n as (select doc_id as id from {documents} where doc_id % 50 = 0), r as (select id from n union select i.includer from r join {includes} i on i.included = r.id) select id from r""")
+with recursive n as (select id from {files} where external), r as (select id from n union select i.includer from r join {includes} i on i.included = r.id) select id from r""")
 def _(m):
-    now = m.file_versions.select("file_id", F.when(F.col("file_id") % 50 == 0, "changed").otherwise(F.col("content_hash")).alias("content_hash"))
+    """External files are gone."""
+    now = m.file_versions.join(m.files.select(F.col("id").alias("file_id"), "external", "path"), "file_id")
+    now = now.select("file_id", F.when(F.col("external"), F.concat(F.lit("missing:"), F.sha2("path", 256))).otherwise(F.col("content_hash")).alias("content_hash"))
     return incremental.changed_files(m.file_versions, now, m.includes)
 
 
-PLAN = """with a as (select tu_id, arg_max(extractor_version, (seen_at, id)) as v from {revisions} group by tu_id),
-p as (select u.id as tu_id, case when a.tu_id is null then 'new' when u.source_file % 6 = 0 then 'invalidated' when a.v <> 15 then 'extractor' else 'unchanged' end as reason
+PLAN = """with a as (select tu_id, arg_max(extractor_version, (seen_at, id)) as v, arg_max(source_hash, (seen_at, id)) as h, arg_max(compilation_fingerprint, (seen_at, id)) as f from {revisions} group by tu_id),
+p as (select u.id as tu_id, case when a.tu_id is null then 'new' when u.source_file in (select id from {files} where external) then 'invalidated' when a.h <> u.source_hash then 'source' when a.f <> u.compilation_fingerprint then 'fingerprint' when a.v <> 15 then 'extractor' else 'unchanged' end as reason
 from {translation_units} u left join a on a.tu_id = u.id) """
 
 
 @query("inc08_plan", PLAN + "select tu_id, case when reason = 'unchanged' then 'reuse' else 'extract' end as action, reason from p")
 def _(m):
-    bad = m.translation_units.where("source_file % 6 = 0").select(F.col("source_file").alias("id"))
-    return incremental.plan(m.translation_units, m.revisions, bad, 15)
+    return incremental.plan(m.translation_units, m.revisions, m.files.where("external").select("id"), 15)
 
 
-@query("inc05_removed_units", "select distinct tu_id from {revisions} where tu_id not in (select id from {translation_units} where id % 4 <> 0)")
+@query("inc05_removed_units", "select distinct tu_id from {revisions} where tu_id not in (select id from {translation_units} where configuration_id <> 'MACHINERY')")
 def _(m):
-    return incremental.removed_units(m.revisions, m.translation_units.where("id % 4 <> 0"))
+    return incremental.removed_units(m.revisions, m.translation_units.where("configuration_id <> 'MACHINERY'"))
 
 
 @query("inc02_conflicting_commands", "select l_orderkey as source, l_linestatus as configuration from {lineitem} group by 1, 2 having count(distinct l_returnflag) > 1")
@@ -388,10 +390,13 @@ def _(m):
 
 
 @query("inc11_entry_roots", """
-with w as (select distinct o.symbol_id, u.configuration_id from {occurrences} o join {revisions} r on r.id = o.revision_id join {translation_units} u on u.id = r.tu_id)
-select w.symbol_id, 1 as kind, w.configuration_id from w join {symbols} s on s.id = w.symbol_id and s.exported""")
+with w as (select distinct o.symbol_id, u.configuration_id from {occurrences} o join {revisions} r on r.id = o.revision_id join {translation_units} u on u.id = r.tu_id),
+modeled as (select unnest(modeled_addresses) as id from {summaries} where complete and not storage_escapes),
+k as (select id as symbol_id, 0 as kind, '%s' as reason from {symbols} where kind = 6 and name = 'main' union all select id, 1, '%s' from {symbols} where exported
+  union all select id, 2, '%s' from {symbols} where qualified_name = 'Brand#1::small ring' union all select distinct target_symbol, 3, '%s' from {edges} where kind = 11 and id not in (select id from modeled))
+select sha256(concat('entry-root|', cast(symbol_id as string), '|', cast(kind as string), '|', reason, '|', configuration_id)) as id, symbol_id, kind, reason, configuration_id from k join w using (symbol_id)""" % incremental.REASONS)
 def _(m):
-    return incremental.entry_roots(m.symbols, m.occurrences, m.revisions, m.translation_units, m.edges, m.summaries)
+    return incremental.entry_roots(m.symbols, m.occurrences, m.revisions, m.translation_units, m.edges, m.summaries, ("Brand#1::small ring",))
 
 
 @query("inc13_orphan_configurations", "select distinct p_brand as id from {part} where p_brand not in (select configuration_id from {translation_units})")
@@ -399,20 +404,23 @@ def _(m):
     return incremental.orphan_configurations(m.translation_units, m.base("part").select(F.col("p_brand").alias("id")).distinct())
 
 
-GRAPH = """with recursive s as (select * from {symbols}), hub as (select logical_id, min(id) as h from s group by logical_id),
+GRAPH = """with recursive s as (select * from {symbols}), lone as (select logical_id, min(id) as h from s group by logical_id),
+mem as (select concat(qualified_name, '|', regexp_extract(usr, '.*(@F@.*)$', 1)) as f, id, contains(usr, '@ST>') or contains(usr, '@SP>') as t from s where contains(usr, '@F@')),
+fam as (select f, min(id) as h from mem group by f having bool_or(t)),
 g as (select source_id as a, target_symbol as b from {edges} where kind in (0, 8, 9, 10, 18, 19) and target_symbol is not null
-  union all select hub.h, s.id from s join hub using (logical_id) union all select s.id, hub.h from s join hub using (logical_id)
-  union all select x.id, y.id from s x join s y on x.qualified_name = y.qualified_name where x.kind = 6 and contains(x.usr, '@F@') and y.kind = 20),
+  union all select h, s.id from s join lone using (logical_id) union all select s.id, h from s join lone using (logical_id)
+  union all select h, mem.id from mem join fam using (f) union all select mem.id, h from mem join fam using (f)
+  union all select x.id, y.id from s x join s y on x.qualified_name = y.qualified_name where x.kind = 6 and contains(x.usr, '@F@') and y.kind = 20 and y.template_flags & 1 = 1 and y.usr <> ''),
 ge as (select distinct a, b from g where a <> b),
-st as (select symbol_id as id from {entry_roots} union select id from s where kind in (6, 7, 8, 9, 10, 11) and linkage in (3, 4) and visibility <> 1 and id in (select symbol_id from {occurrences} where role = 1)),
-r as (select id from st union select ge.b from r join ge on ge.a = r.id) """
+st as (select symbol_id as id from {entry_roots} union select id from s where kind in CALLABLE and linkage in (3, 4) and visibility <> 1 and id in (select symbol_id from {occurrences} where role = 1)),
+r as (select id from st union select ge.b from r join ge on ge.a = r.id) """.replace("CALLABLE", str(S.CALLABLE))
 
 
 def _seen(m):
     return analysis.reachable_symbols(m.edges, m.symbols, analysis.roots(m.symbols, m.occurrences, m.entry_roots))
 
 
-@query("ana06_roots", "select symbol_id as id from {entry_roots} union select id from {symbols} where kind in (6, 7, 8, 9, 10, 11) and linkage in (3, 4) and visibility <> 1 and id in (select symbol_id from {occurrences} where role = 1)")
+@query("ana06_roots", "select symbol_id as id from {entry_roots} union select id from {symbols} where kind in (6, 7, 8, 9, 10, 11, 20, 29) and linkage in (3, 4) and visibility <> 1 and id in (select symbol_id from {occurrences} where role = 1)")
 def _(m):
     return analysis.roots(m.symbols, m.occurrences, m.entry_roots)
 
@@ -438,14 +446,6 @@ def _(m):
 
 
 @query("ana10_stranded_bindings", """
-with d as (select distinct symbol_id as id from {occurrences} where role = 1 and symbol_id % 3 = 0), g as (select * from {symbols} where id in (select id from d))
-select e.id as edge_id, s.id as target_symbol from {edges} e join {symbols} s on s.id = e.target_symbol
-where e.kind = 8 and e.resolution <> 3 and s.id not in (select id from d) and s.logical_id not in (select logical_id from g) and s.usr in (select usr from g where usr <> '')""")
-def _(m):
-    return analysis.stranded_bindings(m.edges, m.symbols, m.occurrences.where("symbol_id % 3 = 0"))
-
-
-@query("ana10_stranded_bindings_all", """
 with d as (select distinct symbol_id as id from {occurrences} where role = 1), g as (select * from {symbols} where id in (select id from d))
 select e.id as edge_id, s.id as target_symbol from {edges} e join {symbols} s on s.id = e.target_symbol
 where e.kind = 8 and e.resolution <> 3 and s.id not in (select id from d) and s.logical_id not in (select logical_id from g) and s.usr in (select usr from g where usr <> '')""")
@@ -453,28 +453,57 @@ def _(m):
     return analysis.stranded_bindings(m.edges, m.symbols, m.occurrences)
 
 
-@query("ana11_unresolved_reachable", GRAPH + """, d as (select call_observation as id from {summaries} where complete and not storage_escapes),
-u as (select * from {edges} where kind = 8 and resolution = 3 and source_id in (select id from r) and id not in (select id from d))
-select case when target_domain = 0 then 'calls.project-unresolved' when target_domain = 3 or dispatch = 3 then 'calls.indirect-unresolved' else 'calls.unclassified-unresolved' end as class, count(*) as n
-from u where target_domain in (0, 3, 4) or dispatch = 3 group by 1""")
+UNRESOLVED = """, dn as (select call_observation as id from {summaries} where complete and not storage_escapes),
+ur as (select * from {edges} where kind = 8 and resolution = 3 and source_id in (select id from r) and id not in (select id from dn)),
+un as (select case when target_domain = 0 then 'calls.project-unresolved' when target_domain = 3 or dispatch = 3 then 'calls.indirect-unresolved' else 'calls.unclassified-unresolved' end as class, count(*) as n
+  from ur where target_domain in (0, 3, 4) or dispatch = 3 group by 1)"""
+
+
+@query("ana11_unresolved_reachable", GRAPH + UNRESOLVED + " select class, n from un")
 def _(m):
     return analysis.unresolved_reachable(m.edges, _seen(m), m.summaries)
 
 
-@query("ana12_dead_code", GRAPH + """, x as (select s.*, s.id in (select id from r) as hit from s where kind in (6, 7, 8, 9, 10, 11) and not exported and id in (select symbol_id from {occurrences} where role = 1 and not implicit))
-select concat('logical:', logical_id) as group_key, min(id) as representative, count(*) as variants, arg_min(linkage, id) as linkage, arg_min(visibility, id) as visibility from x group by logical_id having not bool_or(hit)""")
+DEAD = """, de as (select symbol_id as id from {occurrences} where role = 1 and not implicit),
+dd as (select logical_id, min(id) as representative, arg_min(linkage, id) as linkage, arg_min(visibility, id) as visibility from s where kind in CALLABLE and not exported and id in (select id from de) group by logical_id),
+dg as (select logical_id, count(*) as variants, count(*) filter (where id in (select id from r)) as hits from s group by logical_id),
+dc as (select concat('logical:', logical_id) as group_key, representative, variants, linkage, visibility from dd join dg using (logical_id) where hits = 0)""".replace("CALLABLE", str(S.CALLABLE))
+
+
+@query("ana12_dead_code", GRAPH + DEAD + " select * from dc")
 def _(m):
     return analysis.dead_code(m.symbols, m.occurrences, _seen(m))
 
 
-@query("ana13_confident_dead_code")
+READINESS = UNRESOLVED + """, av as (select arg_max(quality, (seen_at, id)) as q from {revisions} group by tu_id),
+ot as (select id from {build_targets} where kind in (1, 5) union select d.dependency_id from ot join {target_dependencies} d on d.consumer_id = ot.id),
+ow as (select distinct t.target_id, e.symbol_id, e.kind from {entry_roots} e join {occurrences} o on o.symbol_id = e.symbol_id and o.role = 1 join {revisions} v on v.id = o.revision_id join {target_memberships} t on t.tu_id = v.tu_id),
+bd as (select distinct symbol_id as id from {occurrences} where role = 1), bg as (select * from s where id in (select id from bd)),
+rd as (select 1 as seq, 'coverage.incomplete' as code, count(*) - count(*) filter (where q = 0) as n from av having count(*) = 0 or count(*) > count(*) filter (where q = 0)
+  union all select 2, 'target.topology-unproven', count(*) from {build_targets} where not topology_authoritative or id not in (select id from ot) having count(*) > 0
+  union all select 3, 'roots.missing', 0 from {entry_roots} having count(*) = 0
+  union all select 4, 'target.multiple-process-entries', count(*) from (select target_id from ow where kind = 0 group by target_id having count(distinct symbol_id) > 1) having count(*) > 0
+  union all select 5, 'roots.target-missing', count(*) from {build_targets} where kind in (1, 5) and id not in (select target_id from ow) having count(*) > 0
+  union all select 6, 'binding.declaration-only-target', count(*) from {edges} e join s on s.id = e.target_symbol where e.kind = 8 and e.resolution <> 3 and s.id not in (select id from bd)
+    and s.logical_id not in (select logical_id from bg) and s.usr in (select usr from bg where usr <> '') having count(*) > 0
+  union all select case when class like '%project%' then 7 when class like '%indirect%' then 8 else 9 end, class, n from un)"""
+
+
+@query("ana09_readiness", GRAPH + READINESS + " select seq, code, n from rd")
+def _(m):
+    return analysis.readiness(m)
+
+
+@query("ana13_confident_dead_code", GRAPH + READINESS + DEAD + f"""
+select dc.*, case when (select count(*) from rd) = 0 and (linkage in (1, 2) or visibility = 1) then 'High' when (select count(*) from rd where code in {tuple(sorted(analysis.BASICS))}) = 0 then 'Medium' else 'Low' end as confidence,
+  coalesce('{analysis.GATED}' || (select string_agg(code, ', ' order by seq, code) from rd), '{analysis.READY}') as reason from dc""")
 def _(m):
     return analysis.confident_dead_code(m)
 
 
-@query("ana09_readiness")
+@query("ana14_candidates")
 def _(m):
-    return analysis.readiness(m)
+    return analysis.export_candidates(m)
 
 
 @query("val_references", " union all ".join(
@@ -486,10 +515,10 @@ def _(m):
 
 @query("val_semantics", """
 select 'resolution.exact-without-target' as code, cast(id as string) as id from {edges} where resolution = 0 and target_symbol is null and target_type is null
-union all select 'resolution.unclassified', cast(id as string) from {edges} where resolution = 3 and target_domain = 4 and resolution_failure = 0
-union all select 'hierarchy.base-kind', cast(e.id as string) from {edges} e join {symbols} s on s.id = e.target_symbol where e.kind = 12 and s.kind not in (3, 4, 5, 19)
-union all select 'hierarchy.override-source', cast(e.id as string) from {edges} e join {symbols} s on s.id = e.source_id where e.kind = 13 and s.kind not in (7, 9, 10, 11)
-union all select 'hierarchy.override-target', cast(e.id as string) from {edges} e join {symbols} s on s.id = e.target_symbol where e.kind = 13 and s.kind not in (7, 9, 10, 11)""")
+union all select 'resolution.unclassified', cast(id as string) from {edges} where resolution = 3 and resolution_failure = 0
+union all select 'hierarchy.base-kind', cast(e.id as string) from {edges} e join {symbols} s on s.id = e.target_symbol where e.kind = 12 and s.kind not in (3, 4, 5, 19, 17, 18, 22, 23, 25)
+union all select 'hierarchy.override-source', cast(e.id as string) from {edges} e join {symbols} s on s.id = e.source_id where e.kind = 13 and s.kind not in (7, 8, 9, 10, 11)
+union all select 'hierarchy.override-target', cast(e.id as string) from {edges} e join {symbols} s on s.id = e.target_symbol where e.kind = 13 and s.kind not in (7, 8, 9, 10, 11)""")
 def _(m):
     return validate.semantics(m.edges, m.symbols)
 
@@ -532,14 +561,6 @@ def _(m):
 
 
 @query("ver05_semantic_diff", """
-with a as (select kind, source_id, count(*) as n from {edges} where id % 3 <> 0 group by 1, 2), b as (select kind, source_id, count(*) as n from {edges} where id % 5 <> 0 group by 1, 2)
-select kind, source_id, case when coalesce(b.n, 0) > coalesce(a.n, 0) then '+' else '-' end as side, abs(coalesce(b.n, 0) - coalesce(a.n, 0)) as times
-from a full join b using (kind, source_id) where coalesce(a.n, 0) <> coalesce(b.n, 0)""")
-def _(m):
-    return audit.semantic_diff(m.edges.where("id % 3 <> 0").select("kind", "source_id"), m.edges.where("id % 5 <> 0").select("kind", "source_id"))
-
-
-@query("ver05_semantic_diff_revisions", """
 with v as (select arg_max(id, (seen_at, id)) as rid from {revisions} group by tu_id),
 x as (select kind, source_id, target_symbol, resolution, dispatch, case when revision_id in (select rid from v) then 1 when revision_id in (select id from {revisions}) then -1 else 0 end as d from {edges}),
 y as (select kind, source_id, target_symbol, resolution, dispatch, sum(d) as d from x group by all)
@@ -560,14 +581,6 @@ def _(m):
 
 
 @query("ver07_positions", """
-select file_id, "offset", len(string_split(left(text, 20), chr(10))) as line, cast(length(list_last(string_split(left(text, 20), chr(10)))) + 1 as bigint) as column_no
-from (select doc_id as file_id, text, cast(20 as bigint) as "offset" from {documents} where length(text) >= 40 and lang = 'en' and regexp_full_match(left(text, 20), '[\\x00-\\x7f]*', 's'))""")
-def _(m):
-    docs = m.base("documents").where("length(text) >= 40 and lang = 'en'").where(F.octet_length(F.substring("text", 1, 20)) == 20)
-    return audit.positions(docs.select(F.col("doc_id").alias("file_id"), "text"), docs.select(F.col("doc_id").alias("file_id"), F.lit(20).cast("bigint").alias("offset")))
-
-
-@query("ver07_positions_whole", """
 with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as k, unnest(string_split(text, chr(10))) as s from {documents} where text is not null)
 select doc_id as file_id, cast(sum(strlen(s) + 1) over (partition by doc_id order by k) - 1 as bigint) as "offset", k as line, cast(strlen(s) + 1 as bigint) as column_no from l
 union all select doc_id, 0, null, null from {documents} where text is null""")

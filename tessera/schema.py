@@ -45,9 +45,12 @@ EXACT, CONSERVATIVE, UNRESOLVED = 0, 1, 3
 STATIC, VIRTUAL, DYNAMIC = 1, 2, 3
 AST, CANONICAL, LOGICAL, FLOW = 0, 3, 4, 5
 PROJECT, EXTERNAL, INDIRECT, UNKNOWN_DOMAIN = 0, 1, 3, 4
-FUNCTION, METHOD, CLASS, CLASS_TEMPLATE, FUNCTION_TEMPLATE, LOCAL_VARIABLE = 6, 7, 3, 19, 20, 30
-CALLABLE = (6, 7, 8, 9, 10, 11)
+FUNCTION, METHOD, CLASS, CLASS_TEMPLATE, FUNCTION_TEMPLATE, LAMBDA, LOCAL_VARIABLE = 6, 7, 3, 19, 20, 29, 30
+METHODS = (7, 8, 9, 10, 11)
+CALLABLE = (6, *METHODS, 20, 29)
 RECORDS = (3, 4, 5, 19)
+#: What a class may inherit from: records, aliases, and template parameters that stand for types.
+BASES = (*RECORDS, 17, 18, 22, 23, 25)
 
 
 def enum_name(ordinal: Column, domain: str) -> Column:

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 SCHEMA_VERSION = 4
 
 
+class NoSnapshot(ValueError):
+    """There is no snapshot yet; one of another schema is a plain ValueError."""
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -67,11 +71,17 @@ def checkpoint(tables: dict[str, DataFrame], path: str) -> str:
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of the current version; ValueError if there is none or its schema is another."""
+    """Tables of the current version; NoSnapshot if there is none, ValueError if its schema is another."""
     text = _get(spark, f"{path}/current")
     if text is None:
-        raise ValueError("no snapshot")
+        raise NoSnapshot("no snapshot")
     meta = json.loads(text)
     if meta["schema"] != SCHEMA_VERSION:
         raise ValueError(f"snapshot has schema {meta['schema']}, not {SCHEMA_VERSION}")
     return {name: spark.read.parquet(f"{path}/{meta['version']}/{name}") for name in meta["tables"]}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a snapshot with all its versions, if there is one."""
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)

@@ -20,8 +20,8 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     def apply(batch: DataFrame, _: int) -> None:
         try:
             batch = batch.unionByName(snapshot.load(batch.sparkSession, target)["revisions"])
-        except ValueError:
-            pass
+        except snapshot.NoSnapshot:
+            pass  # the first batch; a snapshot of another schema stops the stream
         batch = table(batch, "batch")
         newest = canon.active_revisions(batch).select(F.col("revision_id").alias("id"))
         snapshot.checkpoint({"revisions": table(batch.join(newest, "id", "left_semi").dropDuplicates(["id"]), "newest")}, target)

@@ -61,10 +61,14 @@ def test_slice(spark):
 def test_tables(spark):
     body = "std::array<Fn, 3> t{}; t.fill(&f); t[1] = &g; return t;"
     got = one(spark, X.parse_closed_table(F.lit(body)))[0]
-    assert got["extent"] == 3 and got["slots"] == {0: "f", 1: "g", 2: "f"}
+    assert got["extent"] == 3 and got["default"] == "f" and [tuple(x) for x in got["slots"]] == [(1, "g")]
+    assert [int(x[0]) for x in one(spark, X.parse_closed_table(F.lit(body.replace("t[1]", "t[0x2u]"))))[0]["slots"]] == [2]
+    assert one(spark, X.parse_closed_table(F.lit(body.replace(", 3>", ", 100000>"))))[0]["extent"] == 100_000
     for bad in (body + " use(t);", body.replace("t[1]", "t[7]"), body.replace("return", "t[1] = &h; return"), ""):
         assert one(spark, X.parse_closed_table(F.lit(bad)))[0] is None
     assert int(one(spark, X.parse_bounded_index(F.lit("return static_cast<int>(x & 0x3u);")))[0]["mask"]) == 3
+    assert one(spark, X.parse_bounded_index(F.lit("return static_cast<int>(x & 5);")))[0]["values"] == [0, 1, 4, 5]
+    assert one(spark, X.parse_bounded_index(F.lit("return static_cast<int>(x & 0xffff);")))[0]["values"] is None
     assert one(spark, X.parse_bounded_index(F.lit("if (x) return 1; return static_cast<int>(x & 3);")))[0] is None
     assert one(spark, X.popcount_subsets(F.lit(5).cast("bigint")))[0] == [0, 1, 4, 5]
 
