@@ -17,10 +17,12 @@ CREATED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where it is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
     return _OWN[0]

@@ -12,8 +12,9 @@ token, whatever the order.
   (the filters are intersected). Parity sketches (which buckets hold an odd number of a set's tokens: buckets that differ are at
   most the tokens that do) cut them once more before their sets are compared.
 * A token is *hot* if it is frequent or if more than a few prefixes hold it. The units of hot tokens are dealt into blocks
-  of one size band each, bounded by units and by tokens; two blocks that share a hot token make a tile, in which all
-  overlaps are counted at once, and only a spanning forest of the links, or the earliest match, leaves the task.
+  of one size band each; two blocks that share a hot token make a tile, in which all sketches are compared at once. First
+  only a spanning forest of the pairs that the sketches allow, or each unit's earliest one, leaves the task to be verified;
+  then the pairs that this leaves open: those of units that nothing links yet, or of units without an earlier match.
 """
 
 from __future__ import annotations
@@ -25,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, kernel
+from . import common, graph, kernel
 from .kernel import U, mix
 
 #: Tokens whose counts travel to the tasks.
 FREQUENT = 1 << 17
-#: Prefix tokens in a blob, about; tokens in a block, about (a larger unit is a block of its own).
+#: Prefix tokens in a blob, about.
 BLOB = 300_000
-TILE_TOKENS = 800_000
 #: Quantiles that cut a band; blocks beyond that number are dealt by hash within a cut.
 CUTS = 1024
 #: Tokens a task counts at once, prefix tokens it packs at once.
@@ -396,9 +396,7 @@ def _blocks(hot: DataFrame, spec: Spec) -> DataFrame:
     # units of one token stand together, dealt by unit within it
     units = units.withColumn("at", F.shiftleft(F.pmod(F.xxhash64("t"), F.lit(1 << 42)), 20) + F.pmod(F.xxhash64("u"), F.lit(1 << 20)))
     units = common.table(units, "hot-units")
-    bands = units.groupBy("band").agg(F.count("*").alias("c"), F.sum("n").alias("tokens")).withColumn(
-        "nb", F.greatest(F.ceil(F.col("c") / spec.tile), F.ceil(F.col("tokens") / TILE_TOKENS)).cast("int")
-    )
+    bands = units.groupBy("band").agg(F.ceil(F.count("*") / spec.tile).cast("int").alias("nb"))
     most = min(CUTS, bands.agg(F.max("nb")).first()[0])
     cuts = units.groupBy("band").agg(F.percentile_approx("at", [k / most for k in range(1, most)] or [1.0], 10 * CUTS).alias("cuts"))
     bands = bands.select("band", "nb").join(cuts, "band")  # CUTS numbers for each power of den / num that sizes reach: may be broadcast
@@ -415,23 +413,14 @@ def _tiles(hot: DataFrame, blocks: DataFrame) -> DataFrame:
     return i.join(j, "token").where((F.col("i") <= F.col("j")) & (F.col("j.band") - F.col("i.band") <= 1)).select("i", "j").distinct()
 
 
-def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Matrix of the sizes of the intersections of each of a with each of b, with tokens in blocks so that memory stays bounded."""
-    na, nb = len(a), len(b)
-    who = np.repeat(np.arange(na + nb), [len(x) for x in a + b])
-    _, code, count = np.unique(np.concatenate(a + b), return_inverse=True, return_counts=True)
-    out = np.zeros((na, nb), np.float32)
-    keep = count[code] > 1
-    who, code = who[keep], code[keep]
-    order = np.argsort(code, kind="stable")
-    who, code = who[order], code[order]
-    _, code = np.unique(code, return_inverse=True)
-    last = int(code[-1]) + 1 if len(code) else 0
-    for c in range(0, last, 2048):
-        lo, hi = np.searchsorted(code, [c, c + 2048])
-        x = np.zeros((na + nb, min(2048, last - c)), np.float32)
-        x[who[lo:hi], code[lo:hi] - c] = 1
-        out += x[:na] @ x[na:].T
+def _allowed(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, spec: Spec) -> np.ndarray:
+    """Matrix of the pairs of units (sketches x and y, sizes nx and ny) whose sizes and sketches allow the threshold."""
+    out = np.zeros((len(x), len(y)), bool)
+    step = max(1, 2_000_000 // max(1, y.size))
+    for k in range(0, len(x), step):
+        differ = np.bitwise_count(x[k : k + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+        n, m = nx[k : k + step, None], ny[None, :]
+        out[k : k + step] = ((spec.den + spec.num) * differ <= (spec.den - spec.num) * (n + m)) & (spec.den * np.minimum(n, m) >= spec.num * np.maximum(n, m))
     return out
 
 
@@ -459,41 +448,58 @@ def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
     return edges
 
 
-def _tile_links(part: pa.Table, spec: Spec, by_rank: bool) -> pa.RecordBatch:
-    """Links (a, b) within one tile's units (i, j, blk, u, d, line, tokens)."""
-    u = part.column("u").to_numpy()
-    left = np.array(part.column("mine").combine_chunks().to_numpy(zero_copy_only=False), bool)
-    tokens = part.column("tokens").combine_chunks()
-    offs, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
-    sets = [flat[x:y] for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())]
+def _tile_pairs(part: pa.Table, spec: Spec, by_rank: bool, rest: bool):
+    """Of one tile's units (mine, u, n, d, line, state, sketch): pairs to verify (kind 0) and the units that occur in any (kind 2).
+
+    Without rest: a forest, or by rank each unit's earliest pair. With rest, where state is a unit's component (by rank: 1 if it
+    has an earlier match): all pairs across components, or all earlier pairs of units without a match.
+    """
+    col = lambda c: part.column(c).to_numpy()
+    u, n, state, left = col("u"), col("n"), col("state"), col("mine").astype(bool)
+    new = np.unique(u, return_index=True)[1]
+    u, n, state, left = u[new], n[new], state[new], left[new]
+    x = np.stack([col(c)[new] for c in spec.sketch], 1).view(U)
     same = bool(left.all())
     rows, cols = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
-    edges: list[tuple[int, int]] = []
-    if len(rows) and len(cols):
-        n = np.array([len(x) for x in sets], np.int64)
-        linked = (spec.num + spec.den) * _overlaps([sets[r] for r in rows], [sets[c] for c in cols]) >= spec.num * (n[rows][:, None] + n[cols][None, :])
-        linked &= u[rows][:, None] != u[cols][None, :]
-        if by_rank:
-            r = np.empty(len(u), np.int64)
-            r[np.lexsort((u, part.column("line").to_numpy(), part.column("d").to_numpy()))] = np.arange(len(u))
-            for mat, x, y in ((linked, rows, cols), (linked.T, cols, rows)):
-                first = np.where(mat, r[y][None, :], np.iinfo(np.int64).max)
-                best = first.argmin(1)
-                late = np.flatnonzero(first[np.arange(len(x)), best] < r[x])
-                edges += list(zip(y[best[late]].tolist(), x[late].tolist()))
-        else:
-            edges = [(int(rows[p]), int(cols[q])) for p, q in _forest(linked, same)]
-    e = np.array(edges, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(u[e[:, 0]]), pa.array(u[e[:, 1]])], ["a", "b"])
-
-
-def _hot_links(spec: Spec, blocks: DataFrame, tiles: DataFrame, sets: DataFrame, places: DataFrame, by_rank: bool) -> DataFrame:
-    """Links among the units of hot tokens, tile by tile."""
-    rows = blocks.select("u", "blk").join(places.select("u", "d", "line"), "u").join(sets, "u")
-    both = tiles.select("i", "j", F.col("i").alias("blk")).union(tiles.where("i <> j").select("i", "j", "j"))
-    parts = max(8, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tile = F.xxhash64("i", "j").alias("tile")
-    dealt = rows.join(both, "blk").select(tile, (F.col("blk") == F.col("i")).alias("mine"), "u", "d", "line", "tokens")
+    ok = _allowed(x[rows], x[cols], n[rows], n[cols], spec)
+    if same:
+        np.fill_diagonal(ok, False)
+    if by_rank:
+        r = np.empty(len(u), np.int64)
+        r[np.lexsort((u, col("line")[new], col("d")[new]))] = np.arange(len(u))
+        pairs = []
+        for mat, a, b in ((ok, rows, cols),) if same else ((ok, rows, cols), (ok.T, cols, rows)):
+            # a's rows look for earlier ones among b
+            if rest:
+                early = mat & (r[b][None, :] < r[a][:, None]) & (state[a] == 0)[:, None]
+                i, j = np.nonzero(early)
+                pairs.append((a[i], b[j]))
+            else:
+                first = np.where(mat, r[b][None, :], np.iinfo(np.int64).max)
+                best = first.argmin(1) if len(b) else np.zeros(len(a), np.int64)
+                late = np.flatnonzero(first[np.arange(len(a)), best] < r[a]) if len(b) else best[:0]
+                pairs.append((a[late], b[best[late]]))
+        i, j = (np.concatenate(z) for z in zip(*pairs))
+    elif rest:
+        ok &= state[rows][:, None] != state[cols][None, :]
+        i, j = np.nonzero(np.triu(ok) if same else ok)
+        i, j = rows[i], cols[j]
+    else:
+        e = np.array(_forest(ok, same), np.int64).reshape(-1, 2)
+        i, j = rows[e[:, 0]], cols[e[:, 1]]
+    low, high = np.where(u[i].view(U) < u[j].view(U), (i, j), (j, i))
+    for k in range(0, len(low), 100_000):
+        a, b = low[k : k + 100_000], high[k : k + 100_000]
+        yield _batch([np.zeros(len(a), np.int32), u[a], u[b], n[a], n[b], np.zeros(len(a), np.int32)], FOUND)
+    if by_rank and not rest:
+        some = np.concatenate([rows[ok.any(1)], cols[ok.any(0)]])
+        zero = np.zeros(len(some), np.int64)
+        yield _batch([zero + 2, u[some], zero, n[some], zero, zero], FOUND)
+
+
+def _in_tiles(spec: Spec, members: DataFrame, by_rank: bool, rest: bool) -> DataFrame:
+    """What _tile_pairs() gives for each tile of members (tile, ...)."""
+    parts = max(8, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
         # tiles stand one after another; the rows of one are held at a time
@@ -503,14 +509,15 @@ def _hot_links(spec: Spec, blocks: DataFrame, tiles: DataFrame, sets: DataFrame,
             cut = np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]]) if len(tiles) else []
             for x, y in zip(cut, np.r_[cut[1:], len(tiles)].tolist() if len(tiles) else []):
                 if tiles[x] != key and held:
-                    yield _tile_links(pa.Table.from_batches(held), spec, by_rank)
+                    yield from _tile_pairs(pa.Table.from_batches(held), spec, by_rank, rest)
                     held = []
                 key = tiles[x]
                 held.append(b.slice(int(x), y - int(x)))
         if held:
-            yield _tile_links(pa.Table.from_batches(held), spec, by_rank)
+            yield from _tile_pairs(pa.Table.from_batches(held), spec, by_rank, rest)
 
-    return dealt.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    rows = members.select("tile", "mine", "u", "n", "d", "line", "state", *spec.sketch)
+    return rows.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(run, FOUND)
 
 
 def links(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame, by_rank: bool = False) -> DataFrame:
@@ -526,18 +533,36 @@ def links(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame, by
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) * spec.orders // BLOB + 1)
     found = common.table(_met(prefixes(docs, spec, often, buckets), spec, buckets), "found")
     common.free(spark)
-    pairs = common.table(_candidates(found, spec, places), "pairs")
+    pairs = _candidates(found, spec, places)
     hot = found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("token"), F.col("na").alias("n")).distinct()
-    blocks = None
+    members = None
     if not found.where("kind = 1").isEmpty():
         hot = common.table(hot, "hot")
         blocks = common.table(_blocks(hot, spec), "blocks")
-        tiles = common.table(_tiles(hot, blocks), "tiles")
-        common.drop(hot)
+        tiles = _tiles(hot, blocks)
+        both = tiles.withColumn("blk", F.explode(F.array_distinct(F.array("i", "j"))))
+        units = blocks.select("u", "n", "blk").join(places.select("u", "d", "line", *spec.sketch), "u")
+        members = common.table(units.join(both, "blk").withColumns({"tile": F.xxhash64("i", "j"), "mine": (F.col("blk") == F.col("i")).cast("int"), "state": F.lit(0).cast("long")}).drop("blk", "i", "j"), "members")
+        pairs = pairs.withColumn("kind", F.lit(0)).unionByName(_in_tiles(spec, members, by_rank, False).select("kind", "a", "b", "na", "nb"))
+    else:
+        pairs = pairs.withColumn("kind", F.lit(0))
+    pairs = common.table(pairs.distinct(), "pairs")
     common.drop(found)
-    wanted = pairs.select(F.col("a").alias("u")).union(pairs.select("b"))
-    wanted = wanted if blocks is None else wanted.union(blocks.select("u"))
+    wanted = pairs.select(F.col("a").alias("u")).union(pairs.where("kind = 0").select("b"))
     sets = common.table(unit_tokens(docs, spec, places.join(wanted.distinct(), "u", "left_semi")), "sets")
     common.free(spark)
-    out = _verified(spec, pairs, sets)
-    return out if blocks is None else out.union(_hot_links(spec, blocks, tiles, sets, places, by_rank))
+    named = pairs.where("kind = 0").drop("kind")
+    out = _verified(spec, named, sets)
+    if members is None:
+        return out
+    out = common.table(out, "links")
+    common.free(spark)
+    if by_rank:
+        place = lambda c: places.select(F.col("u").alias(c), F.struct("d", "line", "u").alias(f"at_{c}"))
+        state = out.join(place("a"), "a").join(place("b"), "b").select(F.greatest("at_a", "at_b")["u"].alias("u"), F.lit(1).cast("long").alias("s")).distinct()
+    else:
+        state = graph.connected_components(out.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("u"), F.col("component").alias("s"))
+    state = common.table(state, "state")
+    told = members.drop("state").join(state, "u", "left").withColumn("state", F.coalesce("s", F.lit(0).cast("long") if by_rank else F.col("u")))
+    more = _in_tiles(spec, told, by_rank, True).select("a", "b", "na", "nb").distinct().join(named.select("a", "b"), ["a", "b"], "left_anti")
+    return out.union(_verified(spec, common.table(more, "more-pairs"), sets))
