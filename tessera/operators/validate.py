@@ -105,7 +105,7 @@ def consistency(model) -> DataFrame:
         unsound = unsound | (F.coalesce(F.size("selectable_targets"), F.lit(0)) <= 0)
     found.append(issue(model.summaries.where(F.col("complete") & unsound), "analysis.indirect-unsound-complete", "call_observation"))
     if _has(model, "summaries", "stored_targets", "selectable_targets"):
-        over = model.summaries.select(F.explode(F.array_except("selectable_targets", F.coalesce("stored_targets", F.array().cast("array<bigint>")))).alias("t"))
+        over = model.summaries.select(F.explode(F.array_except("selectable_targets", F.coalesce("stored_targets", F.slice("selectable_targets", 1, 0)))).alias("t"))
         found.append(issue(over, "reference.indirect-selectable-target", "t"))
     if _has(model, "logical_symbols", "variants"):
         variants = model.logical_symbols.select(F.col("id").alias("l"), F.explode("variants").alias("id"))
