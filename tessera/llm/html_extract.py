@@ -1,11 +1,12 @@
 """HTML extraction: parser events to lines, text-to-tag ratio, Gaussian smoothing, threshold clustering.
 
-The standard library's parser streams events; block-level tags end a line. What stands in elements that never hold
-the article's text (menus, forms, scripts, adverts, comments of readers and so on, by tag, role, class or id) is no
-candidate and counts as tags only. Each line has the ratio of its text to its tags; ratios are smoothed, and lines at
-or above a threshold, a share of the ratios' standard deviation, form the content cluster. The sections such lines
-stand in are the content regions, with all their lines, so that a short paragraph of an article stays; if some of
-them belong to an <article> or <main>, only those that do.
+The standard library's parser streams events; block-level tags end a line. Elements without shown text (scripts, controls and
+the like) are no candidates. Every other line has the ratio of its text to its tags, and lies in a region: an article, a
+section, or an element whose tag, role, class or id speaks of menus, notices, adverts, comments and so on, which damps its
+ratios. Ratios are smoothed within a region, so that regions don't lend theirs to one another, and lines at or above a
+threshold, a share of the ratios' standard deviation, form the content cluster. Regions most of whose text lies in the cluster
+are content, with all their lines, so that a short paragraph of an article stays; if some belong to an <article> or <main>,
+only those that do.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label",
     "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-OUTSIDE = {
-    "head", "script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "input",
-    "iframe", "object", "svg", "canvas", "audio", "video", "menu", "dialog", "title",
+NEVER = {
+    "head", "script", "style", "noscript", "template", "button", "select", "textarea", "input", "iframe", "object", "svg", "canvas", "audio", "video", "title",
 }
+BESIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 NAMES = re.compile(
     r"(?:^|[-_ ])(?:ad|ads|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|sidebar\w*|side|footer|header|masthead|breadcrumb\w*"
@@ -43,32 +44,32 @@ CLOSES_P = {
 }
 
 
+#: What the ratios of regions are multiplied by whose names speak against them; share of the standard deviation that makes the threshold.
+DAMPED = 0.02
+SHARE = 0.7
+
+
 class Lines(HTMLParser):
-    """Collects the lines of a page: text, tags, and whether a line stands in an article."""
+    """Collects the lines of a page: text, tags, whether a line stands in an article, its region, and the factor of its ratio."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, outside, in article, section
-        self.lines: list[tuple[str, int, bool, int]] = []
-        self.sections = 0
+        self.stack: list[tuple[str, bool, bool, int, float]] = []  # tag, never shown, in article, region, factor
+        self.lines: list[tuple[str, int, bool, int, float]] = []
+        self.regions = 0
         self.text: list[str] = []
         self.tags = 0
 
     def _end_line(self):
         text = SPACES.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, self._article(), self._section()))
+            _, _, article, region, factor = self._top()
+            self.lines.append((text, self.tags, article, region, factor))
             self.tags = 0
         self.text.clear()
 
-    def _outside(self) -> bool:
-        return bool(self.stack) and self.stack[-1][1]
-
-    def _article(self) -> bool:
-        return bool(self.stack) and self.stack[-1][2]
-
-    def _section(self) -> int:
-        return self.stack[-1][3] if self.stack else 0
+    def _top(self) -> tuple[str, bool, bool, int, float]:
+        return self.stack[-1] if self.stack else ("", False, False, 0, 1.0)
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -86,19 +87,18 @@ class Lines(HTMLParser):
                     break
         if tag in VOID:
             return
-        outside, article = self._outside(), self._article() or tag in ("article", "main")
-        if not outside:
+        _, never, within, region, factor = self._top()
+        article = within or tag in ("article", "main")
+        if not never:
             a = {k: v or "" for k, v in attrs}
-            inner = self._article()
-            outside = tag in OUTSIDE
-            outside = outside or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true"
-            outside = outside or (tag not in ("html", "body", "article", "main") and any(NAMES.search(a.get(k, "")) for k in ("class", "id")))
-            outside = outside or (tag == "article" and inner)
-        section = self._section()
-        if tag in SECTIONS and not self._article():  # an article is one section with all within
-            self.sections += 1
-            section = self.sections
-        self.stack.append((tag, outside, article, section))
+            never = tag in NEVER or "hidden" in a or a.get("aria-hidden") == "true"
+            beside = tag in BESIDE or a.get("role", "").lower() in ROLES or (tag == "article" and within)
+            beside = beside or (tag not in ("html", "body", "article", "main") and any(NAMES.search(a.get(k, "")) for k in ("class", "id")))
+            if beside or (tag in SECTIONS and not within):  # an article is one region with all within but for these
+                self.regions += 1
+                region = self.regions
+                factor = min(factor, DAMPED) if beside else factor
+        self.stack.append((tag, never, article, region, factor))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -115,7 +115,7 @@ class Lines(HTMLParser):
                 break
 
     def handle_data(self, data):
-        if not self._outside():
+        if not self._top()[1]:
             self.text.append(data)
 
     def parse_marked_section(self, i, report=1):
@@ -134,20 +134,31 @@ def smoothed(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(x, r, mode="edge"), k / k.sum(), mode="valid")
 
 
-def extract(html: str | None, share: float = 0.3) -> str:
+def content_regions(lines: list[tuple[str, int, bool, int, float]], share: float = SHARE) -> set[int]:
+    """Regions of lines (text, tags, in article, region, factor) that are content."""
+    size = np.array([len(t) for t, *_ in lines], np.float64)
+    region = np.array([r for *_, r, _ in lines])
+    ratio = size / np.maximum(1, [n for _, n, *_ in lines]) * [f for *_, f in lines]
+    for r in np.unique(region):
+        ratio[region == r] = smoothed(ratio[region == r])
+    inside = ratio >= min(share * ratio.std(), ratio.max())
+    held = np.bincount(region, size * inside) * 2 >= np.bincount(region, size)
+    content = held[region]
+    article = np.array([a for _, _, a, _, _ in lines])
+    if (content & article).any():
+        content &= article
+    return set(region[content].tolist())
+
+
+def extract(html: str | None) -> str:
     """Main text of a page; '' for null, empty or text-free pages."""
     p = Lines()
     p.feed(html or "")
     p.close()
     if not p.lines:
         return ""
-    ratio = smoothed(np.array([len(t) / max(1, n) for t, n, _, _ in p.lines], np.float64))
-    content = ratio >= min(share * ratio.std(), ratio.max())
-    article = np.array([a for _, _, a, _ in p.lines])
-    if (content & article).any():
-        content &= article
-    regions = {s for (_, _, _, s), c in zip(p.lines, content) if c}
-    return "\n".join(t for t, _, _, s in p.lines if s in regions)
+    regions = content_regions(p.lines)
+    return "\n".join(t for t, _, _, r, _ in p.lines if r in regions)
 
 
 def pages_text(pages: DataFrame) -> DataFrame:

@@ -19,12 +19,12 @@ def line_dedup(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, **spl
     number that goes for one of them goes for all. Other columns are not read.
     split: setjoin.Spec's often, large and tile.
     """
-    spec = setjoin.Spec(n, num, den, by_line=True, orders=1, words=2, **split)
+    spec = setjoin.Spec(n, num, den, by_line=True, orders=1, bits=128, **split)
     base = docs.select("doc_id", "text")
     scanned = common.table(setjoin.scan(base, spec), "lines")
     units = setjoin.units_of(scanned).where("n > 0")
     at = F.struct(F.coalesce("doc_id", F.lit(setjoin.NOWHERE)).alias("d"), "line")
-    places = common.table(units.groupBy("u").agg(F.min(at).alias("at"), *[F.first(c).alias(c) for c in spec.sketch]).select("u", "at.d", "at.line", *spec.sketch), "places")
+    places = common.table(units.groupBy("u").agg(F.min(at).alias("at"), F.first("sketch").alias("sketch")).select("u", "at.d", "at.line", "sketch"), "places")
     found = common.table(setjoin.links(base, spec, scanned, places, by_rank=True), "links")
     where = F.struct("d", "line", "u")
     a = found.join(places.select(F.col("u").alias("a"), where.alias("x")), "a").join(places.select(F.col("u").alias("b"), where.alias("y")), "b")

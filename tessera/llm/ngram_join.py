@@ -21,7 +21,7 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, orders:
     spec = setjoin.Spec(n, num, den, orders=orders, **split)
     scanned = common.table(setjoin.scan(docs, spec), "units")
     units = setjoin.units_of(scanned)
-    places = units.where("n > 0").groupBy("u").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in spec.sketch])
+    places = units.where("n > 0").groupBy("u").agg(F.min("doc_id").alias("low"), F.first("sketch").alias("sketch"))
     places = common.table(places.withColumns({"d": F.coalesce("low", F.lit(setjoin.NOWHERE)), "line": F.lit(0).cast("long")}), "places")
     found = setjoin.links(docs, spec, scanned, places)
     parts = graph.connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "u")

@@ -33,6 +33,8 @@ from .kernel import U, mix
 FREQUENT = 1 << 17
 #: Prefix tokens in a blob, about.
 BLOB = 300_000
+#: Buckets of a sketch at most; bytes of sketches in a block, about.
+MOST_BITS, BLOCK = 1 << 17, 16 << 20
 #: Quantiles that cut a band; blocks beyond that number are dealt by hash within a cut.
 CUTS = 1024
 #: Tokens a task counts at once, prefix tokens it packs at once.
@@ -48,7 +50,7 @@ _ROW = np.dtype([("token", "<u8"), ("unit", "<u8"), ("before", "<u8"), ("n", "<i
 class Spec:
     """n: words in an n-gram; num / den: the Jaccard threshold; by_line: units are lines, else whole texts; orders: how many global
     orders (8 at most); often: a count that can make a token frequent; large: units under one token whose pairs are named one by
-    one; tile: units in a block. The last three only shift work from one path to the other. words: 64-bit words of a sketch."""
+    one; tile: units in a block. The last three only shift work from one path to the other. bits: a sketch's, at least."""
 
     n: int
     num: int
@@ -58,17 +60,7 @@ class Spec:
     often: int = 64
     large: int = 48
     tile: int = 1000
-    words: int = 16
-
-    @property
-    def sketch(self) -> list[str]:
-        """Columns of a sketch."""
-        return [f"s{k}" for k in range(self.words)]
-
-    @property
-    def scanned(self) -> str:
-        """Schema of scan()."""
-        return "kind int, doc_id long, line long, u long, n long, " + ", ".join(f"{c} long" for c in self.sketch)
+    bits: int = 1024
 
     def prefix(self, size):
         """Length of the prefix of sets of these sizes; 0 for empty ones."""
@@ -111,11 +103,30 @@ class _Seen:
         return out
 
 
-def _sketches(g, s, size, words: int) -> list[np.ndarray]:
-    """Words of the sets' sketches: which of 64 * words buckets hold an odd number of tokens."""
-    bits = 64 * words
-    odd = np.bincount(s * bits + (g & U(bits - 1)).astype(np.int64), minlength=len(size) * bits) & 1
-    return list(np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64).reshape(len(size), words).T)
+def _sketches(g, s, size, least: int) -> list[bytes]:
+    """Sketches of the sets: which of 2 ** k buckets hold an odd number of tokens, about two buckets a token but least to MOST_BITS in all.
+
+    A sketch of half as many buckets is the XOR of one's halves, so sketches of any two sizes can be compared.
+    """
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(1, 2 * size))).astype(np.int64), least, MOST_BITS)
+    out: list[bytes] = [b""] * len(size)
+    for n in np.unique(bits[size > 0]).tolist():
+        rows = np.flatnonzero((bits == n) & (size > 0))
+        place = np.full(len(size), -1)
+        place[rows] = np.arange(len(rows))
+        mine = place[s] >= 0
+        odd = np.bincount(place[s[mine]] * n + (g[mine] & U(n - 1)).astype(np.int64), minlength=len(rows) * n) & 1
+        packed = np.packbits(odd.astype(np.uint8).reshape(-1, n), axis=1)
+        for r, x in zip(rows.tolist(), packed):
+            out[r] = x.tobytes()
+    return out
+
+
+def _folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Sketch of so many words from a larger one."""
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
 def scan(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -126,13 +137,13 @@ def scan(docs: DataFrame, spec: Spec) -> DataFrame:
         t, n = np.unique(np.concatenate(tokens), return_counts=True)
         t, n = t[n > 1], n[n > 1]
         none = pa.nulls(len(t), pa.int64())
-        return _batch([np.ones(len(t), np.int32), none, none, _i64(t), n] + [none] * spec.words, spec.scanned)
+        return _batch([np.ones(len(t), np.int32), none, none, _i64(t), n, pa.nulls(len(t), pa.binary())], SCAN)
 
     def run(batches):
         seen, held, some = _Seen(), [], 0
         for b in batches:
             for ids, number, g, s, size, units in _sets(b, spec):
-                yield _batch([np.zeros(len(number), np.int32), ids, number, _i64(units), size, *_sketches(g, s, size, spec.words)], spec.scanned)
+                yield _batch([np.zeros(len(number), np.int32), ids, number, _i64(units), size, _sketches(g, s, size, spec.bits)], SCAN)
                 new = seen.first(units, size)
                 held.append(g[new[s]])
                 some += len(held[-1])
@@ -142,7 +153,10 @@ def scan(docs: DataFrame, spec: Spec) -> DataFrame:
         if held:
             yield counted(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, spec.scanned)
+    return docs.select("doc_id", "text").mapInArrow(run, SCAN)
+
+
+SCAN = "kind int, doc_id long, line long, u long, n long, sketch binary"
 
 
 def _batch(cols, schema: str) -> pa.RecordBatch:
@@ -341,9 +355,19 @@ def _candidates(found: DataFrame, spec: Spec, places: DataFrame) -> DataFrame:
             .where(F.col("o") == (1 << spec.orders) - 1).drop("o")
         )
     for c in "ab":
-        pairs = pairs.join(places.select(F.col("u").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in spec.sketch]), c)
-    differ = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in spec.sketch), F.lit(0))
-    return pairs.where(F.lit(spec.den + spec.num) * differ <= F.lit(spec.den - spec.num) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+        pairs = pairs.join(places.select(F.col("u").alias(c), F.col("sketch").alias(f"s{c}")), c)
+
+    def run(batches):
+        for b in batches:
+            n = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            differ = np.zeros(len(n), np.int64)
+            for k, (x, y) in enumerate(zip(b.column("sa"), b.column("sb"))):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                words = min(len(x), len(y))
+                differ[k] = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(dtype=np.int64)
+            yield b.select(["a", "b", "na", "nb"]).filter(pa.array((spec.den + spec.num) * differ <= (spec.den - spec.num) * n))
+
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long")
 
 
 def unit_tokens(docs: DataFrame, spec: Spec, places: DataFrame) -> DataFrame:
@@ -396,7 +420,8 @@ def _blocks(hot: DataFrame, spec: Spec) -> DataFrame:
     # units of one token stand together, dealt by unit within it
     units = units.withColumn("at", F.shiftleft(F.pmod(F.xxhash64("t"), F.lit(1 << 42)), 20) + F.pmod(F.xxhash64("u"), F.lit(1 << 20)))
     units = common.table(units, "hot-units")
-    bands = units.groupBy("band").agg(F.ceil(F.count("*") / spec.tile).cast("int").alias("nb"))
+    size = F.greatest(F.count("*") / spec.tile, F.sum(F.least(F.lit(MOST_BITS), F.greatest(4 * F.col("n"), F.lit(spec.bits)))) / (8 * BLOCK))
+    bands = units.groupBy("band").agg(F.ceil(size).cast("int").alias("nb"))
     most = min(CUTS, bands.agg(F.max("nb")).first()[0])
     cuts = units.groupBy("band").agg(F.percentile_approx("at", [k / most for k in range(1, most)] or [1.0], 10 * CUTS).alias("cuts"))
     bands = bands.select("band", "nb").join(cuts, "band")  # CUTS numbers for each power of den / num that sizes reach: may be broadcast
@@ -458,7 +483,9 @@ def _tile_pairs(part: pa.Table, spec: Spec, by_rank: bool, rest: bool):
     u, n, state, left = col("u"), col("n"), col("state"), col("mine").astype(bool)
     new = np.unique(u, return_index=True)[1]
     u, n, state, left = u[new], n[new], state[new], left[new]
-    x = np.stack([col(c)[new] for c in spec.sketch], 1).view(U)
+    x = [np.frombuffer(v.as_buffer(), U) for v in part.column("sketch").combine_chunks().take(pa.array(new))]
+    words = min(len(v) for v in x)
+    x = np.stack([_folded(v, words) for v in x])
     same = bool(left.all())
     rows, cols = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
     ok = _allowed(x[rows], x[cols], n[rows], n[cols], spec)
@@ -516,7 +543,7 @@ def _in_tiles(spec: Spec, members: DataFrame, by_rank: bool, rest: bool) -> Data
         if held:
             yield from _tile_pairs(pa.Table.from_batches(held), spec, by_rank, rest)
 
-    rows = members.select("tile", "mine", "u", "n", "d", "line", "state", *spec.sketch)
+    rows = members.select("tile", "mine", "u", "n", "d", "line", "state", "sketch")
     return rows.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(run, FOUND)
 
 
@@ -541,7 +568,7 @@ def links(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame, by
         blocks = common.table(_blocks(hot, spec), "blocks")
         tiles = _tiles(hot, blocks)
         both = tiles.withColumn("blk", F.explode(F.array_distinct(F.array("i", "j"))))
-        units = blocks.select("u", "n", "blk").join(places.select("u", "d", "line", *spec.sketch), "u")
+        units = blocks.select("u", "n", "blk").join(places.select("u", "d", "line", "sketch"), "u")
         members = common.table(units.join(both, "blk").withColumns({"tile": F.xxhash64("i", "j"), "mine": (F.col("blk") == F.col("i")).cast("int"), "state": F.lit(0).cast("long")}).drop("blk", "i", "j"), "members")
         pairs = pairs.withColumn("kind", F.lit(0)).unionByName(_in_tiles(spec, members, by_rank, False).select("kind", "a", "b", "na", "nb"))
     else:
