@@ -138,10 +138,13 @@ def content_regions(lines: list[tuple[str, int, bool, int, float]], share: float
     """Regions of lines (text, tags, in article, region, factor) that are content."""
     size = np.array([len(t) for t, *_ in lines], np.float64)
     region = np.array([r for *_, r, _ in lines])
-    ratio = size / np.maximum(1, [n for _, n, *_ in lines]) * [f for *_, f in lines]
+    factor = np.array([f for *_, f in lines])
+    ratio = size / np.maximum(1, [n for _, n, *_ in lines]) * factor
+    if (factor < 1).all():
+        return set()
     for r in np.unique(region):
         ratio[region == r] = smoothed(ratio[region == r])
-    inside = ratio >= min(share * ratio.std(), ratio.max())
+    inside = ratio >= min(share * ratio.std(), ratio[factor == 1].max())
     held = np.bincount(region, size * inside) * 2 >= np.bincount(region, size)
     content = held[region]
     article = np.array([a for _, _, a, _, _ in lines])

@@ -259,6 +259,21 @@ def test_html(spark):
     assert html_extract.pages_text(df.limit(0)).count() == 0
 
 
+def test_html_regions_by_their_ratios():
+    """Elements whose names say nothing: the ratios tell link lists and short notes from the text, and without them all would stay."""
+    words = "plain words of a long paragraph that goes on for a while and says a little more each time "
+    links = "".join(f"<li><a href='/{k}'>item {k}</a></li>" for k in range(9))
+    text = [(words * k).strip() for k in (3, 5, 2)] + ["A short end."]
+    for tag in ("div", "section"):
+        page = f"<body><{tag} class='q1'><ul>{links}</ul></{tag}><{tag} class='q2'>Buy now.</{tag}><{tag} class='q3'>" + "".join(f"<p>{t}</p>" for t in text) + f"</{tag}><{tag} class='q4'><a href='/x'>x</a> | <a href='/y'>y</a></{tag}></body>"
+        assert html_extract.extract(page) == "\n".join(text)
+        parser = html_extract.Lines()
+        parser.feed(page)
+        parser.close()
+        assert len(parser.lines) == 9 + 1 + len(text) + 1
+        assert html_extract.content_regions(parser.lines, share=0.0) == {r for *_, r, _ in parser.lines}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(5, 3), (3, 9), (9, 9), (7, 8), (None, 1), (3, 5)], "u long, v long")
     for one_task in (0, 1000):
