@@ -1,8 +1,9 @@
 """LM scoring: a log-bilinear neural model trained in numpy with noise-contrastive estimation.
 
 The model predicts the next output (one of the OUTPUTS most frequent tokens, or 'another token') from the two before
-it: s(w | u, v) = q_w . (c1 * r_u + c2 * r_v) + b_w with embeddings r, q and per-position weights c1, c2. Every task trains
-over all its training texts from one start, with noise drawn from the unigram distribution; the tasks' parameters are
+it: s(w | u, v) = q_w . (c1 * r_u + c2 * r_v) + b_w with embeddings r, q and per-position weights c1, c2. Training texts are dealt into
+shards by a hash of what they hold, so that shards and with them scores don't depend on how the input lies in files. Each
+shard trains over all its texts from one start, with noise drawn from the unigram distribution; the shards' parameters are
 averaged by their tokens. Two matrix products give all scores, and normalisers for every context follow in batches,
 so token log-probabilities are normalised exactly. 'Another token' is shared out by its add-one unigram frequency.
 
@@ -24,7 +25,9 @@ from .kernel import U
 
 OUTPUTS = 1000
 KNOWN = 1 << 19
-DIM = 16
+DIM = 24
+#: Tokens a shard trains on, about.
+SHARD = 4_000_000
 END = U(0)  # no word hashes to the end but by chance
 
 
@@ -154,7 +157,7 @@ def nce_steps(par: dict, acc: dict, out, u, v, p: np.ndarray, rng, rate: float,
 
 
 def train(docs: DataFrame, v: Vocabulary, passes: int = 1, rate: float = 0.05) -> dict:
-    """Parameters averaged over all tasks, each weighted by its tokens. Every training text takes part."""
+    """Parameters averaged over all shards, each weighted by its tokens. Every training text takes part, in the order of its hash."""
     p = _unigram(v)
     end = int(v.outputs(v.look(np.array([END], U)))[0])
     shared = docs.sparkSession.sparkContext.broadcast(v)
@@ -178,7 +181,8 @@ def train(docs: DataFrame, v: Vocabulary, passes: int = 1, rate: float = 0.05) -
                 k = np.arange(x.size)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * x.size), pa.array(k), pa.array(x.ravel() * np.float64(seen)), pa.array(np.full(x.size, float(seen)))], ["name", "k", "x", "w"])
 
-    rows = docs.select("text").mapInArrow(run, "name string, k long, x double, w double")
+    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("at")).repartition(v.total // SHARD + 1, "at").sortWithinPartitions("at")
+    rows = dealt.select("text").mapInArrow(run, "name string, k long, x double, w double")
     mean = rows.groupBy("name", "k").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()
     par = _start(len(p))
     name, k, x = mean.column("name").to_numpy(zero_copy_only=False), mean.column("k").to_numpy(), mean.column("x").to_numpy()

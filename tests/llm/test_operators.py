@@ -189,6 +189,9 @@ def test_lm_scores(spark, rows):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (tokens, known, n, brute.held_out(i, 7))
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
+    # how the rows lie makes no difference but for the order of sums
+    other = {r["doc_id"]: r["score"] for r in lbl_model.lm_scores(frame(spark, rows[::-1]).repartition(7)).collect()}
+    assert all(other[i] == pytest.approx(r["score"], rel=1e-4) for i, r in got.items())
     assert lbl_model.lm_scores(frame(spark, rows).limit(0)).count() == 0
     assert lbl_model.lm_scores(frame(spark, [(None, "a"), (1, None)])).count() == 2
 
