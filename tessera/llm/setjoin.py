@@ -59,7 +59,7 @@ class Spec:
     orders: int = 2
     often: int = 64
     large: int = 48
-    tile: int = 1000
+    tile: int = 4000
     bits: int = 1024
 
     def prefix(self, size):
@@ -502,9 +502,11 @@ def _tile_pairs(part: pa.Table, spec: Spec, by_rank: bool, rest: bool):
                 i, j = np.nonzero(early)
                 pairs.append((a[i], b[j]))
             else:
-                first = np.where(mat, r[b][None, :], np.iinfo(np.int64).max)
-                best = first.argmin(1) if len(b) else np.zeros(len(a), np.int64)
-                late = np.flatnonzero(first[np.arange(len(a)), best] < r[a]) if len(b) else best[:0]
+                best, first = np.zeros(len(a), np.int64), np.full(len(a), len(u))
+                for k in range(0, len(a) if len(b) else 0, 500):
+                    at = np.where(mat[k : k + 500], r[b][None, :], len(u))
+                    best[k : k + 500], first[k : k + 500] = at.argmin(1), at.min(1)
+                late = np.flatnonzero(first < r[a])
                 pairs.append((a[late], b[best[late]]))
         i, j = (np.concatenate(z) for z in zip(*pairs))
     elif rest:
