@@ -13,29 +13,32 @@ REJECT = 0.6
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject, all columns."""
+    """Documents that the classifier doesn't reject, all columns. Null and empty texts are scored like any other; no row goes for its id."""
     return quality_crf.keep_good(docs, quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), REJECT)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, all columns."""
+    """One row of each group of equal texts (null: empty), that of the smallest doc_id, all columns."""
     return exact_dedup.dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each class linked by five-word shingles at 0.8; all columns."""
+    """One document, that of the smallest doc_id, of each class linked by five-word shingles at 0.8; all columns.
+
+    Rows that share a doc_id stay or go together; rows without one stay, as do null, empty and blank texts.
+    """
     gone = ngram_join.classes(docs, n=5, num=80, den=100).where(F.col("doc_id") != F.col("component_id"))
     gone = common.table(gone.select(F.col("doc_id").alias("_gone")).distinct(), "near")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, all columns."""
+    """Documents that hold no benchmark item, all columns; rows that share a doc_id count as one text. An empty benchmark removes nothing."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the text decoded from them."""
+    """doc_id, n_tokens, ids and the text decoded from them; null counts as empty."""
     return sentencepiece_wfst.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("ids_crc32")
 
 
