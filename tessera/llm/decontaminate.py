@@ -81,7 +81,7 @@ def leaks(docs: DataFrame, items: DataFrame, t_num: int = 80, t_den: int = 100,
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
     bad = common.table(leaks(docs, items).select(F.col("doc_id").alias("_bad")).distinct(), "bad")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
 #: leaks() over documents and benchmark, for DuckDB.
