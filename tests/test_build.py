@@ -3,7 +3,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import build, canonicalise, validate
+from tessera.operators import build, canonicalise, incremental, validate
 from tessera.sources import snapshot
 
 RANGE = "path string, begin_line int, begin_column int, begin_offset long, end_line int, end_column int, end_offset long"
@@ -117,24 +117,17 @@ def test_build_is_incremental(spark, tmp_path):
 
     one, two = program(spark), program(spark, "h1")
     go = lambda f, out=path, **more: build.build(spark, "/w", f.units, extract(f), f.hashes, out, **more)
-    assert go(one, window=1) == {"extracted": 2, "reused": 0} and len(asked) == 2
-    assert go(one) == {"extracted": 0, "reused": 2}
-    assert go(two) == {"extracted": 1, "reused": 1} and asked[-1] == ["B"]
-    again = f"file://{tmp_path}/clean"
-    go(two, again, clean=True)
-    a, b = snapshot.load(spark, path), snapshot.load(spark, again)
-    for name in ("symbols", "occurrences", "edges", "types", "file_versions", "revisions", "entry_roots", "logical_symbols"):
-        cols = sorted(a[name].columns)
-        assert rows(a[name], *cols) == rows(b[name], *cols), name
-    assert rows(a["entry_roots"], "kind", "reason") == [(0, "process entry point")]
-    # a changed header brings both back, a unit that goes takes its symbols along
-    two.hashes = two.hashes.withColumn("content_hash", F.when(F.col("path") == "/w/h.hpp", "h2").otherwise(F.col("content_hash")))
-    assert go(two) == {"extracted": 2, "reused": 0}
-    two.units = two.units.where("tu = 'A'")
-    assert go(two) == {"extracted": 0, "reused": 1}
-    assert rows(snapshot.load(spark, path)["symbols"], "qualified_name") == [("N",), ("N::f",)]
-    bad = program(spark, "h3")
-    bad.units = bad.units.withColumn("quality", F.lit(2))
-    with pytest.raises(ValueError, match="gate"):
-        go(bad, require_complete=True)
-    assert rows(snapshot.load(spark, path)["symbols"], "qualified_name") == [("N",), ("N::f",)]
+    assert go(one) == {"extracted": 2, "reused": 0}
+    assert go(two) == {"extracted": 1, "reused": 1} and asked == [["A", "B"], ["B"]]
+    got, clean = snapshot.load(spark, path), canonicalise.apply(program(spark, "h1"), spark.range(1).select(F.sha2(F.lit("workspace|/w"), 256)).first()[0])
+    for name in ("symbols", "occurrences", "types", "revisions", "edges"):
+        assert rows(got[name], "id") == rows(getattr(clean, name), "id"), name
+    assert rows(got["entry_roots"], "kind", "reason") == [(0, "process entry point")]
+
+
+def test_complete_gate(spark):
+    of = lambda *q: spark.createDataFrame([(k, k, 0, x) for k, x in enumerate(q)], "id long, tu_id long, seen_at long, quality int")
+    incremental.complete_gate(of(0, 0))
+    for bad in (of(0, 2), of()):
+        with pytest.raises(ValueError, match="gate"):
+            incremental.complete_gate(bad)
