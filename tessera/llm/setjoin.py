@@ -11,8 +11,9 @@ token, whatever the order.
 * Units that meet under a token give pairs, cut by the length and positional filters; a pair must come out of every order
   (the filters are intersected). Parity sketches (which buckets hold an odd number of a set's tokens: buckets that differ are at
   most the tokens that do) cut them once more before their sets are compared.
-* A token is *hot* if it is frequent or if more than a few prefixes hold it. The units of hot tokens are dealt into blocks
-  of one size band each; two blocks that share a hot token make a tile, in which all sketches are compared at once. First
+* A token is *hot* if it is frequent or if more than a few prefixes hold it. The units under one hot token make a tile, or
+  parts of bounded size that meet two by two; units without a common hot token never meet. In a tile the sketches of units of
+  like sizes are compared at once, but for pairs that share the frequent token before, too: these have met under that one. First
   only a spanning forest of the pairs that the sketches allow, or each unit's earliest one, leaves the task to be verified;
   then the pairs that this leaves open: those of units that nothing links yet, or of units without an earlier match.
 """
@@ -33,10 +34,10 @@ from .kernel import U, mix
 FREQUENT = 1 << 17
 #: Prefix tokens in a blob, about.
 BLOB = 300_000
-#: Buckets of a sketch at most; bytes of sketches in a block, about.
+#: Buckets of a sketch at most; bytes of sketches in a tile's part, about.
 MOST_BITS, BLOCK = 1 << 17, 16 << 20
-#: Quantiles that cut a band; blocks beyond that number are dealt by hash within a cut.
-CUTS = 1024
+#: Pairs of a tile whose sketches are compared at once, and the words of these.
+AT_ONCE = 200_000, 2_000_000
 #: Tokens a task counts at once, prefix tokens it packs at once.
 COUNTED, PACKED = 1_500_000, 400_000
 #: Where a document without an id stands: before all others.
@@ -50,7 +51,7 @@ _ROW = np.dtype([("token", "<u8"), ("unit", "<u8"), ("before", "<u8"), ("n", "<i
 class Spec:
     """n: words in an n-gram; num / den: the Jaccard threshold; by_line: units are lines, else whole texts; orders: how many global
     orders (8 at most); often: a count that can make a token frequent; large: units under one token whose pairs are named one by
-    one; tile: units in a block. The last three only shift work from one path to the other. bits: a sketch's, at least."""
+    one; tile: units in a tile's part. The last three only shift work from one path to the other. bits: a sketch's, at least."""
 
     n: int
     num: int
@@ -277,7 +278,8 @@ FOUND = "kind int, a long, b long, na long, nb long, o int"
 
 
 def _pairs_of(rows: np.ndarray, spec: Spec):
-    """Of one blob's rows: pairs of units under one token (kind 0: a, b and their sizes, o: the order's bit), and rows of hot tokens (kind 1: unit a, token b, size na)."""
+    """Of one blob's rows: pairs of units under one token (kind 0: a, b and their sizes, o: the order's bit), and rows of hot tokens (kind 1: unit a, token b,
+    size na, nb: the token before, 0 if that isn't frequent)."""
     often = rows["token"] >= _FREQUENT
     hot = [rows[often]]
     rows = rows[~often]
@@ -305,7 +307,8 @@ def _pairs_of(rows: np.ndarray, spec: Spec):
     hot = np.concatenate(hot)
     if len(hot):
         zero = np.zeros(len(hot), np.int64)
-        yield _batch([zero + 1, _i64(hot["unit"]), _i64(hot["token"]), hot["n"], zero, zero], FOUND)
+        before = np.where(hot["before"] >= _FREQUENT, hot["before"], 0)
+        yield _batch([zero + 1, _i64(hot["unit"]), _i64(hot["token"]), hot["n"], _i64(before), zero], FOUND)
 
 
 def _filtered(rows, i, j, spec: Spec):
@@ -408,44 +411,54 @@ def _verified(spec: Spec, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 # --- hot tokens ------------------------------------------------------------------------------------------------------
 
 
-def _blocks(hot: DataFrame, spec: Spec) -> DataFrame:
-    """(u, n, band, blk) of the units of hot rows (u, token, n): blocks of one band of sizes, in which units of one token are neighbours.
-
-    Sizes that can link lie in one band or two next to each other. Cuts come from approximate quantiles, so no block's
-    making needs a whole band in one task.
-    """
-    width = float(np.log(spec.den / spec.num) * (1 + 1e-9))
-    units = hot.groupBy("u").agg(F.max("token").alias("t"), F.first("n").alias("n"))
-    units = units.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
-    # units of one token stand together, dealt by unit within it
-    units = units.withColumn("at", F.shiftleft(F.pmod(F.xxhash64("t"), F.lit(1 << 42)), 20) + F.pmod(F.xxhash64("u"), F.lit(1 << 20)))
-    units = common.table(units, "hot-units")
+def _tiles(hot: DataFrame, spec: Spec) -> DataFrame:
+    """(tile, mine, u, n, before) of hot rows (u, token, n, before): the units under each token that several have, whole or in parts
+    dealt by unit, each two of which make a tile; mine: 1 in the first part, and where a part meets itself. Tokens all of whose
+    units have met under the one before are left out."""
     size = F.greatest(F.count("*") / spec.tile, F.sum(F.least(F.lit(MOST_BITS), F.greatest(4 * F.col("n"), F.lit(spec.bits)))) / (8 * BLOCK))
-    bands = units.groupBy("band").agg(F.ceil(size).cast("int").alias("nb"))
-    most = min(CUTS, bands.agg(F.max("nb")).first()[0])
-    cuts = units.groupBy("band").agg(F.percentile_approx("at", [k / most for k in range(1, most)] or [1.0], 10 * CUTS).alias("cuts"))
-    bands = bands.select("band", "nb").join(cuts, "band")  # CUTS numbers for each power of den / num that sizes reach: may be broadcast
-    below = F.size(F.filter("cuts", lambda c: c < F.col("at"))) if most > 1 else F.lit(0)
-    cut = F.floor(below * F.least("nb", F.lit(most)) / most).cast("int")
-    part = F.pmod(F.xxhash64("u"), F.ceil(F.col("nb") / most)).cast("int")
-    return units.join(F.broadcast(bands), "band").select("u", "n", "band", F.struct("band", cut.alias("cut"), part.alias("part")).alias("blk"))
-
-
-def _tiles(hot: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(i, j), i <= j: blocks that share a hot token and whose bands touch."""
-    has = hot.select("u", "token").join(blocks.select("u", "blk"), "u").select("token", "blk").distinct()
-    i, j = has.withColumnRenamed("blk", "i"), has.withColumnRenamed("blk", "j")
-    return i.join(j, "token").where((F.col("i") <= F.col("j")) & (F.col("j.band") - F.col("i.band") <= 1)).select("i", "j").distinct()
+    tokens = hot.groupBy("token").agg(F.count("*").alias("c"), F.ceil(size).cast("int").alias("parts"), F.min("before").alias("low"), F.max("before").alias("high"))
+    tokens = tokens.where("c > 1 and (low = 0 or low < high)").select("token", "parts")
+    part = F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")
+    rows = hot.join(tokens, "token").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tile = F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other"))
+    return rows.select(tile.alias("tile"), (F.col("part") <= F.col("other")).cast("int").alias("mine"), "u", "n", "before")
+
+
+def _differ(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Buckets in which the sketches x[i] and y[j] differ."""
+    out = np.zeros(len(i), np.int64)
+    step = max(1, AT_ONCE[1] // max(1, x.shape[1]))
+    for k in range(0, len(i), step):
+        out[k : k + step] = np.bitwise_count(x[i[k : k + step]] ^ y[j[k : k + step]]).sum(1, dtype=np.int64)
+    return out
 
 
-def _allowed(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, spec: Spec) -> np.ndarray:
-    """Matrix of the pairs of units (sketches x and y, sizes nx and ny) whose sizes and sketches allow the threshold."""
+def _allowed(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, bx: np.ndarray, by: np.ndarray, spec: Spec) -> np.ndarray:
+    """Matrix of the pairs of units (sketches x and y, sizes nx and ny, the frequent tokens before bx and by) whose sizes and sketches
+    allow the threshold and that don't share the token before."""
     out = np.zeros((len(x), len(y)), bool)
-    step = max(1, 2_000_000 // max(1, y.size))
-    for k in range(0, len(x), step):
-        differ = np.bitwise_count(x[k : k + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
-        n, m = nx[k : k + step, None], ny[None, :]
-        out[k : k + step] = ((spec.den + spec.num) * differ <= (spec.den - spec.num) * (n + m)) & (spec.den * np.minimum(n, m) >= spec.num * np.maximum(n, m))
+    if not len(x) or not len(y):
+        return out
+    rows, cols = np.argsort(nx, kind="stable"), np.argsort(ny, kind="stable")
+    sizes = ny[cols]
+    some = max(1, x.shape[1] // 4)
+    k = 0
+    while k < len(rows):
+        # sizes that fit the smallest of the next rows, up to those that fit the largest
+        low = np.searchsorted(sizes, -(-spec.num * nx[rows[k]] // spec.den))
+        high = np.searchsorted(sizes, spec.den * nx[rows[min(len(rows), k + 64) - 1]] // spec.num, "right")
+        r, c = rows[k : k + min(64, max(1, AT_ONCE[0] // max(1, high - low)))], cols[low:high]
+        k += len(r)
+        n, m = nx[r][:, None], ny[c][None, :]
+        i, j = np.nonzero((spec.den * np.minimum(n, m) >= spec.num * np.maximum(n, m)) & ((bx[r][:, None] != by[c][None, :]) | (bx[r] == 0)[:, None]))
+        i, j = r[i], c[j]
+        # a part of the sketches rules most pairs out
+        most = (spec.den - spec.num) * (nx[i] + ny[j])
+        differ = _differ(x[:, :some], y[:, :some], i, j)
+        ok = (spec.den + spec.num) * differ <= most
+        i, j, most, differ = i[ok], j[ok], most[ok], differ[ok]
+        ok = (spec.den + spec.num) * (differ + _differ(x[:, some:], y[:, some:], i, j)) <= most
+        out[i[ok], j[ok]] = True
     return out
 
 
@@ -474,21 +487,31 @@ def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
 
 
 def _tile_pairs(part: pa.Table, spec: Spec, by_rank: bool, rest: bool):
-    """Of one tile's units (mine, u, n, d, line, state, sketch): pairs to verify (kind 0) and the units that occur in any (kind 2).
+    """Of one tile's units (mine, u, n, before, d, line, state, sketch): pairs to verify (kind 0) and the units that occur in any (kind 2).
 
     Without rest: a forest, or by rank each unit's earliest pair. With rest, where state is a unit's component (by rank: 1 if it
     has an earlier match): all pairs across components, or all earlier pairs of units without a match.
     """
     col = lambda c: part.column(c).to_numpy()
-    u, n, state, left = col("u"), col("n"), col("state"), col("mine").astype(bool)
+    u, n, before, state, left = col("u"), col("n"), col("before"), col("state"), col("mine").astype(bool)
+    if before[0] != 0 and (before == before[0]).all() or rest and not by_rank and (state == state[0]).all() or rest and by_rank and state.all():
+        return
     new = np.unique(u, return_index=True)[1]
-    u, n, state, left = u[new], n[new], state[new], left[new]
+    u, n, before, state, left = u[new], n[new], before[new], state[new], left[new]
     x = [np.frombuffer(v.as_buffer(), U) for v in part.column("sketch").combine_chunks().take(pa.array(new))]
-    words = min(len(v) for v in x)
-    x = np.stack([_folded(v, words) for v in x])
     same = bool(left.all())
     rows, cols = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
-    ok = _allowed(x[rows], x[cols], n[rows], n[cols], spec)
+    ok = np.zeros((len(rows), len(cols)), bool)
+    words = np.array([len(v) for v in x])
+    for w in np.unique(words).tolist():
+        # sketches meet at the size of the smaller one
+        fit = {w: np.flatnonzero(words == w)} | {v: np.flatnonzero(words == v) for v in set(words.tolist()) if v > w and (n[words == v].min() * spec.num <= n[words == w].max() * spec.den)}
+        for a, b in [(w, v) for v in fit] + [(v, w) for v in fit if v > w]:
+            r, c = np.flatnonzero(np.isin(rows, fit[a])), np.flatnonzero(np.isin(cols, fit[b]))
+            if len(r) and len(c):
+                i, j = rows[r], cols[c]
+                y, z = (np.stack([_folded(x[k], w) for k in t]) for t in (i, j))
+                ok[np.ix_(r, c)] = _allowed(y, z, n[i], n[j], before[i], before[j], spec)
     if same:
         np.fill_diagonal(ok, False)
     if by_rank:
@@ -545,10 +568,33 @@ def _in_tiles(spec: Spec, members: DataFrame, by_rank: bool, rest: bool) -> Data
         if held:
             yield from _tile_pairs(pa.Table.from_batches(held), spec, by_rank, rest)
 
-    rows = members.select("tile", "mine", "u", "n", "d", "line", "state", "sketch")
+    rows = members.select("tile", "mine", "u", "n", "before", "d", "line", "state", "sketch")
     return rows.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(run, FOUND)
 
 
+def _thinned(pairs: DataFrame) -> DataFrame:
+    """Of a table of pairs (kind, a, b, na, nb) those that connect what all connect: tiles have a forest each, and units meet in several.
+    Each task makes one forest of about graph.ONE_TASK pairs."""
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def top(x):
+            while (y := root.setdefault(x, x)) != x:
+                root[x] = x = root[y]
+            return x
+
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for k, (x, y) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                x, y = top(x), top(y)
+                keep[k] = x != y
+                root[x] = y
+            yield b.filter(pa.array(keep))
+
+    return pairs.coalesce(pairs.count() // graph.ONE_TASK + 1).mapInArrow(run, "kind int, a long, b long, na long, nb long")
+
+
 def links(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame, by_rank: bool = False) -> DataFrame:
     """Verified links (a, b) between different units of docs.
 
@@ -563,16 +609,15 @@ def links(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame, by
     found = common.table(_met(prefixes(docs, spec, often, buckets), spec, buckets), "found")
     common.free(spark)
     pairs = _candidates(found, spec, places)
-    hot = found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("token"), F.col("na").alias("n")).distinct()
+    hot = found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("token"), F.col("na").alias("n"), F.col("nb").alias("before")).distinct()
     members = None
     if not found.where("kind = 1").isEmpty():
         hot = common.table(hot, "hot")
-        blocks = common.table(_blocks(hot, spec), "blocks")
-        tiles = _tiles(hot, blocks)
-        both = tiles.withColumn("blk", F.explode(F.array_distinct(F.array("i", "j"))))
-        units = blocks.select("u", "n", "blk").join(places.select("u", "d", "line", "sketch"), "u")
-        members = common.table(units.join(both, "blk").withColumns({"tile": F.xxhash64("i", "j"), "mine": (F.col("blk") == F.col("i")).cast("int"), "state": F.lit(0).cast("long")}).drop("blk", "i", "j"), "members")
-        pairs = pairs.withColumn("kind", F.lit(0)).unionByName(_in_tiles(spec, members, by_rank, False).select("kind", "a", "b", "na", "nb"))
+        units = _tiles(hot, spec).join(places.select("u", "d", "line", "sketch"), "u")
+        members = common.table(units.withColumn("state", F.lit(0).cast("long")), "members")
+        met = _in_tiles(spec, members, by_rank, False).select("kind", "a", "b", "na", "nb")
+        met = met if by_rank else _thinned(common.table(met.distinct(), "met"))
+        pairs = pairs.withColumn("kind", F.lit(0)).unionByName(met)
     else:
         pairs = pairs.withColumn("kind", F.lit(0))
     pairs = common.table(pairs.distinct(), "pairs")
