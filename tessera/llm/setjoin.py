@@ -14,8 +14,9 @@ token, whatever the order.
 * A token is *hot* if it is frequent or if more than a few prefixes hold it. The units under one hot token make a tile, or
   parts of bounded size that meet two by two; units without a common hot token never meet. In a tile the sketches of units of
   like sizes are compared at once, but for pairs that share the frequent token before, too: these have met under that one. First
-  only a spanning forest of the pairs that the sketches allow, or each unit's earliest one, leaves the task to be verified;
-  then the pairs that this leaves open: those of units that nothing links yet, or of units without an earlier match.
+  only a spanning forest of the pairs that the sketches allow, or each unit's earliest one, leaves the task to be verified.
+  The pairs that this leaves open (across the components found, or of units without an earlier match) never leave the task: the
+  sets of their units come to the tile and are compared there, and a forest of the links goes out, or one link of each unit.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ FREQUENT = 1 << 17
 BLOB = 300_000
 #: Buckets of a sketch at most; bytes of sketches in a tile's part, about.
 MOST_BITS, BLOCK = 1 << 17, 16 << 20
+#: Bytes of tokens in a part of a tile whose sets are compared, about.
+SETS = 32 << 20
 #: Pairs of a tile whose sketches are compared at once, and the words of these.
 AT_ONCE = 200_000, 2_000_000
 #: Tokens a task counts at once, prefix tokens it packs at once.
@@ -486,71 +489,133 @@ def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
     return edges
 
 
-def _tile_pairs(part: pa.Table, spec: Spec, by_rank: bool, rest: bool):
-    """Of one tile's units (mine, u, n, before, d, line, state, sketch): pairs to verify (kind 0) and the units that occur in any (kind 2).
+class _Tile:
+    """One tile's units from rows (mine, u, n, before, d, line, state, sketch), each once. rows, cols: those that meet; same: all meet
+    each other; ok: which pairs of rows and cols the sizes and sketches allow; take: the rows of part the units come from."""
+
+    def __init__(self, part: pa.Table, spec: Spec):
+        col = lambda c: part.column(c).to_numpy()
+        self.take = new = np.unique(col("u"), return_index=True)[1]
+        u, n, state, before, left = (col(c)[new] for c in ("u", "n", "state", "before", "mine"))
+        left = left.astype(bool)
+        self.u, self.n, self.state = u, n, state
+        self.line, self.d = col("line")[new], col("d")[new]
+        x = [np.frombuffer(v.as_buffer(), U) for v in part.column("sketch").combine_chunks().take(pa.array(new))]
+        self.same = same = bool(left.all())
+        self.rows, self.cols = rows, cols = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
+        self.ok = ok = np.zeros((len(rows), len(cols)), bool)
+        words = np.array([len(v) for v in x])
+        for w in np.unique(words).tolist():
+            # sketches meet at the size of the smaller one
+            fit = {w: np.flatnonzero(words == w)} | {v: np.flatnonzero(words == v) for v in set(words.tolist()) if v > w and (n[words == v].min() * spec.num <= n[words == w].max() * spec.den)}
+            for a, b in [(w, v) for v in fit] + [(v, w) for v in fit if v > w]:
+                r, c = np.flatnonzero(np.isin(rows, fit[a])), np.flatnonzero(np.isin(cols, fit[b]))
+                if len(r) and len(c):
+                    i, j = rows[r], cols[c]
+                    y, z = (np.stack([_folded(x[k], w) for k in t]) for t in (i, j))
+                    ok[np.ix_(r, c)] = _allowed(y, z, n[i], n[j], before[i], before[j], spec)
+        if same:
+            np.fill_diagonal(ok, False)
+
+    def rank(self) -> np.ndarray:
+        """Place of each unit in the order of (d, line, u)."""
+        r = np.empty(len(self.u), np.int64)
+        r[np.lexsort((self.u, self.line, self.d))] = np.arange(len(r))
+        return r
+
+    def sides(self):
+        """(matrix, units, units they look at) so that every unit looks at all that it meets."""
+        one = (self.ok, self.rows, self.cols)
+        return (one,) if self.same else (one, (self.ok.T, self.cols, self.rows))
 
-    Without rest: a forest, or by rank each unit's earliest pair. With rest, where state is a unit's component (by rank: 1 if it
-    has an earlier match): all pairs across components, or all earlier pairs of units without a match.
-    """
-    col = lambda c: part.column(c).to_numpy()
-    u, n, before, state, left = col("u"), col("n"), col("before"), col("state"), col("mine").astype(bool)
-    if before[0] != 0 and (before == before[0]).all() or rest and not by_rank and (state == state[0]).all() or rest and by_rank and state.all():
+
+def _tile_pairs(part: pa.Table, spec: Spec, by_rank: bool, rest: bool):
+    """Of one tile, without rest: pairs to verify (kind 0), a forest, or by rank each unit's earliest pair and then the units that occur
+    in any (kind 2). With rest: the rows of the units that occur in a pair which is still open, that is, across components (state), or
+    by rank of a later unit without a match (state 0)."""
+    before, state = part.column("before").to_numpy(), part.column("state").to_numpy()
+    if before[0] != 0 and (before == before[0]).all() or rest and (state.all() if by_rank else (state == state[0]).all()):
+        return
+    t = _Tile(part, spec)
+    u, n, rows, cols = t.u, t.n, t.rows, t.cols
+    r = t.rank()
+    if rest:
+        some = np.zeros(len(u), bool)
+        for k, x in enumerate(rows.tolist()):
+            y = cols[t.ok[k]]
+            y = y[np.where(r[y] > r[x], t.state[y], t.state[x]) == 0] if by_rank else y[t.state[y] != t.state[x]]
+            some[y] = True
+            some[x] |= len(y) > 0
+        if some.any():
+            yield from part.take(pa.array(np.sort(t.take[some]))).combine_chunks().to_batches()
         return
-    new = np.unique(u, return_index=True)[1]
-    u, n, before, state, left = u[new], n[new], before[new], state[new], left[new]
-    x = [np.frombuffer(v.as_buffer(), U) for v in part.column("sketch").combine_chunks().take(pa.array(new))]
-    same = bool(left.all())
-    rows, cols = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
-    ok = np.zeros((len(rows), len(cols)), bool)
-    words = np.array([len(v) for v in x])
-    for w in np.unique(words).tolist():
-        # sketches meet at the size of the smaller one
-        fit = {w: np.flatnonzero(words == w)} | {v: np.flatnonzero(words == v) for v in set(words.tolist()) if v > w and (n[words == v].min() * spec.num <= n[words == w].max() * spec.den)}
-        for a, b in [(w, v) for v in fit] + [(v, w) for v in fit if v > w]:
-            r, c = np.flatnonzero(np.isin(rows, fit[a])), np.flatnonzero(np.isin(cols, fit[b]))
-            if len(r) and len(c):
-                i, j = rows[r], cols[c]
-                y, z = (np.stack([_folded(x[k], w) for k in t]) for t in (i, j))
-                ok[np.ix_(r, c)] = _allowed(y, z, n[i], n[j], before[i], before[j], spec)
-    if same:
-        np.fill_diagonal(ok, False)
     if by_rank:
-        r = np.empty(len(u), np.int64)
-        r[np.lexsort((u, col("line")[new], col("d")[new]))] = np.arange(len(u))
         pairs = []
-        for mat, a, b in ((ok, rows, cols),) if same else ((ok, rows, cols), (ok.T, cols, rows)):
+        for mat, a, b in t.sides():
             # a's rows look for earlier ones among b
-            if rest:
-                early = mat & (r[b][None, :] < r[a][:, None]) & (state[a] == 0)[:, None]
-                i, j = np.nonzero(early)
-                pairs.append((a[i], b[j]))
-            else:
-                best, first = np.zeros(len(a), np.int64), np.full(len(a), len(u))
-                for k in range(0, len(a) if len(b) else 0, 500):
-                    at = np.where(mat[k : k + 500], r[b][None, :], len(u))
-                    best[k : k + 500], first[k : k + 500] = at.argmin(1), at.min(1)
-                late = np.flatnonzero(first < r[a])
-                pairs.append((a[late], b[best[late]]))
+            best, first = np.zeros(len(a), np.int64), np.full(len(a), len(u))
+            for k in range(0, len(a) if len(b) else 0, 500):
+                at = np.where(mat[k : k + 500], r[b][None, :], len(u))
+                best[k : k + 500], first[k : k + 500] = at.argmin(1), at.min(1)
+            late = np.flatnonzero(first < r[a])
+            pairs.append((a[late], b[best[late]]))
         i, j = (np.concatenate(z) for z in zip(*pairs))
-    elif rest:
-        ok &= state[rows][:, None] != state[cols][None, :]
-        i, j = np.nonzero(np.triu(ok) if same else ok)
-        i, j = rows[i], cols[j]
     else:
-        e = np.array(_forest(ok, same), np.int64).reshape(-1, 2)
+        e = np.array(_forest(t.ok, t.same), np.int64).reshape(-1, 2)
         i, j = rows[e[:, 0]], cols[e[:, 1]]
     low, high = np.where(u[i].view(U) < u[j].view(U), (i, j), (j, i))
-    for k in range(0, len(low), 100_000):
-        a, b = low[k : k + 100_000], high[k : k + 100_000]
-        yield _batch([np.zeros(len(a), np.int32), u[a], u[b], n[a], n[b], np.zeros(len(a), np.int32)], FOUND)
-    if by_rank and not rest:
-        some = np.concatenate([rows[ok.any(1)], cols[ok.any(0)]])
+    yield _batch([np.zeros(len(low), np.int32), u[low], u[high], n[low], n[high], np.zeros(len(low), np.int32)], FOUND)
+    if by_rank:
+        some = np.concatenate([rows[t.ok.any(1)], cols[t.ok.any(0)]])
         zero = np.zeros(len(some), np.int64)
         yield _batch([zero + 2, u[some], zero, n[some], zero, zero], FOUND)
 
 
-def _in_tiles(spec: Spec, members: DataFrame, by_rank: bool, rest: bool) -> DataFrame:
-    """What _tile_pairs() gives for each tile of members (tile, ...)."""
+def _tile_links(part: pa.Table, spec: Spec, by_rank: bool):
+    """Links (a, b) of one tile's open units, whose sets come along (tokens): a spanning forest of all links across components, or by
+    rank one link to an earlier unit for each that has one. Open pairs are compared here, so rows follow the units."""
+    t = _Tile(part, spec)
+    held = part.column("tokens").combine_chunks()
+    flat, ends = held.values.to_numpy(), held.offsets.to_numpy().astype(np.int64)
+    begin, size = ends[:-1][t.take], np.diff(ends)[t.take]
+    n, state, r = t.n, t.state, t.rank()
+    root = np.unique(state, return_inverse=True)[1]
+    found: list[tuple[int, int]] = []
+
+    def linked(x: int, y: np.ndarray) -> np.ndarray:
+        mine = np.sort(flat[begin[x] : begin[x] + size[x]])
+        at = np.repeat(begin[y] - (np.cumsum(size[y]) - size[y]), size[y]) + np.arange(int(size[y].sum()))
+        shared = mine[np.minimum(np.searchsorted(mine, flat[at]), len(mine) - 1)] == flat[at]
+        both = np.add.reduceat(shared, np.cumsum(size[y]) - size[y], dtype=np.int64)
+        return y[(spec.num + spec.den) * both >= spec.num * (n[x] + n[y])]
+
+    for mat, a, b in t.sides() if by_rank else t.sides()[:1]:
+        for k, x in enumerate(a.tolist()):
+            if by_rank and state[x]:
+                continue
+            y = b[mat[k] & (r[b] < r[x])] if by_rank else b[k + 1 :][mat[k, k + 1 :]] if t.same else b[mat[k]]
+            some = 8
+            while len(y) and not (by_rank and state[x]):
+                y = y if by_rank else y[root[y] != root[x]]
+                # more at a time, but not too many tokens
+                few = max(1, min(some, int(np.searchsorted(np.cumsum(size[y]), AT_ONCE[1]))))
+                hit, y, some = linked(x, y[:few]) if len(y) else y, y[few:], 2 * some
+                if by_rank and len(hit):
+                    found.append((x, int(hit[0])))
+                    state[x] = 1
+                elif len(hit):
+                    own, first = np.unique(root[hit], return_index=True)
+                    found += [(x, int(z)) for z in hit[first]]
+                    root[np.isin(root, own)] = root[x]
+    e = np.array(found, np.int64).reshape(-1, 2)
+    yield _batch([t.u[e[:, 0]], t.u[e[:, 1]]], "a long, b long")
+
+
+MEMBER = "tile long, mine int, u long, n long, before long, d long, line long, state long, sketch binary"
+
+
+def _in_tiles(spec: Spec, members: DataFrame, by_rank: bool, each, *more: bool, schema: str = FOUND) -> DataFrame:
+    """What each() gives for each tile of members (tile, ...)."""
     parts = max(8, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
@@ -561,15 +626,25 @@ def _in_tiles(spec: Spec, members: DataFrame, by_rank: bool, rest: bool) -> Data
             cut = np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]]) if len(tiles) else []
             for x, y in zip(cut, np.r_[cut[1:], len(tiles)].tolist() if len(tiles) else []):
                 if tiles[x] != key and held:
-                    yield from _tile_pairs(pa.Table.from_batches(held), spec, by_rank, rest)
+                    yield from each(pa.Table.from_batches(held), spec, by_rank, *more)
                     held = []
                 key = tiles[x]
                 held.append(b.slice(int(x), y - int(x)))
         if held:
-            yield from _tile_pairs(pa.Table.from_batches(held), spec, by_rank, rest)
+            yield from each(pa.Table.from_batches(held), spec, by_rank, *more)
+
+    return members.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(run, schema)
 
-    rows = members.select("tile", "mine", "u", "n", "before", "d", "line", "state", "sketch")
-    return rows.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(run, FOUND)
+
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of tiles with the units' tokens; a tile whose tokens take more than SETS bytes is parted once more."""
+    tiles = rows.groupBy("tile").agg(F.ceil(F.sum(8 * F.col("n")) / SETS).cast("int").alias("parts"), F.min("mine").alias("alike"))
+    part = F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")
+    rows = rows.join(tiles, "tile").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tile = F.xxhash64("tile", F.least("part", "other"), F.greatest("part", "other"))
+    mine = F.when(F.col("alike") == 1, (F.col("part") <= F.col("other")).cast("int")).otherwise(F.col("mine"))
+    rows = rows.select(tile.alias("tile"), mine.alias("mine"), "u", "n", "before", "d", "line", "state", "sketch")
+    return rows.join(sets, "u").select(rows.columns + ["tokens"])
 
 
 def _thinned(pairs: DataFrame) -> DataFrame:
@@ -614,8 +689,8 @@ def links(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame, by
     if not found.where("kind = 1").isEmpty():
         hot = common.table(hot, "hot")
         units = _tiles(hot, spec).join(places.select("u", "d", "line", "sketch"), "u")
-        members = common.table(units.withColumn("state", F.lit(0).cast("long")), "members")
-        met = _in_tiles(spec, members, by_rank, False).select("kind", "a", "b", "na", "nb")
+        members = common.table(units.withColumn("state", F.lit(0).cast("long")).select([x.split()[0] for x in MEMBER.split(", ")]), "members")
+        met = _in_tiles(spec, members, by_rank, _tile_pairs, False).select("kind", "a", "b", "na", "nb")
         met = met if by_rank else _thinned(common.table(met.distinct(), "met"))
         pairs = pairs.withColumn("kind", F.lit(0)).unionByName(met)
     else:
@@ -638,5 +713,6 @@ def links(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame, by
         state = graph.connected_components(out.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("u"), F.col("component").alias("s"))
     state = common.table(state, "state")
     told = members.drop("state").join(state, "u", "left").withColumn("state", F.coalesce("s", F.lit(0).cast("long") if by_rank else F.col("u")))
-    more = _in_tiles(spec, told, by_rank, True).select("a", "b", "na", "nb").distinct().join(named.select("a", "b"), ["a", "b"], "left_anti")
-    return out.union(_verified(spec, common.table(more, "more-pairs"), sets))
+    rest = common.table(_in_tiles(spec, told.select(members.columns), by_rank, _tile_pairs, True, schema=MEMBER), "open")
+    more = _in_tiles(spec, _with_sets(rest, sets), by_rank, _tile_links, schema="a long, b long")
+    return out.union(common.table(more.distinct(), "more-links"))

@@ -110,6 +110,37 @@ def test_pairs_that_share_the_token_before_are_left_to_it(by_rank):
     assert not list(setjoin._tile_pairs(pa.table(cols | {"before": [7] * 4}), spec, by_rank, False))
 
 
+@pytest.mark.parametrize("by_rank", [False, True])
+def test_open_pairs_leave_tiles_as_a_forest(by_rank):
+    """Pairs that the first forest leaves open are compared in their tile: what leaves it follows the units, not their pairs."""
+    rng, m = random.Random(7), 200
+    sets = [sorted({k if rng.random() < 0.96 else 1000 * u + k for k in range(60)}) for u in range(1, m + 1)]
+    cols = {"mine": [1] * m, "u": range(1, m + 1), "n": [60] * m, "before": [0] * m, "d": range(1, m + 1), "line": [0] * m}
+    cols |= {"state": [0] * m if by_rank else range(1, m + 1), "sketch": [bytes(128)] * m}
+    spec = setjoin.Spec(1, 85, 100)
+    left = list(setjoin._tile_pairs(pa.table(cols), spec, by_rank, True))
+    assert sum(b.num_rows for b in left) <= m
+    part = pa.Table.from_batches(left).append_column("tokens", pa.array(sets))
+    links = [(a, b) for x in setjoin._tile_links(part, spec, by_rank) for a, b in zip(*(c.to_pylist() for c in x.columns))]
+    near = lambda a, b: 185 * len(set(sets[a - 1]) & set(sets[b - 1])) >= 85 * 120
+    assert all(near(a, b) for a, b in links) and len(links) < m
+    if by_rank:
+        assert all(b < a for a, b in links) and {a for a, _ in links} == {a for a in range(1, m + 1) if any(near(a, b) for b in range(1, a))}
+    else:
+        every = [(a, b) for a in range(1, m + 1) for b in range(1, a) if near(a, b)]
+        parts = [tuple(x.tolist() for x in graph._least(*np.array(e).T)) for e in (links, every)]
+        assert parts[0] == parts[1] and len(every) > m
+
+
+def test_tiles_are_parted_by_the_bytes_of_their_sets(spark, monkeypatch):
+    rng, w = random.Random(7), [f"w{k}" for k in range(120)]
+    more = [(k, " ".join("x" + str(k) if j in gone else v for j, v in enumerate(w))) for k in range(60) for gone in [rng.sample(range(120), rng.choice([1, 6, 12, 16]))]]
+    monkeypatch.setattr(setjoin, "SETS", 20_000)
+    for tile in (4000, 20):
+        got = ngram_join.classes(frame(spark, more), 1, 85, 100, large=2, tile=tile)
+        assert as_rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.classes(more, 1, 85, 100), key=str)
+
+
 def test_links_over_texts_without_ids(spark):
     """A text that only rows without an id have joins two others."""
     w = [f"w{k}" for k in range(60)]
