@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -65,6 +66,19 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def released(run):
+    """run for mapInArrow; at its end the worker gives freed memory back to the system. Workers stay, idle, beside all later stages."""
+
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
 #: Rows and bytes of an Arrow batch; a batch is held several times over on its way.
 BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
 

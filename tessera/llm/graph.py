@@ -40,7 +40,7 @@ def _in_one_task(links: DataFrame) -> DataFrame:
             for k in range(0, len(nodes), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 100_000]), pa.array(low[k : k + 100_000])], ["node", "component"])
 
-    return links.coalesce(1).mapInArrow(run, "node long, component long")
+    return links.coalesce(1).mapInArrow(common.released(run), "node long, component long")
 
 
 def _with_least(rows: DataFrame, total: int) -> DataFrame:

@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines
                         row = [[int(y[i + k])], [int(per[k])], [x[mine].astype("<f4").tobytes()], [size[mine].astype("<f8").tobytes()]]
                         yield pa.RecordBatch.from_arrays([pa.array(v) for v in row], ["y", "per", "x", "size"])
 
-    rows = texts.mapInArrow(run, "y long, per long, x binary, size binary").collect()
+    rows = texts.mapInArrow(common.released(run), "y long, per long, x binary, size binary").collect()
     rows.sort(key=lambda r: (r["per"], bytes(r["x"])))
     width = 3 * N_BASE + 1
     if not rows:
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for i, j, data, offs in common.chunks(b, "text"):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(score_texts(data, offs, model))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(common.released(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -213,4 +213,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
             for i, j, data, offs in common.chunks(b.rename_columns([f"c{k}" if k != at else "text" for k in range(b.num_columns)]), "text"):
                 yield b.slice(i, j - i).filter(pa.array(score_texts(data, offs, model) >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.released(run), schema)

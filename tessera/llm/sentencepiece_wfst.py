@@ -255,4 +255,4 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids", "decoded", "ids_crc32"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(common.released(run), "doc_id long, n_tokens long, ids array<int>, decoded string, ids_crc32 long")

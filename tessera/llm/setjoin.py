@@ -157,7 +157,7 @@ def scan(docs: DataFrame, spec: Spec) -> DataFrame:
         if held:
             yield counted(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCAN)
+    return docs.select("doc_id", "text").mapInArrow(common.released(run), SCAN)
 
 
 SCAN = "kind int, doc_id long, line long, u long, n long, sketch binary"
@@ -274,7 +274,7 @@ def prefixes(docs: DataFrame, spec: Spec, often: Frequent, buckets: int) -> Data
         if some:
             yield from packed(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, rows binary")
+    return docs.select("doc_id", "text").mapInArrow(common.released(run), "bucket int, rows binary")
 
 
 FOUND = "kind int, a long, b long, na long, nb long, o int"
@@ -347,7 +347,7 @@ def _met(packed: DataFrame, spec: Spec, buckets: int) -> DataFrame:
         if held:
             yield from _pairs_of(np.concatenate(held), spec)
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(common.released(run), FOUND)
 
 
 def _candidates(found: DataFrame, spec: Spec, places: DataFrame) -> DataFrame:
@@ -373,7 +373,7 @@ def _candidates(found: DataFrame, spec: Spec, places: DataFrame) -> DataFrame:
                 differ[k] = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(dtype=np.int64)
             yield b.select(["a", "b", "na", "nb"]).filter(pa.array((spec.den + spec.num) * differ <= (spec.den - spec.num) * n))
 
-    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long")
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(common.released(run), "a long, b long, na long, nb long")
 
 
 def unit_tokens(docs: DataFrame, spec: Spec, places: DataFrame) -> DataFrame:
@@ -400,7 +400,7 @@ def unit_tokens(docs: DataFrame, spec: Spec, places: DataFrame) -> DataFrame:
                     flat = np.concatenate([g[begin[x] : begin[x] + size[x]] for x in part])
                     yield pa.RecordBatch.from_arrays([pa.array(_i64(units[part])), pa.ListArray.from_arrays(pa.array(n), pa.array(_i64(flat)))], ["u", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "u long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(common.released(run), "u long, tokens array<long>")
 
 
 def _verified(spec: Spec, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -633,7 +633,7 @@ def _in_tiles(spec: Spec, members: DataFrame, by_rank: bool, each, *more: bool,
         if held:
             yield from each(pa.Table.from_batches(held), spec, by_rank, *more)
 
-    return members.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(run, schema)
+    return members.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(common.released(run), schema)
 
 
 def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -667,7 +667,7 @@ def _thinned(pairs: DataFrame) -> DataFrame:
                 root[x] = y
             yield b.filter(pa.array(keep))
 
-    return pairs.coalesce(pairs.count() // graph.ONE_TASK + 1).mapInArrow(run, "kind int, a long, b long, na long, nb long")
+    return pairs.coalesce(pairs.count() // graph.ONE_TASK + 1).mapInArrow(common.released(run), "kind int, a long, b long, na long, nb long")
 
 
 def links(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame, by_rank: bool = False) -> DataFrame:

@@ -345,3 +345,28 @@ def test_lines_and_words():
     at, doc, per = kernel.lines(data, np.array([0, 6, 6, 8]))
     assert per.tolist() == [3, 1, 2] and doc.tolist() == [0, 0, 0, 1, 2, 2]
     assert kernel.words(data, np.array([0, 6, 6, 8]))[3].tolist() == [3, 0, 1]
+
+
+def test_workers_give_memory_back(spark):
+    """What a task has freed doesn't stay with its worker; every Python step of the pipeline's operators is wrapped so."""
+
+    def run(batches):
+        for b in batches:
+            held = [bytes(1000) for _ in range(200_000)]
+            kept = held[::50]
+            del held
+            yield b
+            del kept
+
+    def size(batches):
+        for b in batches:
+            with open("/proc/self/statm") as f:
+                yield pa.RecordBatch.from_arrays([pa.array([int(f.read().split()[1]) * 4096])], ["id"])
+
+    one = spark.range(1).coalesce(1)
+    assert [r["id"] for r in one.mapInArrow(common.released(run), "id long").collect()] == [0]
+    for module in (graph, quality_crf, sentencepiece_wfst, setjoin):
+        with open(module.__file__) as f:
+            calls = [line for line in f if ".mapInArrow(" in line]
+        assert calls and all("common.released(" in line for line in calls)
+    assert one.mapInArrow(size, "id long").first()["id"] < 1 << 30
