@@ -2,7 +2,7 @@
 
 Where two texts share 100 bytes, both choose the same anchor in them: the least-hashed 32-gram of its 69. So all that
 shares 100 bytes meets under an anchor, and whole corpora never need one suffix array. Only anchors that occur at
-least twice go on (a bitmap of fixed size; chance bits add rows, no more). Of an anchor's occurrences with equal
+least twice go on (a bitmap that grows with their number up to a bound; chance bits add rows, no more). Of an anchor's occurrences with equal
 surroundings, all but the first lie in repeats as a whole. The first ones, with different surroundings, are split by
 where a window of 100 bytes can lie around the anchor, in PARTS parts whose windows share a core: parts with equal
 bytes again repeat as a whole, and only parts with one core and different bytes remain. These are sorted by suffix
@@ -24,7 +24,8 @@ from . import common, kernel
 from .kernel import U, mix
 
 GRAM = 32
-BITS = 26
+#: Bits of a bitmap, by the number of its members: about 16 for each, no fewer or more than these powers of two.
+BITS = 20, 28
 PARTS = 4
 HOT = 1000
 #: Symbols that one suffix array takes, or a few more: groups of one core stay together.
@@ -140,6 +141,12 @@ def _anchors(data: np.ndarray, offs: np.ndarray, width: int):
     return s, at, kernel.span_hash(s, at, at + GRAM), doc, first, last
 
 
+def _bitmap(df: DataFrame, col: str) -> tuple[np.ndarray, int]:
+    """A bitmap of df's rows, a table, and its bits."""
+    bits = min(BITS[1], max(BITS[0], 4 + int(df.count()).bit_length()))
+    return common.bitmap(df, col, bits), bits
+
+
 def _place_key(h: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Hash of something at a place, as _place_column() has it."""
     return h ^ (ids.astype(np.int64).view(U) << U(20)) ^ pos.astype(np.int64).view(U)
@@ -182,7 +189,7 @@ def _anchor_hashes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "a long")
 
 
-def _surroundings(docs: DataFrame, width: int, repeated: np.ndarray) -> DataFrame:
+def _surroundings(docs: DataFrame, width: int, repeated: tuple[np.ndarray, int]) -> DataFrame:
     """(a, c, doc_id, pos) of the anchors in the bitmap: c hashes the bytes around one. c is null where the same task has
     met the same surroundings at an earlier place; such a place needs no further look."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
@@ -193,7 +200,7 @@ def _surroundings(docs: DataFrame, width: int, repeated: np.ndarray) -> DataFram
             ids = b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             for i, _, data, offs in common.chunks(b, "text"):
                 s, at, a, doc, _, _ = _anchors(data, offs, width)
-                ok = common.in_bitmap(shared.value, a, BITS)
+                ok = common.in_bitmap(shared.value[0], a, shared.value[1])
                 at, a, doc = at[ok], a[ok], doc[ok]
                 lo, hi = _spans(s, offs, at, doc, 0, width - GRAM, width)
                 c = mix(kernel.span_hash(s, lo, hi) + (at - lo).astype(U) * _salt(7))
@@ -266,7 +273,7 @@ def _told(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, pos long, p long")
 
 
-def _parts(docs: DataFrame, width: int, wanted: np.ndarray, by: str) -> DataFrame:
+def _parts(docs: DataFrame, width: int, wanted: tuple[np.ndarray, int], by: str) -> DataFrame:
     """(s, k, q, doc_id, pos, lo, hi, [left, right]) of parts that hold a window of their anchor's: s hashes the bytes lo..hi, k the core.
 
     wanted is a bitmap of places: surroundings (by = 'c') or parts (by = 's'). For parts the bytes before and behind the
@@ -283,7 +290,7 @@ def _parts(docs: DataFrame, width: int, wanted: np.ndarray, by: str) -> DataFram
             if by == "c":
                 lo, hi = _spans(s, offs, at, doc, 0, width - GRAM, width)
                 c = mix(kernel.span_hash(s, lo, hi) + (at - lo).astype(U) * _salt(7))
-                ok = common.in_bitmap(shared.value, _place_key(c, ids[doc + i], at - offs[doc]), BITS)
+                ok = common.in_bitmap(shared.value[0], _place_key(c, ids[doc + i], at - offs[doc]), shared.value[1])
                 at, doc, first, last = at[ok], doc[ok], first[ok], last[ok]
             for q in range(PARTS):
                 d0, d1 = _part(q, reach)
@@ -294,7 +301,7 @@ def _parts(docs: DataFrame, width: int, wanted: np.ndarray, by: str) -> DataFram
                 h = mix(kernel.span_hash(s, lo, hi) + (x - lo).astype(U) * _salt(11 + q))
                 k = mix(kernel.span_hash(s, x - d0, x - d1 + width) + _salt(31 + q))
                 if by == "s":
-                    ok = common.in_bitmap(shared.value, _place_key(h, ids[dx + i], x - offs[dx]), BITS)
+                    ok = common.in_bitmap(shared.value[0], _place_key(h, ids[dx + i], x - offs[dx]), shared.value[1])
                     x, dx, lo, hi, h, k = x[ok], dx[ok], lo[ok], hi[ok], h[ok], k[ok]
                 base = offs[dx]
                 cols = [pa.array(_i64(h)), pa.array(_i64(k)), pa.array(np.full(len(x), q, np.int32)), b.column(0).take(pa.array(dx + i))]
@@ -408,22 +415,24 @@ def repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     """
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     counts = _anchor_hashes(docs, width).groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = common.bitmap(counts, "a", BITS)
+    counts = common.table(counts.select("a"), "repeated")
     common.free(spark)
+    repeated = _bitmap(counts, "a")
+    common.drop(counts)
     rows = common.table(_surroundings(docs, width, repeated), "anchors")
     told = common.table(_told(rows), "told")
     common.free(spark)
     around = F.greatest(F.lit(0).cast("long"), F.col("pos") - (width - GRAM)).alias("lo"), (F.col("pos") + width).alias("hi")
     full = rows.where("c is null").select("doc_id", *around).union(told.where("p is null").select("doc_id", *around))
     unclear = told.where("p is not null")
-    parts = common.table(_parts(docs, width, common.bitmap(unclear, "p", BITS), "c"), "parts")
+    parts = common.table(_parts(docs, width, _bitmap(unclear, "p"), "c"), "parts")
     first_part = common.table(parts.groupBy("s", "q", "k").agg(F.min(F.struct("doc_id", "pos", "lo", "hi")).alias("f")), "first-parts")
     full_part = (
         parts.join(first_part, ["s", "q", "k"]).where(F.struct("doc_id", "pos") != F.struct("f.doc_id", "f.pos")).select("doc_id", "lo", "hi")
     )
     cores = first_part.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     open_parts = common.table(first_part.join(cores, "k").select("s", "k", "q", "n", "f.doc_id", "f.pos", "f.lo"), "open-parts")
-    places = common.bitmap(open_parts.select(_place_column("s", "doc_id", "pos").alias("p")), "p", BITS)
+    places = _bitmap(open_parts.select(_place_column("s", "doc_id", "pos").alias("p")), "p")
     raw = _parts(docs, width, places, "s").select("s", "k", "q", F.col("doc_id").alias("d"), F.col("pos").alias("p"), "left", "right")
     same = (F.col("pos") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d"))
     held = common.table(open_parts.join(raw, ["s", "q", "k"]).where(same).drop("d", "p"), "held")
@@ -441,8 +450,15 @@ def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     don't remove each other's bytes, and runs found for one are removed from all, as far as they reach. Texts shorter
     than width lose nothing. Only doc_id and text are read.
     """
+    before = len(common.CREATED)
     found = repeats(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("lo"), F.col("hi"))).alias("runs"))
-    found = common.table(found, "runs").withColumnRenamed("doc_id", "d")
+    found = common.table(found, "runs")
+    # the texts are shuffled next; all that the runs come from goes first
+    for path in common.CREATED[before:]:
+        if path != found._scratch_path:
+            common.remove(docs.sparkSession, path)
+    common.free(docs.sparkSession)
+    found = found.withColumnRenamed("doc_id", "d")
     joined = docs.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "runs.lo", "runs.hi")
 
     def run(batches):

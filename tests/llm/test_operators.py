@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import zlib
 
@@ -370,3 +371,14 @@ def test_workers_give_memory_back(spark):
             calls = [line for line in f if ".mapInArrow(" in line]
         assert calls and all("common.released(" in line for line in calls)
     assert one.mapInArrow(size, "id long").first()["id"] < 1 << 30
+
+
+def test_repeats_leave_no_tables_beside_the_texts(spark):
+    """Only the runs lie in the shared folder when the texts are shuffled, and the filter of anchors grows with their number."""
+    same = " ".join(f"word{k}" for k in range(60))
+    before = len(common.CREATED)
+    out = suffix_dedup.suffix_dedup(frame(spark, [(1, same), (2, "x" + same), (3, "alone")]))
+    left = [p for p in common.CREATED[before:] if os.path.exists(p.removeprefix("file://"))]
+    assert [p.rsplit("/", 1)[1].split("-")[0] for p in left] == ["runs"]
+    assert dict(as_rows(out, "doc_id", "n_removed")) == {1: 0, 2: len(same), 3: 0}
+    assert [suffix_dedup._bitmap(spark.range(n).select("id"), "id")[1] for n in (10, 1 << 18)] == [20, 23]
