@@ -6,7 +6,7 @@ token, whatever the order.
 
 * Orders go by rarity: the FREQUENT most frequent tokens by count come last, by their counts; all others stand before
   them, by a hash. The counts travel to the tasks; their number is fixed, whatever the input.
-* Prefix tokens are packed into blobs by hash of the token, one shuffle for all orders. The number of blobs follows the
+* Prefix tokens are packed into blobs by hash of the token, one shuffle for each order. The number of blobs follows the
   counted prefixes, so each has a bounded size. Rows of frequent tokens are dealt by unit, so no token's rows meet.
 * Units that meet under a token give pairs, cut by the length and positional filters; a pair must come out of every order
   (the filters are intersected). Parity sketches (which buckets hold an odd number of a set's tokens: buckets that differ are at
@@ -21,6 +21,7 @@ token, whatever the order.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,6 +79,8 @@ def _i64(x: np.ndarray) -> np.ndarray:
 def _sets(batch, spec: Spec):
     """Yields (ids of the segments' rows, segment's number in its row, tokens, segment of each token, sizes, units)."""
     ids = batch.column(0)
+    if not len(ids):
+        return
     for i, j, data, offs in common.chunks(batch, "text"):
         if spec.by_line:
             offs, row, per = kernel.lines(data, offs)
@@ -243,9 +246,10 @@ def _prefixes(g, s, size, units, spec: Spec, order: int, often: Frequent) -> np.
     return out
 
 
-def prefixes(docs: DataFrame, spec: Spec, often: Frequent, buckets: int) -> DataFrame:
-    """(bucket, rows): the prefix tokens of every unit under all orders, packed by bucket: that of the token, or of the unit if it is frequent."""
-    shared = docs.sparkSession.sparkContext.broadcast(often)
+def prefixes(docs: DataFrame, spec: Spec, often: Frequent, buckets: int, order: int = 0, places: DataFrame | None = None) -> DataFrame:
+    """(bucket, rows): the prefix tokens of every unit, or of those at places, under an order, packed by bucket: that of the token, or of the
+    unit if it is frequent."""
+    shared = docs.sparkSession.sparkContext.broadcast((often, None if places is None else wanted(places)))
 
     def packed(parts):
         rows = np.concatenate(parts)
@@ -260,14 +264,14 @@ def prefixes(docs: DataFrame, spec: Spec, often: Frequent, buckets: int) -> Data
 
     def run(batches):
         seen, held, some = _Seen(), [], 0
+        often, only = shared.value
         for b in batches:
-            for _, _, g, s, size, units in _sets(b, spec):
-                new = seen.first(units, size)
+            for ids, number, g, s, size, units in _sets(only.texts(b) if only else b, spec):
+                new = seen.first(units, np.where(only.units(ids, number, units), size, 0) if only else size)
                 m = new[s]
                 g, s, size = g[m], s[m], np.where(new, size, 0)
-                for o in range(spec.orders):
-                    held.append(_prefixes(g, s, size, units, spec, o, shared.value))
-                    some += len(held[-1])
+                held.append(_prefixes(g, s, size, units, spec, order, often))
+                some += len(held[-1])
                 if some > PACKED:
                     yield from packed(held)
                     held, some = [], 0
@@ -376,21 +380,41 @@ def _candidates(found: DataFrame, spec: Spec, places: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(common.released(run), "a long, b long, na long, nb long")
 
 
-def unit_tokens(docs: DataFrame, spec: Spec, places: DataFrame) -> DataFrame:
-    """(u, tokens): the sets of the units at places (u, d, line), each once a task at most; more sets may come.
+@dataclass
+class Wanted:
+    """Places of units that are asked for, and their documents, as bitmaps: their size follows the number of places up to 2 ** 27 bits;
+    beyond that more units come than are asked for. Texts without such a place aren't cut into words."""
 
-    places travel as a bitmap whose size follows their number up to 2 ** 27 bits; beyond that more sets come than are asked for.
-    """
+    bits: int
+    docs: np.ndarray
+    places: np.ndarray
+
+    def texts(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        d = batch.column(0).fill_null(NOWHERE).to_numpy(zero_copy_only=False).view(U)
+        return batch.filter(pa.array(common.in_bitmap(self.docs, d ^ (d >> U(32)), self.bits)))
+
+    def units(self, ids, number, units) -> np.ndarray:
+        d = ids.fill_null(NOWHERE).to_numpy(zero_copy_only=False).view(U)
+        return common.in_bitmap(self.places, units ^ (d << U(7)) ^ number.view(U), self.bits)
+
+
+def wanted(places: DataFrame) -> Wanted:
+    """places: a table (u, d, line)."""
     bits = min(27, max(20, 4 + int(places.count()).bit_length()))
     key = F.col("u").bitwiseXOR(F.shiftleft("d", 7)).bitwiseXOR(F.col("line"))
-    shared = docs.sparkSession.sparkContext.broadcast(common.bitmap(places.select(key.alias("p")), "p", bits))
+    d = F.col("d").bitwiseXOR(F.shiftrightunsigned("d", 32))
+    return Wanted(bits, common.bitmap(places.select(d.alias("p")), "p", bits), common.bitmap(places.select(key.alias("p")), "p", bits))
+
+
+def unit_tokens(docs: DataFrame, spec: Spec, places: DataFrame) -> DataFrame:
+    """(u, tokens): the sets of the units at places, a table (u, d, line), each once a task at most; more sets may come."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted(places))
 
     def run(batches):
         seen = _Seen()
         for b in batches:
-            for ids, number, g, s, size, units in _sets(b, spec):
-                d = ids.fill_null(NOWHERE).to_numpy(zero_copy_only=False).view(U)
-                ok = common.in_bitmap(shared.value, units ^ (d << U(7)) ^ number.view(U), bits)
+            for ids, number, g, s, size, units in _sets(shared.value.texts(b), spec):
+                ok = shared.value.units(ids, number, units)
                 ok &= seen.first(units, np.where(ok, size, 0))
                 begin = np.cumsum(size) - size
                 rows = np.flatnonzero(ok)
@@ -670,19 +694,42 @@ def _thinned(pairs: DataFrame) -> DataFrame:
     return pairs.coalesce(pairs.count() // graph.ONE_TASK + 1).mapInArrow(common.released(run), "kind int, a long, b long, na long, nb long")
 
 
+def _later_first(out: DataFrame, places: DataFrame) -> DataFrame:
+    """Links (a, b) turned so that b's unit stands before a's."""
+    for c in "ab":
+        out = out.join(places.select(F.col("u").alias(c), F.struct("d", "line", "u").alias(f"at_{c}")), c)
+    late = F.col("at_a") > F.col("at_b")
+    return out.select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(late, F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
+def _found(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """What _pairs_of() finds under each order, a table each, and the places of the units in it (with n, and whether in a pair)."""
+    spark = docs.sparkSession
+    often = frequent(scanned, spec)
+    length = F.sum(F.col("n") - F.ceil(F.col("n") * spec.num / spec.den) + 2)
+    total = scanned.where("kind = 0 and n > 0").agg(length).first()[0]
+    out = []
+    for o in range(spec.orders):
+        buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total or 0) // BLOB + 1)
+        out.append(common.table(_met(prefixes(docs, spec, often, buckets, o), spec, buckets), "found"))
+        common.free(spark)
+    all_found = functools.reduce(DataFrame.union, out)
+    a = all_found.select(F.col("a").alias("u"), F.col("na").alias("n"), (F.col("kind") == 0).alias("paired"))
+    units = a.union(all_found.where("kind = 0").select("b", "nb", F.lit(True))).groupBy("u").agg(F.max("n").alias("n"), F.max("paired").alias("paired"))
+    near = common.table(places.select("u", "d", "line", "sketch").join(units, "u"), "near")
+    return out, near
+
+
 def links(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame, by_rank: bool = False) -> DataFrame:
     """Verified links (a, b) between different units of docs.
 
     scanned is scan()'s result; places (u, d, line, sketch) says where each unit stands first, as far as ids tell (d: doc_id or
     NOWHERE). Without by_rank the links connect exactly the units that the threshold connects. With by_rank every unit that
-    has a match before it in the order of (d, line, u) has a link with one; further links may come too.
+    has a match before it in the order of (d, line, u) has a link (a, b) from it to one; further such links may come too.
     """
     spark = docs.sparkSession
-    often = frequent(scanned, spec)
-    total = scanned.where("kind = 0 and n > 0").agg(F.sum(F.col("n") - F.ceil(F.col("n") * spec.num / spec.den) + 2)).first()[0] or 0
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) * spec.orders // BLOB + 1)
-    found = common.table(_met(prefixes(docs, spec, often, buckets), spec, buckets), "found")
-    common.free(spark)
+    each, places = _found(docs, spec, scanned, places)
+    found = functools.reduce(DataFrame.union, each)
     pairs = _candidates(found, spec, places)
     hot = found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("token"), F.col("na").alias("n"), F.col("nb").alias("before")).distinct()
     members = None
@@ -696,19 +743,22 @@ def links(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame, by
     else:
         pairs = pairs.withColumn("kind", F.lit(0))
     pairs = common.table(pairs.distinct(), "pairs")
-    common.drop(found)
-    wanted = pairs.select(F.col("a").alias("u")).union(pairs.where("kind = 0").select("b"))
-    sets = common.table(unit_tokens(docs, spec, places.join(wanted.distinct(), "u", "left_semi")), "sets")
+    for x in each:
+        common.drop(x)
+    units = pairs.select(F.col("a").alias("u")).union(pairs.where("kind = 0").select("b")).distinct()
+    at = common.table(places.select("u", "d", "line").join(units, "u", "left_semi"), "at")
+    sets = common.table(unit_tokens(docs, spec, at), "sets")
     common.free(spark)
     named = pairs.where("kind = 0").drop("kind")
     out = _verified(spec, named, sets)
+    if by_rank:
+        out = _later_first(out, places)
     if members is None:
         return out
     out = common.table(out, "links")
     common.free(spark)
     if by_rank:
-        place = lambda c: places.select(F.col("u").alias(c), F.struct("d", "line", "u").alias(f"at_{c}"))
-        state = out.join(place("a"), "a").join(place("b"), "b").select(F.greatest("at_a", "at_b")["u"].alias("u"), F.lit(1).cast("long").alias("s")).distinct()
+        state = out.select(F.col("a").alias("u"), F.lit(1).cast("long").alias("s")).distinct()
     else:
         state = graph.connected_components(out.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("u"), F.col("component").alias("s"))
     state = common.table(state, "state")

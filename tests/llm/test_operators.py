@@ -168,6 +168,14 @@ def test_line_dedup(spark, rows):
     assert line_dedup.line_dedup(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_line_dedup_splits_a_text_once(spark):
+    rows = [(1, "a\nb\nc\n", [1]), (2, "x\n", None), (3, "", None), (4, "a", [0]), (5, "\n\nä", [0, 2])]
+    got = line_dedup._strip(spark.createDataFrame(rows, "doc_id long, text string, gone array<int>"))
+    assert as_rows(got, "doc_id", "text", "n_lines", "n_removed") == [(1, "a\nc\n", 4, 1), (2, "x\n", 2, 0), (3, "", 1, 0), (4, "", 1, 1), (5, "", 3, 2)]
+    # none within a lambda, where it would run for each line
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 @pytest.mark.parametrize("width", [100, 40])
 def test_suffix_dedup(spark, rows, width, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 3)
