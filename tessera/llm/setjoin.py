@@ -6,7 +6,8 @@ token, whatever the order.
 
 * Orders go by rarity: the FREQUENT most frequent tokens by count come last, by their counts; all others stand before
   them, by a hash. The counts travel to the tasks; their number is fixed, whatever the input.
-* Prefix tokens are packed into blobs by hash of the token, one shuffle for each order. The number of blobs follows the
+* Prefix tokens are packed into blobs by hash of the token, one shuffle for each order; those of the second order and later ones
+  only of units that the first has left in a pair. The number of blobs follows the
   counted prefixes, so each has a bounded size. Rows of frequent tokens are dealt by unit, so no token's rows meet.
 * Units that meet under a token give pairs, cut by the length and positional filters; a pair must come out of every order
   (the filters are intersected). Parity sketches (which buckets hold an odd number of a set's tokens: buckets that differ are at
@@ -703,20 +704,25 @@ def _later_first(out: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _found(docs: DataFrame, spec: Spec, scanned: DataFrame, places: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """What _pairs_of() finds under each order, a table each, and the places of the units in it (with n, and whether in a pair)."""
+    """What _pairs_of() finds under each order, a table each, and the places of the units in it (with n, and whether in a pair). The prefixes
+    of further orders travel only for units that the first one has left in a pair: no other pairs come out of every order, and those
+    under hot tokens have their tiles."""
     spark = docs.sparkSession
     often = frequent(scanned, spec)
     length = F.sum(F.col("n") - F.ceil(F.col("n") * spec.num / spec.den) + 2)
     total = scanned.where("kind = 0 and n > 0").agg(length).first()[0]
-    out = []
+    out, near, paired = [], places, None
     for o in range(spec.orders):
+        if o:
+            paired = near.where("paired")
+            total = paired.agg(length).first()[0]
         buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total or 0) // BLOB + 1)
-        out.append(common.table(_met(prefixes(docs, spec, often, buckets, o), spec, buckets), "found"))
+        out.append(common.table(_met(prefixes(docs, spec, often, buckets, o, paired), spec, buckets), "found"))
         common.free(spark)
-    all_found = functools.reduce(DataFrame.union, out)
-    a = all_found.select(F.col("a").alias("u"), F.col("na").alias("n"), (F.col("kind") == 0).alias("paired"))
-    units = a.union(all_found.where("kind = 0").select("b", "nb", F.lit(True))).groupBy("u").agg(F.max("n").alias("n"), F.max("paired").alias("paired"))
-    near = common.table(places.select("u", "d", "line", "sketch").join(units, "u"), "near")
+        if not o:
+            a = out[0].select(F.col("a").alias("u"), F.col("na").alias("n"), (F.col("kind") == 0).alias("paired"))
+            units = a.union(out[0].where("kind = 0").select("b", "nb", F.lit(True))).groupBy("u").agg(F.max("n").alias("n"), F.max("paired").alias("paired"))
+            near = common.table(places.select("u", "d", "line", "sketch").join(units, "u"), "near")
     return out, near
 
 

@@ -72,6 +72,22 @@ def test_ngram_join(spark, rows, n, num):
     assert as_rows(ngram_join.classes(frame(spark, more), n, num, 100), "doc_id", "n_shingles", "component_id") == sorted(brute.classes(more, n, num, 100), key=str)
 
 
+def test_later_orders_carry_only_units_in_pairs(spark, monkeypatch):
+    docs = [(k, " ".join(f"w{k}x{i}" for i in range(40))) for k in range(60)]
+    docs.append((60, docs[7][1] + " more"))
+    sent, whole = [], setjoin.prefixes
+
+    def counted(*args):
+        sent.extend(np.frombuffer(r["rows"], setjoin._ROW) for r in whole(*args).collect())
+        return whole(*args)
+
+    monkeypatch.setattr(setjoin, "prefixes", counted)
+    got = as_rows(ngram_join.classes(frame(spark, docs), 4, 85, 100), "doc_id", "component_id")
+    assert dict(got) == {k: k for k in range(60)} | {60: 7}
+    rows = np.concatenate(sent)
+    assert [len(np.unique(rows["unit"][(rows["pos"] & 7) == o])) for o in (0, 1)] == [61, 2]
+
+
 def test_ngram_join_of_nothing(spark, rows):
     assert ngram_join.classes(frame(spark, rows).limit(0)).count() == 0
 
