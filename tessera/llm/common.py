@@ -45,11 +45,21 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Spark removes the shuffle files of a query at its end, not at some garbage collection of the driver.
+REMOVES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors. The shuffle files of the
+    write go at its end, as only the table is read."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(REMOVES, None)
+    spark.conf.set(REMOVES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(REMOVES) if before is None else spark.conf.set(REMOVES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

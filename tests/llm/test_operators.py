@@ -1,6 +1,8 @@
+import glob
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -88,6 +90,27 @@ def test_later_orders_carry_only_units_in_pairs(spark, monkeypatch):
     assert [len(np.unique(rows["unit"][(rows["pos"] & 7) == o])) for o in (0, 1)] == [61, 2]
 
 
+def test_shuffle_files_go_with_their_table(spark, rows, monkeypatch):
+    """The files that a scratch table is dealt by are removed as it stands, and the session's setting is as before."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {p for d in files.localDirsString() for p in glob.glob(f"{d}/*/shuffle_*.data")}
+    whole, left, setting = common.table, {}, spark.conf.get(common.REMOVES, None)
+
+    def watched(df, name):
+        had, until = shuffles(), time.time() + 5
+        out = whole(df, name)
+        while (new := shuffles() - had) and time.time() < until:
+            time.sleep(0.05)
+        left[name] = len(new)
+        return out
+
+    monkeypatch.setattr(common, "table", watched)
+    got = ngram_join.classes(frame(spark, rows), 4, 85, 100)
+    assert as_rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.classes(rows, 4, 85, 100), key=str)
+    assert {"places", "found", "members", "links"} <= set(left) and not any(left.values())
+    assert spark.conf.get(common.REMOVES, None) == setting
+
+
 def test_ngram_join_of_nothing(spark, rows):
     assert ngram_join.classes(frame(spark, rows).limit(0)).count() == 0
 
